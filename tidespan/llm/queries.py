@@ -6,13 +6,29 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, tokens
+from . import contamination, language, licenses, packing, quality, secrets, tokens
+from .common import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"), rare=6)
+
+
+def op4_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stored(secrets.find(table(spark, sf_dir, "documents")), "secrets")
+    return secrets.summarize(found, shared_owners=3)
+
+
+def op5_language_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs, ~language.held_out(), per_language=3000, words=60_000)
+    return language.predict(docs, model).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op6_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")), "v1")
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
@@ -22,6 +38,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")), capacity=4096, end_id=1)
 
 
+def op9_containment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.8, k=5)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")), limit=512)
 
