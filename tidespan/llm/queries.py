@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, importance, language, licenses, near_dups, packing, quality, secrets, tokens
+from . import contamination, importance, language, licenses, near_dups, packing, phrases, quality, secrets, tokens
 from .common import stored
 
 
@@ -18,6 +18,10 @@ def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), most_targets=20_000)
 
 
+def op2_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.remove_repeated(table(spark, sf_dir, "documents"), size=20)
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"), rare=6)
 
