@@ -15,14 +15,17 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import stored, text_slices
 
 #: Distinct words whose ids a Python worker keeps before it starts afresh.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
+#: Bytes of text that are split and encoded together.
+ENCODED_TOGETHER = 1 << 23
 #: Pieces of one length that are ranked in one window group.
 RANKED_TOGETHER = 200_000
 
@@ -139,7 +142,12 @@ def plan(histogram: dict[int, int], capacity: int) -> np.ndarray:
 
 
 class WordEncoder:
-    """Token ids by way of a cache of space-separated words; no pre-token of the vocabulary spans a space."""
+    """Token ids by way of a cache of space-separated words; no pre-token of the vocabulary spans a space.
+
+    Words new to the cache are encoded joined by spaces, many at once.  The vocabulary's tokens that end a
+    pre-token carry a mark, so a joined result can be cut wherever a word's number of pre-tokens is known: one for
+    letters alone, two for letters and a run of stops or commas.  All other words are encoded one by one.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -148,34 +156,64 @@ class WordEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_padding()
         self.tok.no_truncation()
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)
+        self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {"": 0}
-        self.ids, self.at, self.len = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
-
-    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        self.known: dict[str, int] = {}
+        self.ids, self.at, self.len = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def one_by_one(self, new: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(new, add_special_tokens=False)]
+
+    def joined(self, new: list[str], parts: list[int]) -> list[np.ndarray]:
+        """Ids of words whose numbers of pre-tokens are known."""
+        out = []
+        for lo in range(0, len(new), 500):
+            group = new[lo : lo + 500]
+            ids = np.array(self.tok.encode(" ".join(group), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            last = np.cumsum(parts[lo : lo + 500]) - 1
+            if len(ends) == last[-1] + 1 and ends[-1] == len(ids):
+                out += np.split(ids, ends[last[:-1]])
+            else:
+                out += self.one_by_one(group)
+        return out
+
+    def learn(self, new: list[str]) -> None:
+        plain, parts, other = [], [], []
+        for w in new:
+            core = w.rstrip(".,")
+            if core.isalpha():
+                plain.append(w)
+                parts.append(1 + (len(core) < len(w)))
+            else:
+                other.append(w)
+        got = [*self.joined(plain, parts), *self.one_by_one(other)]
+        lens = np.fromiter(map(len, got), np.int64, len(got))
+        self.known.update(zip([*plain, *other], range(len(self.known), len(self.known) + len(got)), strict=True))
+        self.at = np.r_[self.at, len(self.ids) + np.cumsum(lens) - lens]
+        self.len, self.ids = np.r_[self.len, lens], np.concatenate([self.ids, *got])
+
+    def encode(self, data: np.ndarray, offs: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in one array, end_id after each, and each text's number of ids."""
         if len(self.known) > CACHE_WORDS:
             self.clear()
-        known, parts = self.known, []
-        for t in texts:
-            parts.append(t.replace("\n", " ").split(" "))
-        new = list({w for ws in parts for w in ws if w not in known})
-        if new:
-            got = [e.ids for e in self.tok.encode_batch(new, add_special_tokens=False)]
-            lens = np.fromiter(map(len, got), np.int64, len(got))
-            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-            flat = np.fromiter((i for g in got for i in g), np.uint32, int(lens.sum()))
-            self.at = np.r_[self.at, len(self.ids) + np.cumsum(lens) - lens]
-            self.len, self.ids = np.r_[self.len, lens], np.r_[self.ids, flat]
-        code = np.fromiter((c for ws in parts for c in map(known.__getitem__, ws)), np.int64)
+        data = np.where(data == 10, np.uint8(32), data)
+        texts = pa.Array.from_buffers(pa.large_string(), len(offs) - 1, [None, pa.py_buffer(np.ascontiguousarray(offs)), pa.py_buffer(data)])
+        split = pc.split_pattern(texts, " ")
+        coded = split.flatten().dictionary_encode()
+        own = coded.dictionary.to_pylist()
+        if new := [w for w in own if w not in self.known]:
+            self.learn(new)
+        code = np.fromiter(map(self.known.__getitem__, own), np.int64, len(own))[coded.indices.to_numpy()]
         size = self.len[code]
         ends = np.cumsum(size)
-        words = np.cumsum([len(ws) for ws in parts])
-        total = np.r_[0, ends][words]
-        per = np.diff(np.r_[0, total]) + 1
-        src = np.repeat(self.at[code] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+        total = np.r_[0, ends][split.offsets.to_numpy()]
+        per = np.diff(total) + 1
+        src = np.repeat(self.at[code] - (ends - size), size) + np.arange(total[-1])
         out = np.full(int(per.sum()), end_id, np.uint32)
         keep = np.ones(len(out), bool)
         keep[np.cumsum(per) - 1] = False
@@ -194,26 +232,19 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_
             _encoders[path] = WordEncoder(path)
         enc = _encoders[path]
         for batch in batches:
-            texts, rows, lo = batch.column(1), [], 0
-            group, held, out = [], 0, []
-            for i, value in enumerate(texts):
-                text = value.as_py() or ""
-                group.append(text)
-                held += len(text)
-                if held <= 1 << 20 and i < len(texts) - 1:
-                    continue
-                ids, per = enc.encode(group, end_id)
+            out = []
+            for lo, _, data, offs in text_slices(batch, "text", ENCODED_TOGETHER):
+                ids, per = enc.encode(data, offs, end_id)
                 ends = np.cumsum(per)
                 pieces = -(-per // capacity)
-                row = np.repeat(np.arange(lo, lo + len(group)), pieces)
+                row = np.repeat(np.arange(lo, lo + len(per)), pieces)
                 piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
                 start = piece * capacity
                 length = np.minimum(np.repeat(per, pieces) - start, capacity)
                 first = np.repeat(ends - per, pieces) + start
-                raw = ids.astype("<u4").tobytes()
+                raw = memoryview(ids.astype("<u4")).cast("B")
                 crc = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(first.tolist(), length.tolist(), strict=True)]
                 out.append((row, piece, start, length, np.array(crc, np.int64)))
-                lo, group, held = lo + len(group), [], 0
             if out:
                 rows = [np.concatenate(x) for x in zip(*out, strict=True)]
                 yield pa.RecordBatch.from_arrays(
