@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, SPACE_WORDS, mix, stored, text_slices, window_hashes, word_hashes, words
+from .common import LOWER, SPACE_WORDS, bitmap, in_bitmap, mix, stored, text_slices, window_hashes, word_hashes, words
 from .components import components
 
-COORDINATES = 128
+COORDINATES = 256
 _rng = np.random.default_rng(8)
 _A = _rng.integers(1, 2**62, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(1, 2**62, COORDINATES, dtype=np.uint64)
@@ -47,8 +47,8 @@ def shingle_sets(batch: pa.RecordBatch, column: str, k: int):
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """The least of each coordinate's hash over the set, as unsigned 32-bit numbers."""
-    return ((s[:, None] * _A + _B) >> np.uint64(32)).min(axis=0).astype(np.uint32)
+    """The token of each coordinate: 16 bits of the least of its hash over the set."""
+    return np.array([(s * a + b).min() for a, b in zip(_A, _B, strict=True)], np.uint64).view("<u2")[1::4].copy()
 
 
 def paths(sigs: np.ndarray, trees: int, depth: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +107,7 @@ def nodes(reps: DataFrame, trees: int, depth: int, similarity: float) -> DataFra
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, COORDINATES)
+            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(-1, COORDINATES)
             doc, way = paths(sig, trees, depth, similarity)
             rid = batch.column(0).take(pa.array(doc))
             yield pa.RecordBatch.from_arrays([rid, *[pa.array(way[:, i].view(np.int64)) for i in range(depth)]], ["rid", *[f"n{i}" for i in range(depth)]])
@@ -201,17 +201,28 @@ def likely(blocks: DataFrame, least: float) -> DataFrame:
     return blocks.repartition("node", "block").sortWithinPartitions("node", "block").mapInArrow(run, "u long, v long").distinct()
 
 
+def packed_set(s: np.ndarray) -> bytes:
+    """The upper 40 bits of each hash, sorted, five bytes each."""
+    return np.sort(s >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpacked_set(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets have 100 * |intersection| >= percent * |union|.  sets: rid, set (sorted 64-bit)."""
+    """The pairs whose full sets have 100 * |intersection| >= percent * |union|.  sets: rid, set (see packed_set)."""
 
     def run(batches):
         for batch in batches:
             keep = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                if min(len(x), len(y)) * 100 < percent * max(len(x), len(y)):
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
                     keep.append(False)
                     continue
+                x, y = unpacked_set(a), unpacked_set(b)
                 at = np.searchsorted(x, y)
                 shared = int((x[np.minimum(at, len(x) - 1)] == y).sum())
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
@@ -222,34 +233,42 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """rid, set for the documents (rid, text) whose rid is among ids."""
+    """rid, set of the documents (rid, text) that ids may hold: a bit map of bounded size picks them without moving
+    any text; the few others that share a bit do no harm."""
+    hashed = ids.select(F.xxhash64("rid").alias("h"))
+    bits = min(max(int(np.ceil(np.log2(16 * hashed.count() + 1))), 16), 28)
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(hashed, "h", bits))
 
     def run(batches):
         for batch in batches:
-            sets = [s.tobytes() for s in shingle_sets(batch, "text", k)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["rid", "set"])
+            batch = batch.filter(pa.array(in_bitmap(wanted.value, batch.column(2).to_numpy().view(np.uint64))))
+            if batch.num_rows:
+                sets = [packed_set(s) for s in shingle_sets(batch, "text", k)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["rid", "set"])
 
-    return docs.join(ids, "rid", "left_semi").dropDuplicates(["rid"]).mapInArrow(run, "rid long, set binary")
+    picked = docs.where("rid is not null").withColumn("h", F.xxhash64("rid")).mapInArrow(run, "rid long, set binary")
+    return picked.dropDuplicates(["rid"])
 
 
 def near_duplicates(
     docs: DataFrame,
     percent: int = 85,
     k: int = 5,
-    trees: int = 8,
-    depth: int = 3,
+    trees: int = 6,
+    depth: int = 2,
     leaf: int = 64,
     pivots: int = 4,
-    least: float = 0.74,
+    least: float = 0.78,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
     Documents are linked when 100 * |A & B| >= percent * |A | B| for their sets of k-word shingles; component_id is
-    the least id reachable, itself included; kept: doc_id is component_id.  A pair at the threshold survives a tree
-    of depth d with a chance of about 1 / (1 + 0.15 d); eight trees miss fewer than one in a thousand.  least: the
-    estimated similarity, from 128 coordinates, from which a pair is confirmed (3.5 standard errors under 0.85).
+    the least id reachable, itself included; kept: doc_id is component_id.  A pair at the threshold shares a node of a
+    tree's first level with a chance of 0.87 and of the second with one of about 0.78, so six trees miss about one in
+    ten thousand.  least: the estimated similarity, from 256 coordinates, from which a pair is confirmed (three
+    standard errors under 0.85).
 
     A null or empty text has an empty set and is linked with nothing.  Rows with equal sets are linked without a
     comparison; rows with equal ids are one vertex.  A row with a null id is grouped with equal sets only, its
@@ -265,11 +284,12 @@ def near_duplicates(
     def low_bytes(batches):
         for batch in batches:
             if batch.num_rows:
-                sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, COORDINATES, 4)[:, :, 0]
+                sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, COORDINATES, 2)[:, :, 0]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in sig], pa.binary())], ["rid", "sig8"])
 
     ways = stored(nodes(reps, trees, depth, percent / 100), "ways")
     blocks = grouped_nodes(ways, depth, leaf, pivots)
+    blocks = stored(blocks, "nodes")
     blocks = stored(blocks.join(reps.mapInArrow(low_bytes, "rid long, sig8 binary"), "rid"), "blocks")
     first = stored(likely(blocks.withColumn("comp", F.lit(None).cast("long")), least), "likely")
     # full sets of the documents in any block with a likely pair; later candidates are among the same blocks
@@ -280,7 +300,7 @@ def near_duplicates(
     comp = components(links)
     labelled = blocks.join(ids, "rid", "left_semi").join(comp.withColumnRenamed("id", "rid"), "rid", "left")
     labelled = labelled.withColumn("comp", F.coalesce("component", "rid")).drop("component")
-    second = likely(labelled, least).join(first, ["u", "v"], "left_anti")
+    second = stored(likely(labelled, least).join(first, ["u", "v"], "left_anti"), "likely_across")
     more = stored(confirmed(second, sets, percent), "more_links")
     if not more.isEmpty():
         comp = components(links.unionByName(more))
