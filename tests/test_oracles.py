@@ -6,7 +6,7 @@ from tests.helpers import duck_rows, spark_rows
 from tidespan.plans import catalogue
 
 ORACLES = catalogue.oracle_sql()
-SLOW = {"boruta", "rfe", "nested_cv_small"}
+SLOW = {"boruta", "rfe", "nested_cv_small", "selection_pipeline"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

@@ -182,8 +182,9 @@ def nested_cv(
     cols = unsupervised_prescreen(df)[0] if prescreen else list(range(df.select(F.size("features")).first()[0]))
     parts: list[DataFrame] = []
     spark = df.sparkSession
-    fold_of = {r["id"]: r["fold"] for r in df.select("id", "fold").collect()} if any(m in CLOSED_FORM for m in models) else {}
-    ids, x_all, y_all = matrix(df.select("id", "features", "y")) if fold_of else (np.zeros(0), np.zeros((0, 0)), np.zeros(0))
+    small = any(m in CLOSED_FORM for m in models)
+    ids, x_all, y_all = matrix(df.select("id", "features", "y")) if small else (np.zeros(0), np.zeros((0, 0)), np.zeros(0))
+    fold_of = {r["id"]: r["fold"] for r in df.select("id", "fold").collect()} if small else {}  # matrix() has bounded the rows
     folds = np.array([fold_of[i] for i in ids.tolist()]) if fold_of else np.zeros(0, int)
     chosen: dict[int, list[int]] = {}
     for f in range(outer):

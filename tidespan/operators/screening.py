@@ -374,6 +374,27 @@ def select_features(df: DataFrame, method: str, screened: list[int] | None = Non
     return [cols[i] for i in got]
 
 
+def selection_pipeline(df: DataFrame, config: dict) -> list[int]:
+    """Imputation, then as configured: unsupervised prescreening, supervised prescreening, one selection method, and
+    after mRMR recursive elimination with a vote of models.
+
+    config keys: unsupervised {least_variance, above} or None, supervised {corr_percentile, mi_percentile} or None,
+    method, options of the method, rfe {models, keep, step, rule} or None.
+    """
+    left = unsupervised_prescreen(df, **config["unsupervised"])[0] if config.get("unsupervised") else None
+    full, kept = imputed(df)
+    cols = [kept.index(i) for i in left] if left is not None else list(range(len(kept)))
+    if config.get("supervised"):
+        part = full.withColumn("features", F.array(*[F.get("features", F.lit(i)) for i in cols]))
+        cols = [cols[i] for i in prescreen(part, **config["supervised"])]
+    cols = select_features(full, config["method"], cols, **config.get("options", {}))
+    if config["method"] == "mrmr" and (r := config.get("rfe")):
+        votes = [(m, f) for m in r["models"] for f in rfe(full, cols, m, r["keep"], r["step"], r.get("trees", 20), r.get("depth", 5))]
+        table = df.sparkSession.createDataFrame(votes, "model string, feature int")
+        cols = sorted(x["feature"] for x in consensus(table, len(r["models"]), r.get("rule", "all")).collect())
+    return [kept[i] for i in cols]
+
+
 def mrmr_grid(df: DataFrame, ks: list[int], folds: int = 5, ridge: float = 1.0) -> DataFrame:
     """k, rmse_mean, rmse_std over folds for prefixes of one mRMR ranking (ridge as the judge); bounded."""
     n, _, cov = moments(df)

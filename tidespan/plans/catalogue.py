@@ -263,6 +263,11 @@ def month_distribution(spark, d):
     return _peaks(spark, d).groupBy("peak_month").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {_PEAKS} SELECT CASE WHEN len(reasons) > 0 THEN 'anomalous' ELSE 'normal' END AS status, count(*) AS n FROM flags GROUP BY 1")
+def peak_status(spark, d):
+    return _peaks(spark, d).groupBy(F.when(F.col("peak_anomalous"), "anomalous").otherwise("normal").alias("status")).agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {_PEAKS} SELECT id, {rs('peak_gcvi')} FROM flags WHERE len(reasons) = 0")
 def exclude_anomalous(spark, d):
     return rounded(_peaks(spark, d).where("not peak_anomalous").select("id", "peak_gcvi"), "peak_gcvi")
@@ -480,6 +485,12 @@ def safe_division(spark, d):
     return p.select("p_partkey", r(safe_div("p_retailprice", F.col("p_size").cast("double") - 25.0), 6).alias("ratio"), clip(F.col("p_retailprice") * 1e-3, 0, 1).alias("clamped"))
 
 
+@query(f"SELECT event_id, {rs('value + 250.0 - 273.15', 'celsius')}, {rs('abs((value - 100.0) / 1000.0 * 1000.0)', 'mm')} FROM events")
+def unit_conversions(spark, d):
+    v = F.col("value")
+    return t(spark, d, "events").select("event_id", r(ag.kelvin_to_celsius(v + 250.0)).alias("celsius"), r(ag.metres_to_mm((v - 100.0) / 1000.0)).alias("mm"))
+
+
 _BAND_ROWS = "bands AS (SELECT l_orderkey, l_linenumber, " + ", ".join(f"((l_partkey * {7 + i} + l_orderkey * {3 + i} + l_linenumber) % 10007) * 1e-4 AS {b}" for i, b in enumerate(ag.BANDS)) + " FROM lineitem)"
 
 
@@ -787,6 +798,31 @@ def spatial_point_in_polygon(spark, d):
     return st.locate(pts, areas, "lon", "lat").select("id", F.col("name").alias("county"))
 
 
+@query(
+    f"""WITH p AS (SELECT c_custkey AS id, c_nationkey + 0.37 AS lon, (c_custkey % 200) / 10.0 + 0.013 AS lat, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS county, CASE WHEN c_custkey % 2 = 0 THEN 'own' END AS state FROM customer),
+    a(name, st) AS (VALUES ('A', 'SA'), ('B', 'SB'))
+    SELECT p.id, coalesce(p.county, a.name) AS county, CASE WHEN p.county IS NULL THEN coalesce(p.state, a.st) ELSE p.state END AS state
+    FROM p LEFT JOIN a ON CASE WHEN a.name = 'A' THEN {_inside_sql(_RINGS["A"])} ELSE {_inside_sql(_RINGS["B"])} END"""
+)
+def county_fill(spark, d):
+    k = F.col("c_custkey")
+    pts = t(spark, d, "customer").select(
+        k.alias("id"),
+        (F.col("c_nationkey") + 0.37).alias("centroid_lon"),
+        ((k % 200) / 10.0 + 0.013).alias("centroid_lat"),
+        F.when(k % 3 == 0, F.col("c_mktsegment")).alias("county"),
+        F.when(k % 2 == 0, F.lit("own")).alias("state"),
+    )
+    rows = [(n, f"S{n}", [{"lon": x, "lat": y} for x, y in v]) for n, v in _RINGS.items()]
+    areas = spark.createDataFrame(rows, "NAME string, STATE_NAME string, ring array<struct<lon: double, lat: double>>")
+    return st.fill_counties(pts, areas).select("id", "county", "state")
+
+
+@query()
+def sample_fields(spark, d):
+    return se.seeded_sample(events(spark, d), "entity", 12)
+
+
 @query(
     "SELECT l_suppkey, "
     + ", ".join(
@@ -919,6 +955,18 @@ def rfe_consensus(spark, d):
     return sc.consensus(spark.createDataFrame(_VOTES, "model string, feature string"), 3, "majority")
 
 
+@query()
+def selection_pipeline(spark, d):
+    config = {
+        "unsupervised": {"least_variance": 1e-6, "above": 0.9},
+        "supervised": {"corr_percentile": 85, "mi_percentile": 80},
+        "method": "mrmr",
+        "options": {"k": 12},
+        "rfe": {"models": ["RandomForest", "XGBoost"], "keep": 6, "step": 6, "trees": 5, "depth": 3, "rule": "majority"},
+    }
+    return spark.createDataFrame([(i,) for i in sc.selection_pipeline(vectors(spark, d), config)], "idx int")
+
+
 # ------------------------------------------------------------------ folds, scaling, metrics
 @query(
     """WITH q AS (SELECT quantile_cont(p_retailprice, 0.2) AS q1, quantile_cont(p_retailprice, 0.4) AS q2, quantile_cont(p_retailprice, 0.6) AS q3, quantile_cont(p_retailprice, 0.8) AS q4 FROM part)
