@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, importance, language, licenses, near_dups, packing, phrases, quality, secrets, tokens
+from . import contamination, importance, language, licenses, near_dups, oracles, packing, phrases, quality, secrets, tokens
 from .common import stored
 
 
@@ -63,4 +63,11 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """None for the operators whose results need random numbers, a fitted model, a tokenizer or templates."""
+    return {
+        "op2_phrase_automata": oracles.OP2,
+        "op4_secret_ownership": oracles.OP4,
+        "op6_rule_ledger": oracles.OP6,
+        "op8_chosen_path": oracles.OP8,
+        "op9_containment_search": oracles.OP9,
+    }

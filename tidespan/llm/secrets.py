@@ -113,11 +113,14 @@ def redact(docs: DataFrame, shared_owners: int = 3, mark: str = "[SECRET]") -> D
 
     Needs columns doc_id, text, source.  Documents without such a value pass unchanged, those with a null id too.
     """
+    v = "_values"
+    while v in docs.columns:
+        v += "_"
     found = find(docs)
-    live = scan(found, shared_owners).where("live and doc_id is not null").groupBy("doc_id").agg(F.collect_set("value").alias("_v"))
-    longest = F.reverse(F.array_sort(F.transform("_v", lambda v: F.struct(F.char_length(v).alias("n"), v.alias("v")))))
-    clean = F.aggregate(longest, F.col("text"), lambda t, v: F.replace(t, v["v"], F.lit(mark)))
-    out = docs.join(live, "doc_id", "left").withColumn("text", F.when(F.col("_v").isNull(), F.col("text")).otherwise(clean))
+    live = scan(found, shared_owners).where("live and doc_id is not null").groupBy("doc_id").agg(F.collect_set("value").alias(v))
+    longest = F.reverse(F.array_sort(F.transform(v, lambda x: F.struct(F.char_length(x).alias("n"), x.alias("v")))))
+    clean = F.aggregate(longest, F.col("text"), lambda t, x: F.replace(t, x["v"], F.lit(mark)))
+    out = docs.join(live, "doc_id", "left").withColumn("text", F.when(F.col(v).isNull(), F.col("text")).otherwise(clean))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_v").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col(v).isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
