@@ -6,6 +6,9 @@ batch at once with prefix sums; every hash is finished with a mixing step.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -15,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are handled in slices of at most this many bytes (a longer single text is one slice).
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,6 +48,20 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema); when a task ends, its worker gives freed memory back to the system, because workers
+    live on and share an executor's memory with what comes next."""
+
+    def tidy(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only in the GNU C library
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return df.mapInArrow(tidy, schema)
+
+
 def byte_table(*ranges: tuple[int, int]) -> np.ndarray:
     table = np.zeros(256, bool)
     for lo, hi in ranges:

@@ -9,7 +9,7 @@ windows have equal anchors, and about seven windows in a row share one.
    written as (segment hash, document, position), the words of each distinct segment once per task.
 3. Segments meet by anchor, which is the shard key: windows found in two places are the confirmed passages.  Whole
    anchors are gathered up to a fixed number of segments, their confirmed windows compiled into an Aho-Corasick
-   automaton over word numbers, and the segments streamed through it: it gives every occurrence, with the least
+   automaton over groups of words, and the segments streamed through it: it gives every occurrence, with the least
    document that holds the window.  An anchor with very many places is sharded by the window itself instead.
 4. Places take their segment's result; the words they cover are cut from the documents.
 """
@@ -26,14 +26,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .common import SPACE_WORDS, bitmap, discard, in_bitmap, mix, stored, text_slices, window_hashes, word_hashes, words
+from .common import SPACE_WORDS, bitmap, discard, in_bitmap, map_arrow, mix, stored, text_slices, window_hashes, word_hashes, words
 
 #: Segments that one automaton is compiled from (more only where a single anchor has more).
-SHARD_SEGMENTS = 20_000
+SHARD_SEGMENTS = 5_000
 #: Bits of the map of recurring anchors: 16 for each, within these powers of two.
 MAP_BITS = (16, 28)
 #: An anchor is sharded by window from so many places on, or from a millionth of all places on if that is more.
 HOT_PLACES = 2_000
+#: Words that make one symbol of an automaton; the window size is a multiple.
+GROUP = 5
 _NEVER = np.int64(2**63 - 1)
 
 
@@ -62,7 +64,7 @@ def anchors(texts: DataFrame, size: int, gram: int) -> DataFrame:
                     new = np.r_[True, (a[1:] != a[:-1]) | (doc[1 : len(a)] != doc[: len(a) - 1])] & ok
                     yield pa.RecordBatch.from_arrays([pa.array(a[new].view(np.int64))], ["a"])
 
-    return texts.select("text").mapInArrow(run, "a long")
+    return map_arrow(texts.select("text"), run, "a long")
 
 
 def segments(texts: DataFrame, size: int, gram: int, seen_map, hot) -> DataFrame:
@@ -106,7 +108,7 @@ def segments(texts: DataFrame, size: int, gram: int, seen_map, hot) -> DataFrame
                     ["key", "seg", "doc", "row", "pos", "words"],
                 )
 
-    return texts.mapInArrow(run, "key long, seg long, doc long, row long, pos int, words binary")
+    return map_arrow(texts, run, "key long, seg long, doc long, row long, pos int, words binary")
 
 
 class Shard:
@@ -136,18 +138,34 @@ class Shard:
         confirmed = np.flatnonzero(count >= 2)
         if not len(confirmed):
             return [], []
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for c, start in zip(confirmed.tolist(), at[where[confirmed]].tolist(), strict=True):
-            automaton.add_word(tuple(flat[start : start + self.size].tolist()), int(low[c]))
+        # GROUP words make one symbol of three letters out of 64 (the automaton looks children up one by one, so the
+        # alphabet has to be small); a passage is size / GROUP symbols.  The segments are streamed once for each phase,
+        # all in one string with three line feeds after each.
+        code = (window_hashes(mix(flat.astype(np.uint64)), GROUP) >> np.uint64(46)).astype(np.int64)
+        letters = (np.stack([code >> 12, code >> 6 & 63, code & 63], axis=1) + 32).astype(np.uint8)
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        keys = letters[at[where[confirmed]][:, None] + np.arange(0, self.size, GROUP)].reshape(len(confirmed), -1)
+        for i, key in enumerate(np.ascontiguousarray(keys).view(f"S{keys.shape[1]}").ravel().astype(str).tolist()):
+            automaton.add_word(key, i)
         automaton.make_automaton()
-        out_seg, out = [], []
-        for i in np.unique(own[np.isin(number, confirmed)]).tolist():
-            found = np.full(int(n[i]), _NEVER)
-            for end, doc in automaton.iter(tuple(body[i].tolist())):
-                found[end - self.size + 1] = doc
-            out_seg.append(segs[i])
-            out.append(found.astype("<i8").tobytes())
-        return out_seg, out
+        found = np.full(len(at), _NEVER)
+        base = np.cumsum(n) - n
+        for phase in range(GROUP):
+            long = np.maximum(0, (lens - phase) // GROUP)
+            ends = np.cumsum(long + 1)
+            inside = np.arange(int(ends[-1])) - np.repeat(ends - long - 1, long + 1)
+            seg = np.repeat(np.arange(len(segs)), long + 1)
+            place = first[seg] + phase + inside * GROUP
+            stream = letters[np.minimum(place, len(letters) - 1)]
+            stream[inside == long[seg]] = 10
+            hits = np.array(list(automaton.iter(stream.tobytes().decode("ascii"))), np.int64).reshape(-1, 2)
+            hits = hits[hits[:, 0] % 3 == 2]  # of whole symbols
+            spot = hits[:, 0] // 3
+            window = base[seg[spot]] + inside[spot] * GROUP + phase - (self.size - GROUP)
+            same = number[window] == confirmed[hits[:, 1]]  # the whole window, not only its symbols
+            found[window[same]] = low[confirmed[hits[same, 1]]]
+        lone = np.flatnonzero(np.bincount(own[found < _NEVER], minlength=len(segs)) > 0)
+        return [segs[i] for i in lone.tolist()], [found[base[i] : base[i] + n[i]].astype("<i8").tobytes() for i in lone.tolist()]
 
 
 def locate(table: DataFrame, size: int) -> DataFrame:
@@ -173,7 +191,7 @@ def locate(table: DataFrame, size: int) -> DataFrame:
         if shard.words:
             yield _located(shard)
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "seg long, least binary")
+    return map_arrow(rows.repartition("key").sortWithinPartitions("key"), run, "seg long, least binary")
 
 
 def _located(shard: Shard) -> pa.RecordBatch:
@@ -208,7 +226,7 @@ def repeated_spans(texts: DataFrame, size: int, gram: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(row[own[s]]), pa.array(start.astype(np.int64) << 32 | end)], ["row", "span"])
 
     placed = table.select("seg", "row", "doc", "pos").join(least, "seg").select("row", "doc", "pos", "least")
-    return placed.mapInArrow(run, "row long, span long").groupBy("row").agg(F.collect_list("span").alias("spans"))
+    return map_arrow(placed, run, "row long, span long").groupBy("row").agg(F.collect_list("span").alias("spans"))
 
 
 def remove_repeated(docs: DataFrame, size: int = 20, gram: int = 8, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,6 +238,8 @@ def remove_repeated(docs: DataFrame, size: int = 20, gram: int = 8, with_text: b
     one would); an empty table gives an empty one; other columns are not read.  Texts are handled whole.
     """
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
+    if size % GROUP:
+        raise ValueError(f"the window size must be a multiple of {GROUP}")
     texts = docs.select(doc.alias("doc"), F.xxhash64(F.lit("row"), id_col, text_col).alias("row"), F.col(text_col).alias("text"))
     spans = repeated_spans(texts, size, gram)
     kind = docs.schema[id_col].dataType
@@ -272,4 +292,4 @@ def remove_repeated(docs: DataFrame, size: int = 20, gram: int = 8, with_text: b
     fields = [T.StructField("doc_id", kind), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     schema = T.StructType(fields + [T.StructField("kept_text", T.StringType())] * with_text)
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.lit("row"), id_col, text_col).alias("row"))
-    return keyed.join(spans, "row", "left").select("doc_id", "text", "spans").mapInArrow(run, schema)
+    return map_arrow(keyed.join(spans, "row", "left").select("doc_id", "text", "spans"), run, schema)
