@@ -41,7 +41,7 @@ def test_single_value_and_empty_cells(spark):
 def test_windows_are_broadcast(spark):
     df = spark.range(100).select(F.col("id"), (F.col("id") % 50).cast("int").alias("day"), F.lit(1.0).alias("value"))
     plan = periods.in_periods(df, periods.windows(spark, "phenological"), "day")._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastNestedLoopJoin" in plan and "CartesianProduct" not in plan
+    assert "BroadcastHashJoin" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
 def test_clip_keeps_null(spark):
@@ -160,8 +160,8 @@ def test_sweep_resumes(spark, tmp_path):
 
 
 def test_sources(spark, tmp_path):
-    (tmp_path / "wheat_daily_meteo_1.csv").write_text("field_key,date,precip,t2m_mean\na,2025-01-01,1.5,NaN\n")
-    (tmp_path / "wheat_daily_meteo_2.csv").write_text("date,field_key,t2m_mean\n2025-01-02,a,3.0\n")
+    (tmp_path / "farm_daily_meteo_1.csv").write_text("field_key,date,precip,t2m_mean\na,2025-01-01,1.5,NaN\n")
+    (tmp_path / "farm_daily_meteo_2.csv").write_text("date,field_key,t2m_mean\n2025-01-02,a,3.0\n")
     got = {str(r["date"]): (r["precip"], r["t2m_mean"]) for r in tables.read_weather(spark, str(tmp_path)).collect()}
     assert got == {"2025-01-01": (1.5, None), "2025-01-02": (None, 3.0)}
     with pytest.raises(FileNotFoundError):

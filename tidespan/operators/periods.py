@@ -90,9 +90,9 @@ def window_table(spark: SparkSession, rows: list[tuple], kind: str) -> DataFrame
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"ord int, period string, lo {kind}, hi {kind}")
 
 
-def relative_days(series: DataFrame, anchors: DataFrame, key: str, day: str, anchor: str, name: str = "normalized_day") -> DataFrame:
-    """Days since the entity's anchor; entities without one drop out."""
-    known = anchors.where(F.col(anchor).isNotNull()).select(key, anchor)
+def relative_days(series: DataFrame, anchors: DataFrame, key: str, day: str, anchor: str, name: str = "normalized_day", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Days since the entity's anchor; entities without one drop out.  carry: further columns of anchors to keep."""
+    known = anchors.where(F.col(anchor).isNotNull()).select(key, anchor, *carry)
     return series.join(known, key).withColumn(name, F.datediff(day, anchor))
 
 
@@ -117,8 +117,14 @@ def statistic(name: str, x: Column | str, position: Column | str = "_pos") -> Co
 
 
 def in_periods(series: DataFrame, control: DataFrame, axis: str) -> DataFrame:
-    """A row of series for every window that holds it (both ends included); windows may overlap."""
-    return series.join(F.broadcast(control), F.col(axis).between(F.col("lo"), F.col("hi")))
+    """A row of series for every window that holds it (both ends included); windows may overlap.
+
+    Days and dates are whole numbers, so the windows are written out by day (a few thousand rows) and a row finds its
+    windows in a broadcast hash table instead of trying every one.
+    """
+    step = "1" if dict(control.dtypes)["lo"] == "int" else "interval 1 day"
+    days = control.where("lo <= hi").withColumn("_day", F.explode(F.sequence("lo", "hi", F.expr(step))))
+    return series.join(F.broadcast(days), F.col(axis) == F.col("_day")).drop("_day")
 
 
 def aggregate(

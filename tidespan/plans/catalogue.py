@@ -292,7 +292,7 @@ _REL = """rel AS (SELECT o.o_orderpriority AS entity, l.l_orderkey, l.l_linenumb
 def _relative(spark, d):
     lines = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.col("l_extendedprice").alias("value"), F.to_date("l_shipdate").alias("date"))
     anchors = t(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.to_date("o_orderdate").alias("peak_date"), F.col("o_orderpriority").alias("entity"))
-    return pe.relative_days(lines, anchors, "l_orderkey", "date", "peak_date").join(anchors.select("l_orderkey", "entity"), "l_orderkey")
+    return pe.relative_days(lines, anchors, "l_orderkey", "date", "peak_date", carry=("entity",))
 
 
 def _values(rows: list[tuple], date: bool = False) -> str:

@@ -18,6 +18,9 @@ WEATHER = ("t2m_mean", "t2m_min", "t2m_max", "precip", "pet", "dewpoint", "ssrd_
 TERRAIN_NAMES = {"elev_mean": "elevation", "slope_mean": "slope", "aspect_mean": "aspect", "centroid_l": "centroid_lon", "centroid_1": "centroid_lat"}
 TERRAIN_KEEP = ("elevation", "slope", "aspect", "elev_std", "elev_range")
 
+#: Patterns of the daily files' names.
+SPECTRAL_FILES, WEATHER_FILES = "*_daily_s2_*.csv", "*_daily_meteo_*.csv"
+
 log = logging.getLogger("tidespan")
 
 
@@ -58,11 +61,11 @@ def read_daily_csv(spark: SparkSession, pattern: str, schema: T.StructType) -> D
 
 
 def read_spectral(spark: SparkSession, folder: str) -> DataFrame:
-    return read_daily_csv(spark, f"{folder}/wheat_daily_s2_*.csv", SPECTRAL_SCHEMA)
+    return read_daily_csv(spark, f"{folder}/{SPECTRAL_FILES}", SPECTRAL_SCHEMA)
 
 
 def read_weather(spark: SparkSession, folder: str) -> DataFrame:
-    return read_daily_csv(spark, f"{folder}/wheat_daily_meteo_*.csv", WEATHER_SCHEMA)
+    return read_daily_csv(spark, f"{folder}/{WEATHER_FILES}", WEATHER_SCHEMA)
 
 
 def read_static(spark: SparkSession, path: str, columns: list[str], target: str = "protein_pct", key: str = "field_key") -> tuple[DataFrame, DataFrame]:
