@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, text_slices
+from .common import map_arrow, stored, text_slices, word_hashes
 
-#: Distinct words whose ids a Python worker keeps before it starts afresh.
+#: Distinct words whose ids a Python worker keeps (some 40 bytes each) before it starts afresh.
 CACHE_WORDS = 1_000_000
 #: Bytes of text that are split and encoded together.
-ENCODED_TOGETHER = 1 << 23
+ENCODED_TOGETHER = 1 << 22
 #: Pieces of one length that are ranked in one window group.
 RANKED_TOGETHER = 200_000
 
@@ -141,15 +141,56 @@ def plan(histogram: dict[int, int], capacity: int) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 6)
 
 
+class HashIndex:
+    """64-bit hashes to entry numbers, in two sorted arrays (a dictionary of strings takes ten times the memory)."""
+
+    def __init__(self) -> None:
+        self.keys, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Entry of each key, -1 if there is none."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int32)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.entry[at], np.int32(-1))
+
+    def add(self, keys: np.ndarray, first: int) -> None:
+        """New keys, numbered from first."""
+        keys = np.concatenate([self.keys, keys])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.entry = keys[order], np.concatenate([self.entry, np.arange(first, first + len(keys) - len(self.entry), dtype=np.int32)])[order]
+
+
+class Ids:
+    """Rows of token ids, one after the other."""
+
+    def __init__(self) -> None:
+        self.ids, self.at, self.len = np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def add(self, ids: np.ndarray, lens: np.ndarray) -> None:
+        self.at = np.concatenate([self.at, (len(self.ids) + np.cumsum(lens) - lens).astype(np.int32)])
+        self.len, self.ids = np.concatenate([self.len, lens.astype(np.int32)]), np.concatenate([self.ids, ids])
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows' ids, and the end of each."""
+        size = self.len[rows]
+        ends = np.cumsum(size)
+        src = np.repeat(self.at[rows] - (ends - size).astype(np.int32), size)
+        src += np.arange(len(src), dtype=np.int32)
+        return self.ids[src], ends
+
+
 class WordEncoder:
     """Token ids by way of a cache of space-separated words; no pre-token of the vocabulary spans a space.
 
-    Words new to the cache are encoded joined by spaces, many at once.  The vocabulary's tokens that end a
-    pre-token carry a mark, so a joined result can be cut wherever a word's number of pre-tokens is known: one for
-    letters alone, two for letters and a run of stops or commas.  All other words are encoded one by one.
+    Letters (of Latin-1) and a run of stops or commas are pre-tokens of their own, so a word of that form is put together from
+    its letters' ids and the run's.  Letters new to the cache are encoded joined by spaces, many at once: the
+    vocabulary's tokens that end a pre-token carry a mark, by which the result is cut.  All other words are encoded
+    one by one.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int):
+        self.end_id = end_id
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -162,79 +203,96 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.at, self.len = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def one_by_one(self, new: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(new, add_special_tokens=False)]
-
-    def joined(self, new: list[str], parts: list[int]) -> list[np.ndarray]:
-        """Ids of words whose numbers of pre-tokens are known."""
+        """Forget all words; entry 0 is the end of a text."""
+        self.words, self.parts = HashIndex(), HashIndex()
+        self.word_ids, self.part_ids = Ids(), Ids()
+        self.word_ids.add(np.array([self.end_id], np.uint32), np.ones(1, np.int64))
+
+    def one_by_one(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All words' ids in a row, and each word's number of them."""
+        got = [e.ids for e in self.tok.encode_batch_fast(new, add_special_tokens=False)]
+        return np.array([i for ids in got for i in ids], np.uint32), np.fromiter(map(len, got), np.int64, len(got))
+
+    def joined(self, new: list[str], parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words whose numbers of pre-tokens are known."""
         out = []
         for lo in range(0, len(new), 500):
             group = new[lo : lo + 500]
             ids = np.array(self.tok.encode(" ".join(group), add_special_tokens=False).ids, np.uint32)
             ends = np.flatnonzero(self.closes[ids]) + 1
-            last = np.cumsum(parts[lo : lo + 500]) - 1
-            if len(ends) == last[-1] + 1 and ends[-1] == len(ids):
-                out += np.split(ids, ends[last[:-1]])
+            last = np.cumsum(parts[lo : lo + 500])
+            if len(ends) == last[-1] and ends[-1] == len(ids):
+                out.append((ids, np.diff(ends[last - 1], prepend=0)))
             else:
-                out += self.one_by_one(group)
-        return out
-
-    def learn(self, new: list[str]) -> None:
-        plain, parts, other = [], [], []
-        for w in new:
+                out.append(self.one_by_one(group))
+        ids, lens = zip(*out, strict=True) if out else ((np.zeros(0, np.uint32),), (np.zeros(0, np.int64),))
+        return np.concatenate(ids), np.concatenate(lens)
+
+    def part_entries(self, parts: list[str], encode) -> np.ndarray:
+        """Entries of parts, those that are new encoded first."""
+        keys = np.fromiter(map(hash, parts), np.int64, len(parts)).view(np.uint64)
+        got = self.parts.find(keys)
+        if len(missing := np.flatnonzero(got < 0)):
+            fresh, first = np.unique(keys[missing], return_index=True)
+            ids, lens = encode([parts[i] for i in missing[first].tolist()])
+            self.parts.add(fresh, len(self.part_ids.len))
+            self.part_ids.add(ids, lens)
+            got = self.parts.find(keys)
+        return got
+
+    def learn(self, new: list[str]) -> np.ndarray:
+        """Encode words and return their entries: those of letters, perhaps with stops or commas after them, by way of
+        their letters in lower case, which most of them share with other words; the rest as they stand."""
+        cores, tails, simple = [], [], np.zeros(len(new), bool)
+        for i, w in enumerate(new):
             core = w.rstrip(".,")
-            if core.isalpha():
-                plain.append(w)
-                parts.append(1 + (len(core) < len(w)))
-            else:
-                other.append(w)
-        got = [*self.joined(plain, parts), *self.one_by_one(other)]
-        lens = np.fromiter(map(len, got), np.int64, len(got))
-        self.known.update(zip([*plain, *other], range(len(self.known), len(self.known) + len(got)), strict=True))
-        self.at = np.r_[self.at, len(self.ids) + np.cumsum(lens) - lens]
-        self.len, self.ids = np.r_[self.len, lens], np.concatenate([self.ids, *got])
-
-    def encode(self, data: np.ndarray, offs: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """All texts' ids in one array, end_id after each, and each text's number of ids."""
-        if len(self.known) > CACHE_WORDS:
+            if core.isalpha() and (core.isascii() or max(core) <= "\xff"):  # beyond, lower case or NFC may part letters
+                simple[i] = True
+                tails.append(w[len(core) :])
+                cores.append(core.lower())
+        letters = self.part_entries(cores, lambda x: self.joined(x, np.ones(len(x), np.int64)))
+        both = np.stack([letters, self.part_entries(tails, self.one_by_one)], axis=1).ravel()
+        ids, ends = self.part_ids.take(both)
+        first = len(self.word_ids.len)
+        self.word_ids.add(ids, np.diff(ends[1::2], prepend=0))
+        self.word_ids.add(*self.one_by_one([w for w, s in zip(new, simple.tolist(), strict=True) if not s]))
+        entry = np.empty(len(new), np.int32)
+        entry[np.r_[np.flatnonzero(simple), np.flatnonzero(~simple)]] = np.arange(first, first + len(new), dtype=np.int32)
+        return entry
+
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids in one array, the end id after each, and each text's number of ids."""
+        if len(self.words.keys) > CACHE_WORDS:
             self.clear()
         data = np.where(data == 10, np.uint8(32), data)
         texts = pa.Array.from_buffers(pa.large_string(), len(offs) - 1, [None, pa.py_buffer(np.ascontiguousarray(offs)), pa.py_buffer(data)])
         split = pc.split_pattern(texts, " ")
         coded = split.flatten().dictionary_encode()
-        own = coded.dictionary.to_pylist()
-        if new := [w for w in own if w not in self.known]:
-            self.learn(new)
-        code = np.fromiter(map(self.known.__getitem__, own), np.int64, len(own))[coded.indices.to_numpy()]
-        size = self.len[code]
-        ends = np.cumsum(size)
-        total = np.r_[0, ends][split.offsets.to_numpy()]
-        per = np.diff(total) + 1
-        src = np.repeat(self.at[code] - (ends - size), size) + np.arange(total[-1])
-        out = np.full(int(per.sum()), end_id, np.uint32)
-        keep = np.ones(len(out), bool)
-        keep[np.cumsum(per) - 1] = False
-        out[keep] = self.ids[src]
-        return out, per
+        own = coded.dictionary
+        raw, at = own.buffers()[2], np.frombuffer(own.buffers()[1], np.int64)[: len(own) + 1]
+        keys = word_hashes(np.frombuffer(raw, np.uint8)[: at[-1]] if raw is not None else np.zeros(0, np.uint8), at[:-1], at[1:])
+        entry = self.words.find(keys)
+        if len(missing := np.flatnonzero(entry < 0)):
+            entry[missing] = self.learn(own.take(pa.array(missing)).to_pylist())
+            order = np.argsort(entry[missing])
+            self.words.add(keys[missing][order], int(entry[missing].min()))
+        code = entry[coded.indices.to_numpy()]
+        ids, ends = self.word_ids.take(np.insert(code, split.offsets.to_numpy()[1:], 0))  # and the end of each text
+        return ids, np.diff(ends[split.offsets.to_numpy()[1:] + np.arange(len(offs) - 1)], prepend=0)
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
 def tokenized_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece: a document's ids and end_id, cut at capacity."""
 
     def run(batches):
-        if path not in _encoders:
-            _encoders[path] = WordEncoder(path)
-        enc = _encoders[path]
+        enc = _encoders.get((path, end_id)) or _encoders.setdefault((path, end_id), WordEncoder(path, end_id))
         for batch in batches:
             out = []
             for lo, _, data, offs in text_slices(batch, "text", ENCODED_TOGETHER):
-                ids, per = enc.encode(data, offs, end_id)
+                ids, per = enc.encode(data, offs)
                 ends = np.cumsum(per)
                 pieces = -(-per // capacity)
                 row = np.repeat(np.arange(lo, lo + len(per)), pieces)
@@ -257,7 +315,7 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_
     schema = T.StructType(
         [T.StructField("doc_id", kind), T.StructField("piece", T.IntegerType()), *[T.StructField(c, long) for c in ("start", "length", "ids_crc32")]]
     )
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, schema)
 
 
 def assign(pieces: DataFrame, rows: np.ndarray, salts: int) -> DataFrame:
@@ -282,7 +340,7 @@ def assign(pieces: DataFrame, rows: np.ndarray, salts: int) -> DataFrame:
 
     long = T.LongType()
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", long), T.StructField("offset", long)])
-    return ranked.mapInArrow(run, schema)
+    return map_arrow(ranked, run, schema)
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
