@@ -25,6 +25,7 @@ from ..operators import series as se
 from ..operators import statics as st
 from ..operators import sweep as sw
 from ..sources import rasters
+from ..sources.session import importable
 from ..streaming import daily as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +51,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    importable(spark)
     return finite_columns(spark.read.parquet(f"{d}/{name}.parquet"))
 
 
@@ -858,6 +860,7 @@ def coverage(spark, d):
 # ------------------------------------------------------------------ screening
 def vectors(spark, d):
     """id, features (every 17th cell of a few rows missing), y."""
+    importable(spark)
     return spark.read.parquet(f"{d}/embeddings.parquet").select(
         F.col("vec_id").alias("id"), F.transform("embedding", lambda v, i: F.when((F.col("vec_id") * 7 + i) % 17 != 0, v.cast("double"))).alias("features"), F.col("label").cast("double").alias("y")
     )
