@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.session import importable
+
 #: Texts are handled in slices of at most this many bytes (a longer single text is one slice).
 SLICE_BYTES = 1 << 20
 
@@ -36,16 +38,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidespan_{name}_{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files below a stored() table that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete stored() tables that nothing reads any more."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
@@ -59,6 +62,7 @@ def map_arrow(df: DataFrame, run, schema) -> DataFrame:
         with contextlib.suppress(OSError, AttributeError):  # only in the GNU C library
             ctypes.CDLL(None).malloc_trim(0)
 
+    importable(df.sparkSession)
     return df.mapInArrow(tidy, schema)
 
 

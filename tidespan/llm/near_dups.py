@@ -5,10 +5,10 @@ in one node; at each node the path chooses one or two of the sketch's coordinate
 similar sets are likely to stay together and others part.  A node of at most `leaf` documents is compared
 exhaustively.  What is still larger after the deepest level is a mass of near copies: it is dealt into blocks of
 that size, and each block is also compared with the node's pivots, the same for all its blocks.  Independent trees
-repeat this.  Candidates are confirmed on full sets, and components taken of the confirmed links.
+repeat this, and components are taken of the links found.
 
-No pairs within a group are written out: a block first gives a spanning forest of its likely links; after those are
-confirmed, it gives only likely links between documents that are still in different components.
+A comparison first looks at one bit of each coordinate, then at the full sets of what is likely to be similar.  A
+block gives the links that span its components; pairs within a component are neither compared nor written out.
 """
 
 from __future__ import annotations
@@ -19,13 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, SPACE_WORDS, bitmap, in_bitmap, mix, stored, text_slices, window_hashes, word_hashes, words
+from .common import LOWER, SPACE_WORDS, bitmap, discard, in_bitmap, map_arrow, mix, stored, text_slices, window_hashes, word_hashes, words
 from .components import components
 
 COORDINATES = 256
 _rng = np.random.default_rng(8)
-_A = _rng.integers(1, 2**62, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(1, 2**62, COORDINATES, dtype=np.uint64)
+_A = _rng.integers(1, 2**31, COORDINATES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _rng.integers(1, 2**32, COORDINATES, dtype=np.uint32)
 
 
 def shingle_sets(batch: pa.RecordBatch, column: str, k: int):
@@ -47,8 +47,12 @@ def shingle_sets(batch: pa.RecordBatch, column: str, k: int):
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """The token of each coordinate: 16 bits of the least of its hash over the set."""
-    return np.array([(s * a + b).min() for a, b in zip(_A, _B, strict=True)], np.uint64).view("<u2")[1::4].copy()
+    """The token of each coordinate: the lower 16 bits of the least of its hash over the set."""
+    x = (s >> np.uint64(32)).astype(np.uint32)[:, None]
+    least = np.full(COORDINATES, 2**32 - 1, np.uint32)
+    for lo in range(0, len(s), 128):
+        np.minimum(least, (x[lo : lo + 128] * _A + _B).min(axis=0), out=least)
+    return (least & np.uint32(0xFFFF)).astype("<u2")  # the upper bits of a least value are nearly all 0
 
 
 def paths(sigs: np.ndarray, trees: int, depth: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +101,7 @@ def sketched(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
 
     long = T.LongType()
     schema = T.StructType([T.StructField(c, long) for c in ("doc_id", "n_shingles", "k1", "k2")] + [T.StructField("sig", T.BinaryType())])
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, schema)
 
 
 def nodes(reps: DataFrame, trees: int, depth: int, similarity: float) -> DataFrame:
@@ -112,7 +116,7 @@ def nodes(reps: DataFrame, trees: int, depth: int, similarity: float) -> DataFra
             rid = batch.column(0).take(pa.array(doc))
             yield pa.RecordBatch.from_arrays([rid, *[pa.array(way[:, i].view(np.int64)) for i in range(depth)]], ["rid", *[f"n{i}" for i in range(depth)]])
 
-    return reps.select("rid", "sig").mapInArrow(run, "rid long, " + ", ".join(f"n{i} long" for i in range(depth)))
+    return map_arrow(reps.select("rid", "sig"), run, "rid long, " + ", ".join(f"n{i} long" for i in range(depth)))
 
 
 def grouped_nodes(ways: DataFrame, depth: int, leaf: int, pivots: int) -> DataFrame:
@@ -138,38 +142,18 @@ def grouped_nodes(ways: DataFrame, depth: int, leaf: int, pivots: int) -> DataFr
     return out.distinct()
 
 
-def _forest(est: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs with est >= least, the likeliest first."""
-    i, j = np.nonzero(np.triu(est >= least, 1))
-    root = list(range(len(est)))
+def similar_bits(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs of rows of one-bit sketches (words of 64) have an estimated similarity of least or more.  Unequal
+    tokens still agree in a bit half of the time, so the similarity is 1 - 2 * differing bits / COORDINATES."""
+    most = int((1 - least) / 2 * COORDINATES)
+    apart = np.zeros((len(a), len(b)), np.uint16)
+    for w in range(a.shape[1]):
+        apart += np.bitwise_count(a[:, w, None] ^ b[None, :, w])
+    return apart <= most
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        return x
 
-    out = []
-    for a, b in zip(*(x[np.argsort(-est[i, j], kind="stable")].tolist() for x in (i, j)), strict=True):
-        ra, rb = find(a), find(b)
-        if ra != rb:
-            root[ra] = rb
-            out.append((a, b))
-    return out
-
-
-def likely(blocks: DataFrame, least: float) -> DataFrame:
-    """Candidate pairs (u < v) of blocks (node, block, rid, sig8, comp): a spanning forest of each block's likely
-    pairs where comp is null throughout, else all its likely pairs of different components."""
-
-    def pairs(rid: np.ndarray, sig: np.ndarray, comp: np.ndarray | None):
-        found = []
-        if comp is None:
-            est = (sig[:, None, :] == sig[None, :, :]).mean(axis=2)
-            found = _forest(est, least)
-        elif (comp != comp[0]).any():
-            est = (sig[:, None, :] == sig[None, :, :]).mean(axis=2)
-            found = list(zip(*np.nonzero(np.triu((est >= least) & (comp[:, None] != comp[None, :]), 1)), strict=True))
-        return [(min(rid[a], rid[b]), max(rid[a], rid[b])) for a, b in found]
+def by_block(rows: DataFrame, each, schema: str) -> DataFrame:
+    """Call each(table) for every block (node, block) of rows; tables arrive sorted, so only one block is held."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -180,25 +164,75 @@ def likely(blocks: DataFrame, least: float) -> DataFrame:
             yield from cut(held[:], held, True)
 
     def cut(parts: list[pa.RecordBatch], held: list[pa.RecordBatch], last: bool):
-        """Compare all whole blocks in parts; the last block may go on in the next batch and is held back."""
+        """All whole blocks in parts; the last one may go on in the next batch and is held back."""
         t = pa.Table.from_batches(parts).combine_chunks()
         key = np.stack([t.column("node").to_numpy(), t.column("block").to_numpy()], axis=1)
         edge = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-        starts, stops = np.r_[0, edge], np.r_[edge, len(key)]
+        starts, stops = np.r_[0, edge].tolist(), np.r_[edge, len(key)].tolist()
         whole = len(starts) if last else len(starts) - 1
-        held[:] = [] if last else t.slice(int(starts[-1])).to_batches()
-        rid = t.column("rid").to_numpy()
-        sig = np.frombuffer(b"".join(t.column("sig8").to_pylist()), np.uint8).reshape(-1, COORDINATES)
-        comp = None if t.column("comp").null_count else t.column("comp").to_numpy()
-        out = []
-        for a, b in zip(starts[:whole].tolist(), stops[:whole].tolist(), strict=True):
-            if b - a > 1:
-                out += pairs(rid[a:b], sig[a:b], None if comp is None else comp[a:b])
+        held[:] = [] if last else t.slice(starts[-1]).to_batches()
+        out = [x for a, b in zip(starts[:whole], stops[:whole], strict=True) if b - a > 1 and (x := each(t.slice(a, b - a))) is not None]
         if out:
-            u, v = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+            yield from pa.concat_tables(out).combine_chunks().to_batches()
+
+    return map_arrow(rows.repartition("node", "block").sortWithinPartitions("node", "block"), run, schema)
+
+
+def _bits(t: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column("bits").to_pylist()), "<u8").reshape(-1, COORDINATES // 64)
+
+
+def likely_members(blocks: DataFrame, least: float) -> DataFrame:
+    """(node, block, rid, bits): the documents of blocks that have a likely partner in their block."""
+
+    def each(t: pa.Table) -> pa.Table | None:
+        bits = _bits(t)
+        has = np.zeros(len(bits), bool)
+        for lo in range(0, len(bits), 256):
+            has[lo : lo + 256] = similar_bits(bits[lo : lo + 256], bits, least).sum(axis=1) > 1  # itself is one
+        return t.filter(pa.array(has)).select(["node", "block", "rid", "bits"]) if has.any() else None
+
+    return by_block(blocks, each, "node long, block long, rid long, bits binary")
+
 
-    return blocks.repartition("node", "block").sortWithinPartitions("node", "block").mapInArrow(run, "u long, v long").distinct()
+def linked(members: DataFrame, percent: int, least: float) -> DataFrame:
+    """(u, v): confirmed links that span each block's components.  members: node, block, rid, bits, set.
+
+    A document is compared, on full sets, with every likely partner that isn't in its component yet: no pair within
+    a component is looked at, and no pairs are written out but those that join two components.
+    """
+
+    def each(t: pa.Table) -> pa.Table | None:
+        rid, bits = t.column("rid").to_numpy(), _bits(t)
+        sets = [unpacked_set(x) for x in t.column("set").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.cumsum(size)
+        code = np.split(flat, ends[:-1])
+        label, mark, out = np.arange(len(rid)), np.zeros(int(flat.max()) + 1, bool), []
+        for lo in range(0, len(rid), 256):
+            near = similar_bits(bits[lo : lo + 256], bits, least)
+            for i in range(lo, min(lo + 256, len(rid))):
+                js = np.flatnonzero(near[i - lo] & (label != label[i]))
+                js = js[js > i]
+                js = js[100 * np.minimum(size[js], size[i]) >= percent * np.maximum(size[js], size[i])]
+                if not len(js):
+                    continue
+                mark[code[i]] = True
+                n = size[js]
+                at = np.repeat(ends[js] - n - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                shared = np.add.reduceat(mark[flat[at]].astype(np.int64), np.cumsum(n) - n)
+                mark[code[i]] = False
+                for j in js[100 * shared >= percent * (size[i] + n - shared)].tolist():
+                    if label[j] != label[i]:
+                        out.append((rid[i], rid[j]))
+                        label[label == label[j]] = label[i]
+        if not out:
+            return None
+        u, v = zip(*out, strict=True)
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return by_block(members, each, "u long, v long").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
 def packed_set(s: np.ndarray) -> bytes:
@@ -212,26 +246,6 @@ def unpacked_set(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets have 100 * |intersection| >= percent * |union|.  sets: rid, set (see packed_set)."""
-
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
-                    keep.append(False)
-                    continue
-                x, y = unpacked_set(a), unpacked_set(b)
-                at = np.searchsorted(x, y)
-                shared = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    both = pairs.join(sets.select(F.col("rid").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("rid").alias("v"), F.col("set").alias("b")), "v")
-    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
-
-
 def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """rid, set of the documents (rid, text) that ids may hold: a bit map of bounded size picks them without moving
     any text; the few others that share a bit do no harm."""
@@ -246,7 +260,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 sets = [packed_set(s) for s in shingle_sets(batch, "text", k)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["rid", "set"])
 
-    picked = docs.where("rid is not null").withColumn("h", F.xxhash64("rid")).mapInArrow(run, "rid long, set binary")
+    picked = map_arrow(docs.where("rid is not null").withColumn("h", F.xxhash64("rid")), run, "rid long, set binary")
     return picked.dropDuplicates(["rid"])
 
 
@@ -256,9 +270,9 @@ def near_duplicates(
     k: int = 5,
     trees: int = 6,
     depth: int = 2,
-    leaf: int = 64,
+    leaf: int = 4096,
     pivots: int = 4,
-    least: float = 0.78,
+    least: float = 0.74,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -267,8 +281,8 @@ def near_duplicates(
     Documents are linked when 100 * |A & B| >= percent * |A | B| for their sets of k-word shingles; component_id is
     the least id reachable, itself included; kept: doc_id is component_id.  A pair at the threshold shares a node of a
     tree's first level with a chance of 0.87 and of the second with one of about 0.78, so six trees miss about one in
-    ten thousand.  least: the estimated similarity, from 256 coordinates, from which a pair is confirmed (three
-    standard errors under 0.85).
+    ten thousand.  least: the similarity, estimated from one bit of each of 256 coordinates, from which full sets are
+    compared (three standard errors under 0.85).
 
     A null or empty text has an empty set and is linked with nothing.  Rows with equal sets are linked without a
     comparison; rows with equal ids are one vertex.  A row with a null id is grouped with equal sets only, its
@@ -281,29 +295,23 @@ def near_duplicates(
     reps = base.join(classes, (base.k1 == classes.k1) & (base.k2 == classes.k2) & (base.doc_id == classes.rid)).select("rid", "sig").dropDuplicates(["rid"])
     reps = stored(reps, "representatives")
 
-    def low_bytes(batches):
+    def one_bit(batches):
         for batch in batches:
             if batch.num_rows:
-                sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, COORDINATES, 2)[:, :, 0]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in sig], pa.binary())], ["rid", "sig8"])
+                sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(-1, COORDINATES)
+                bits = np.packbits(sig >> 8 & 1, axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in bits], pa.binary())], ["rid", "bits"])
 
     ways = stored(nodes(reps, trees, depth, percent / 100), "ways")
-    blocks = grouped_nodes(ways, depth, leaf, pivots)
-    blocks = stored(blocks, "nodes")
-    blocks = stored(blocks.join(reps.mapInArrow(low_bytes, "rid long, sig8 binary"), "rid"), "blocks")
-    first = stored(likely(blocks.withColumn("comp", F.lit(None).cast("long")), least), "likely")
-    # full sets of the documents in any block with a likely pair; later candidates are among the same blocks
+    members = stored(grouped_nodes(ways, depth, leaf, pivots), "nodes")
+    blocks = members.join(map_arrow(reps, one_bit, "rid long, bits binary"), "rid")
+    chosen = stored(likely_members(blocks, least), "likely")
+    discard(ways, members, reps)
     texts = docs.select(F.col(id_col).cast("long").alias("rid"), F.col(text_col).alias("text"))
-    ids = first.select(F.col("u").alias("rid")).unionByName(first.select(F.col("v").alias("rid"))).distinct()
-    sets = stored(full_sets(texts, ids, k), "sets")
-    links = stored(confirmed(first, sets, percent), "links")
+    sets = full_sets(texts, chosen.select("rid").distinct(), k)
+    links = stored(linked(chosen.join(sets, "rid"), percent, least), "links")
     comp = components(links)
-    labelled = blocks.join(ids, "rid", "left_semi").join(comp.withColumnRenamed("id", "rid"), "rid", "left")
-    labelled = labelled.withColumn("comp", F.coalesce("component", "rid")).drop("component")
-    second = stored(likely(labelled, least).join(first, ["u", "v"], "left_anti"), "likely_across")
-    more = stored(confirmed(second, sets, percent), "more_links")
-    if not more.isEmpty():
-        comp = components(links.unionByName(more))
+    discard(chosen, links)
     labels = classes.join(comp.withColumnRenamed("id", "rid"), "rid", "left").select("k1", "k2", F.coalesce("component", "rid").alias("_c"))
     empty = base.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     other = base.where("n_shingles > 0").select("doc_id", "n_shingles", "k1", "k2").join(labels, ["k1", "k2"]).select("doc_id", "n_shingles", F.col("_c").alias("component_id"))
