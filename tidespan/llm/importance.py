@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_table, stored, text_slices, window_hashes, word_hashes, words
+from .common import byte_table, map_arrow, stored, text_slices, window_hashes, word_hashes, words
 
 _LETTERS = byte_table((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 _MARKS = ~(_LETTERS | byte_table((0, 32)))
@@ -59,7 +59,7 @@ def log_ratios(texts: DataFrame, target: np.ndarray, buckets: int, prior: float)
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(good[at])], ["b", "raw", "good"])
 
-    counts = texts.mapInArrow(run, "b long, raw long, good long").groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toArrow()
+    counts = map_arrow(texts, run, "b long, raw long, good long").groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toArrow()
     raw, good = np.zeros(buckets), np.zeros(buckets)
     raw[counts.column("b").to_numpy()] = counts.column("raw").to_numpy()
     good[counts.column("b").to_numpy()] = counts.column("good").to_numpy()
@@ -85,7 +85,7 @@ def weigh(docs: DataFrame, target: np.ndarray, buckets: int = 1 << 18, prior: fl
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count), pa.array(mean)], ["doc_id", "n_grams", "log_weight"])
 
     kind = docs.schema[id_col].dataType
-    return texts.mapInArrow(run, T.StructType([T.StructField("doc_id", kind), T.StructField("n_grams", T.LongType()), T.StructField("log_weight", T.DoubleType())]))
+    return map_arrow(texts, run, T.StructType([T.StructField("doc_id", kind), T.StructField("n_grams", T.LongType()), T.StructField("log_weight", T.DoubleType())]))
 
 
 def kth_largest(df: DataFrame, column: str, k: int, together: int = 10_000) -> tuple[float, int]:

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import map_arrow, text_slices
+
 _WORD = re.compile(r"[^\W\d_]+")
 _LETTER = re.compile(r"[^\W\d_]")
 LONGEST = 4
@@ -30,31 +32,39 @@ def grams(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """Log frequencies by language of words (level 0) and of character n-grams (level n)."""
+    """Log frequencies by language: one row of a matrix for each word (level 0) and character n-gram (level n)."""
 
     def __init__(self, rows: list[tuple[str, int, str, int]], languages: list[str]):
         self.languages = languages
-        at = {lang: i for i, lang in enumerate(languages)}
-        self.levels: list[dict[str, np.ndarray]] = []
-        for level in range(LONGEST + 1):
-            counts: dict[str, np.ndarray] = {}
-            total = np.zeros(len(languages))
-            for lang, lv, gram, n in rows:
-                if lv == level:
-                    counts.setdefault(gram, np.zeros(len(languages)))[at[lang]] += n
-                    total[at[lang]] += n
-            floor = 0.5
-            self.levels.append({g: np.log((c + floor) / (total + floor * (len(counts) + 1))) for g, c in counts.items()})
-
-    def word(self, word: str) -> np.ndarray:
-        known = self.levels[0].get(word)
-        if known is not None:
-            return known
+        column = {lang: i for i, lang in enumerate(languages)}
+        self.levels: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+        at = [self.levels[level].setdefault(gram, len(self.levels[level])) for _, level, gram, _ in rows]
+        first = np.cumsum([0] + [len(d) for d in self.levels])
+        for level, d in enumerate(self.levels):
+            self.levels[level] = {g: i + int(first[level]) for g, i in d.items()}
+        counts = np.zeros((int(first[-1]), len(languages)))
+        for (lang, level, _, n), i in zip(rows, at, strict=True):
+            counts[first[level] + i, column[lang]] += n
+        self.scores = np.zeros_like(counts)
+        for lo, hi in zip(first[:-1], first[1:], strict=True):
+            part = counts[lo:hi] + 0.5
+            self.scores[lo:hi] = np.log(part / (part.sum(axis=0) + 0.5))
+
+    def rows(self, word: str) -> list[int]:
+        """The word's own row, or those of its n-grams of the longest length that has any."""
+        own = self.levels[0].get(word)
+        if own is not None:
+            return [own]
+        padded = f"^{word}$"
         for n in range(LONGEST, 0, -1):
-            found = [v for g in grams(word, n) if (v := self.levels[n].get(g)) is not None]
+            level = self.levels[n]
+            found = [r for i in range(len(padded) - n + 1) if (r := level.get(padded[i : i + n])) is not None]
             if found:
-                return np.sum(found, axis=0)
-        return np.zeros(len(self.languages))
+                return found
+        return []
+
+    def word(self, word: str) -> np.ndarray:
+        return self.scores[self.rows(word)].sum(axis=0)
 
 
 class Scorer:
@@ -66,22 +76,34 @@ class Scorer:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.table = np.zeros((1 << 12, len(self.model.languages)))
+        self.table = np.zeros((0, len(self.model.languages)))
+
+    def learn(self, new: list[str]) -> None:
+        rows: list[int] = []
+        owner: list[int] = []
+        find = self.model.rows
+        for i, chunk in enumerate(new):
+            for word in _WORD.findall(chunk.lower()):
+                got = find(word)
+                rows += got
+                owner += [i] * len(got)
+        values, at = self.model.scores[rows], np.array(owner, np.int64)
+        table = np.stack([np.bincount(at, values[:, c], minlength=len(new)) for c in range(values.shape[1])], axis=1)
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.table = np.concatenate([self.table, table])
 
     def scores(self, texts: list[str]) -> np.ndarray:
+        if not texts:
+            return np.zeros((0, len(self.model.languages)))
         if len(self.known) > CACHE_CHUNKS:
             self.clear()
-        known = self.known
         parts = [t.split(" ") for t in texts]
-        for chunk in {c for cs in parts for c in cs if c not in known}:
-            at = known[chunk] = len(known)
-            if at >= len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            for word in _WORD.findall(chunk.lower()):
-                self.table[at] += self.model.word(word)
+        known = self.known
+        if new := list({c for cs in parts for c in cs if c not in known}):
+            self.learn(new)
         code = np.fromiter((i for cs in parts for i in map(known.__getitem__, cs)), np.int64)
         first = np.cumsum([0] + [len(cs) for cs in parts[:-1]])
-        return np.add.reduceat(self.table[code], first, axis=0) if parts else np.zeros((0, len(self.model.languages)))
+        return np.add.reduceat(self.table[code], first, axis=0)
 
 
 def fit(docs: DataFrame, learn: Column, per_language: int = 3000, words: int = 60_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -116,7 +138,7 @@ def fit(docs: DataFrame, learn: Column, per_language: int = 3000, words: int = 6
             yield _counted(total)
 
     schema = "lang string, level int, gram string, n long"
-    counts = rows.where(chosen).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(count, schema)
+    counts = map_arrow(rows.where(chosen).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), count, schema)
     counts = counts.groupBy("lang", "level", "gram").agg(F.sum("n").alias("n"))
     most = F.when(F.col("level") == 0, words // len(languages)).otherwise(words // 2 // len(languages))
     top = Window.partitionBy("lang", "level").orderBy(F.desc("n"), "gram")  # over the bounded sample
@@ -145,27 +167,23 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         scorer = Scorer(shared.value)
         names = scorer.model.languages
         for batch in batches:
-            pred, score, group, held = [], [], [], 0
-            texts = batch.column(1)
-            for i, value in enumerate(texts):
-                text = value.as_py() or ""
-                group.append(text)
-                held += len(text)
-                if held <= 1 << 20 and i < len(texts) - 1:
-                    continue
+            pred: list[str] = []
+            score: list[float] = []
+            for lo, hi, _, _ in text_slices(batch, "text"):
+                group = [t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
+                best, sure = [0] * len(group), [0.0] * len(group)
                 if names:
                     s = scorer.scores(group)
-                    best = s.argmax(axis=1)
-                    sure = 1 / np.exp(s - s.max(axis=1, keepdims=True)).sum(axis=1)
-                for j, t in enumerate(group):
+                    best = s.argmax(axis=1).tolist()
+                    sure = (1 / np.exp(s - s.max(axis=1, keepdims=True)).sum(axis=1)).tolist()
+                for t, b, p in zip(group, best, sure, strict=True):
                     lettered = bool(names) and _LETTER.search(t) is not None
-                    pred.append(names[best[j]] if lettered else "und")
-                    score.append(float(sure[j]) if lettered else 0.0)
-                group, held = [], 0
+                    pred.append(names[b] if lettered else "und")
+                    score.append(p if lettered else 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -185,21 +203,16 @@ def reject_unknown(docs: DataFrame, least: float = 0.5) -> DataFrame:
     def run(batches):
         scorer = Scorer(shared.value)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            keep, lo = [], 0
-            while lo < len(texts):
-                hi, held = lo, 0
-                while hi < len(texts) and (hi == lo or held < 1 << 20):
-                    held += len(texts[hi] or "")
-                    hi += 1
-                group = [t or "" for t in texts[lo:hi]]
-                if scorer.model.languages:
-                    s = scorer.scores(group)
-                    sure = 1 / np.exp(s - s.max(axis=1, keepdims=True)).sum(axis=1)
-                    keep += [_LETTER.search(t) is not None and p >= least for t, p in zip(group, sure.tolist(), strict=True)]
-                else:
+            texts = batch.column(batch.schema.get_field_index("text"))
+            keep: list[bool] = []
+            for lo, hi, _, _ in text_slices(batch, "text"):
+                group = [t or "" for t in texts.slice(lo, hi - lo).to_pylist()]
+                if not scorer.model.languages:
                     keep += [False] * len(group)
-                lo = hi
+                    continue
+                s = scorer.scores(group)
+                sure = 1 / np.exp(s - s.max(axis=1, keepdims=True)).sum(axis=1)
+                keep += [_LETTER.search(t) is not None and p >= least for t, p in zip(group, sure.tolist(), strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

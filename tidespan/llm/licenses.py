@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM_WORDS, LOWER, text_slices, word_hashes, words
+from .common import ALNUM_WORDS, LOWER, map_arrow, text_slices, word_hashes, words
 
 #: Base labels: (phrase, label).
 PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
@@ -118,7 +118,7 @@ def word_idf(texts: DataFrame) -> dict[int, float]:
                 n += rows
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(df))), pa.array(np.r_[n, df])], ["w", "n"])
 
-    counts = {r["w"]: r["n"] for r in texts.mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()}
+    counts = {r["w"]: r["n"] for r in map_arrow(texts, run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()}
     total = counts.get(-1, 0)
     return {int(w): math.log((1 + total) / (1 + counts.get(i, 0))) for i, w in enumerate(vocabulary)}
 
@@ -159,7 +159,7 @@ def scan_licenses(docs: DataFrame, rare: int = 6, id_col: str = "doc_id", text_c
         + [T.StructField(c, string) for c in ("base_labels", "labels")]
         + [T.StructField("score", T.DoubleType())]
     )
-    return texts.mapInArrow(run, schema)
+    return map_arrow(texts, run, schema)
 
 
 def _grouped(doc: np.ndarray, at: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
