@@ -25,7 +25,7 @@ from .common import map_arrow, stored, text_slices, word_hashes
 #: Distinct words whose ids a Python worker keeps (some 40 bytes each) before it starts afresh.
 CACHE_WORDS = 1_000_000
 #: Bytes of text that are split and encoded together.
-ENCODED_TOGETHER = 1 << 22
+ENCODED_TOGETHER = 1 << 21
 #: Pieces of one length that are ranked in one window group.
 RANKED_TOGETHER = 200_000
 
