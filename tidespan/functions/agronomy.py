@@ -115,11 +115,11 @@ def _contrast(a: Column, b: Column) -> Column:
     return safe_div(a - b, a + b)
 
 
-def spectral_indices() -> dict[str, Column]:
-    """The 32 indices over columns named as BANDS, each clamped to its range."""
+def index_table() -> dict[str, tuple[Column, float, float]]:
+    """The 32 indices over columns named as BANDS: formula and the range that it is clamped to."""
     b2, b3, b4, b5, b6, b7, b8, b8a, b11, b12 = (F.col(b) for b in BANDS)
     # Published index formulas with their ranges.
-    table = {
+    return {
         "NDVI": (_contrast(b8, b4), -1, 1),
         "EVI2": (safe_div((b8 - b4) * 2.5, b8 + b4 * 2.4 + 1.0), -1, 3),
         "GNDVI": (_contrast(b8, b3), -1, 1),
@@ -153,7 +153,12 @@ def spectral_indices() -> dict[str, Column]:
         "PSRI": (safe_div(b4 - b2, b6 + 1e-6), -10, 10),
         "LSWI": (_contrast(b8, b11), -1, 1),
     }
-    return {name: clip(x, lo, hi) for name, (x, lo, hi) in table.items()}
+
+
+def spectral_indices() -> dict[str, Column]:
+    """Each index clamped to its range.  Many in one projection need spark.sql.codegen.hugeMethodLimit=8000: a longer
+    generated method is only interpreted by the JVM, ten times slower than the plan without whole-stage code."""
+    return {name: clip(x, lo, hi) for name, (x, lo, hi) in index_table().items()}
 
 
 # ---- growth curve

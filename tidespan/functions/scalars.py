@@ -39,7 +39,7 @@ def clip(x: Column | str, low: float, high: float) -> Column:
 def safe_div(num: Column | str, den: Column | str) -> Column:
     """num / den, null where the denominator is within EPS of zero."""
     n, d = col(num), col(den)
-    return F.when(F.abs(d) > EPS, F.try_divide(n, d))
+    return F.when(F.abs(d) > EPS, n / d)
 
 
 def eps_ratio(num: Column | str, den: Column | str) -> Column:

@@ -2,8 +2,8 @@
 
 The benchmark tables stand in for the domain: events are daily channels of entities (channel = event_type), orders
 carry anchor dates, lineitem dated measures, part soil texture, embeddings a feature matrix with a target.  Doubles
-are rounded on both sides after adding a ten-thousandth of the last digit, because means of two-decimal numbers often
-lie on a rounding tie, which engines break differently; `+ 0.0` turns a negative zero into zero.
+are rounded on both sides by the same arithmetic after adding a ten-thousandth of the last digit, because means of
+two-decimal numbers often lie on a rounding tie; `+ 0.0` turns a negative zero into zero.
 """
 
 from __future__ import annotations
@@ -56,7 +56,8 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def r(c: Column | str, n: int = 4) -> Column:
-    return F.round((F.col(c) if isinstance(c, str) else c) + float(f"1e-{n + 4}"), n) + F.lit(0.0)
+    scale = float(10**n)
+    return F.floor(((F.col(c) if isinstance(c, str) else c) + float(f"1e-{n + 4}")) * scale + 0.5) / scale
 
 
 def rounded(df: DataFrame, *cols: str, n: int = 4) -> DataFrame:
@@ -64,7 +65,7 @@ def rounded(df: DataFrame, *cols: str, n: int = 4) -> DataFrame:
 
 
 def rs(x: str, name: str | None = None, n: int = 4) -> str:
-    return f"round(CAST({x} AS DOUBLE) + 1e-{n + 4}, {n}) + 0.0 AS {name or x}"
+    return f"floor((CAST({x} AS DOUBLE) + 1e-{n + 4}) * 1e{n} + 0.5) / 1e{n} + 0.0 AS {name or x}"
 
 
 # ------------------------------------------------------------------ daily series
@@ -479,7 +480,7 @@ def derived_meteo(spark, d):
     return rounded(df, "vpd", "gdd", "water_deficit", n=6)
 
 
-@query("SELECT p_partkey, CASE WHEN abs(p_size - 25) > 1e-6 THEN round(p_retailprice / (p_size - 25) + 1e-10, 6) + 0.0 END AS ratio, greatest(0.0, least(1.0, p_retailprice * 1e-3)) AS clamped FROM part")
+@query("SELECT p_partkey, CASE WHEN abs(p_size - 25) > 1e-6 THEN floor((p_retailprice / (p_size - 25) + 1e-10) * 1e6 + 0.5) / 1e6 + 0.0 END AS ratio, greatest(0.0, least(1.0, p_retailprice * 1e-3)) AS clamped FROM part")
 def safe_division(spark, d):
     from ..functions.scalars import clip
 
@@ -600,7 +601,7 @@ def temporal_derivatives(spark, d):
 
 @query(
     f"""WITH {_PERIODS} SELECT entity, feature, {rs("stddev_samp(value) / (abs(avg(value)) + 1e-6)", "cv")}, {rs("max(value) - min(value)", "range")},
-    CASE WHEN count(value) >= 2 THEN round(regr_slope(value, ord) + 1e-8, 4) + 0.0 END AS slope FROM long WHERE stat = 'mean' GROUP BY entity, feature"""
+    CASE WHEN count(value) >= 2 THEN floor((regr_slope(value, ord) + 1e-8) * 1e4 + 0.5) / 1e4 + 0.0 END AS slope FROM long WHERE stat = 'mean' GROUP BY entity, feature"""
 )
 def seasonal_aggregates(spark, d):
     df = se.seasonal(long_periods(spark, d).where("stat = 'mean'"), ["entity", "feature"], 4)
@@ -851,7 +852,7 @@ def monthly_weather(spark, d):
     return rounded(rasters.monthly_weather(df, "field"), "t2m_mean", "t2m_min", "t2m_max", "precip_sum", "warmth")
 
 
-@query("SELECT count(DISTINCT user_id) AS n_fields, count(DISTINCT CAST(ts AS DATE)) AS n_dates, count(*) AS n_rows, round(avg(CASE WHEN value > 300 THEN 1 ELSE 0 END) + 1e-10, 6) + 0.0 AS null_rate FROM events")
+@query("SELECT count(DISTINCT user_id) AS n_fields, count(DISTINCT CAST(ts AS DATE)) AS n_dates, count(*) AS n_rows, floor((avg(CASE WHEN value > 300 THEN 1 ELSE 0 END) + 1e-10) * 1e6 + 0.5) / 1e6 + 0.0 AS null_rate FROM events")
 def coverage(spark, d):
     df = events(spark, d).withColumn("value", F.when(F.col("value") <= 300, F.col("value")))
     return df.agg(F.count_distinct("entity").alias("n_fields"), F.count_distinct("date").alias("n_dates"), F.count("*").alias("n_rows"), r(F.avg(F.col("value").isNull().cast("int")), 6).alias("null_rate"))
@@ -1055,7 +1056,7 @@ def best_model_fold(spark, d):
 
 @query(
     """WITH o AS (SELECT l_linenumber AS fold, l_orderkey * 10 + l_linenumber AS id, l_quantity AS y_true, [l_quantity * 0.9, l_quantity + l_tax * 10, l_quantity * 1.05] AS preds FROM lineitem)
-    SELECT fold, id, 'Ensemble' AS model, max(y_true) AS y_true, round((max(preds[1]) + max(preds[2]) + max(preds[3])) / 3 + 1e-8, 4) + 0.0 AS y_pred FROM o GROUP BY fold, id"""
+    SELECT fold, id, 'Ensemble' AS model, max(y_true) AS y_true, floor(((max(preds[1]) + max(preds[2]) + max(preds[3])) / 3 + 1e-8) * 1e4 + 0.5) / 1e4 + 0.0 AS y_pred FROM o GROUP BY fold, id"""
 )
 def ensemble_mean(spark, d):
     base = t(spark, d, "lineitem").select(F.col("l_linenumber").alias("fold"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_quantity").alias("y_true"), "l_tax")
