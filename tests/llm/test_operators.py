@@ -432,6 +432,19 @@ def test_near_duplicates_in_a_mass_of_copies(spark):
     assert all(got[d] == (0 if d < 400 else d) for d, _ in docs)
 
 
+def test_near_duplicates_in_a_mass_of_templates(spark):
+    """Documents of shared boilerplate, similar but not linked, far more than a block holds, with a few true pairs."""
+    rnd = random.Random(9)
+    base = [f"b{i}" for i in range(330)]
+    docs = [(d, base + [f"x{rnd.random()}" for _ in range(50)]) for d in range(400)]
+    docs += [(1000 + d, docs[10 * d][1][:-8] + [f"y{rnd.random()}" for _ in range(8)]) for d in range(40)]
+    a, b, c = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for _, w in (docs[0], docs[1], docs[400]))
+    assert 0.7 < len(a & b) / len(a | b) < 0.79 and len(a & c) / len(a | c) > 0.85
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dups.near_duplicates(df, leaf=16).collect()}
+    assert got == {d: d if d < 1000 else 10 * (d - 1000) for d, _ in docs}
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(6)
     common_part, a, b = (rng.integers(0, 2**63, n, dtype=np.uint64) for n in (850, 75, 75))

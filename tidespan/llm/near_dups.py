@@ -3,9 +3,10 @@
 Every document's set (its distinct k-word shingles) is sketched by minwise tokens.  A tree starts with all documents
 in one node; at each node the path chooses one or two of the sketch's coordinates and branches on their tokens, so
 similar sets are likely to stay together and others part.  A node of at most `leaf` documents is compared
-exhaustively.  What is still larger after the deepest level is a mass of near copies: it is dealt into blocks of
-that size, and each block is also compared with the node's pivots, the same for all its blocks.  Independent trees
-repeat this, and components are taken of the links found.
+exhaustively.  What is still larger after the deepest level is first dealt into blocks of that size, each of which
+is also compared with the node's pivots, the same for all its blocks: that joins most of a mass of near copies.
+Then all pairs of the node's blocks are compared, each pair as a block of its own, but for documents that are in one
+component by then.  Independent trees repeat this, and components are taken of the links found.
 
 A comparison first looks at one bit of each coordinate, then at the full sets of what is likely to be similar.  A
 block gives the links that span its components; pairs within a component are neither compared nor written out.
@@ -119,9 +120,11 @@ def nodes(reps: DataFrame, trees: int, depth: int, similarity: float) -> DataFra
     return map_arrow(reps.select("rid", "sig"), run, "rid long, " + ", ".join(f"n{i} long" for i in range(depth)))
 
 
-def grouped_nodes(ways: DataFrame, depth: int, leaf: int, pivots: int) -> DataFrame:
-    """(node, block, rid): what to compare.  Nodes of one document vanish; those of up to leaf documents are a block;
-    larger ones branch on, and at the last level are dealt into blocks that all hold the node's pivots."""
+def grouped_nodes(ways: DataFrame, depth: int, leaf: int, pivots: int) -> tuple[DataFrame, DataFrame]:
+    """(node, block, rid): what to compare, and what to compare after that.  Nodes of one document vanish; those of up
+    to leaf documents are a block; larger ones branch on, and at the last level are dealt into blocks that all hold the
+    node's pivots.  The second table has, for these, all pairs of pieces of half a block: every two documents of the
+    node meet there."""
     out, going = None, ways
     for level in range(depth):
         members = going.select(F.col(f"n{level}").alias("node"), "rid").distinct()
@@ -139,7 +142,11 @@ def grouped_nodes(ways: DataFrame, depth: int, leaf: int, pivots: int) -> DataFr
         chosen = members.join(first, "node").where(" or ".join(f"xxhash64({p}, rid, node) = h{p}" for p in range(pivots))).select("node", "rid")
         chosen = chosen.join(large, "node").select("node", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), "rid")
         out = out.unionByName(dealt).unionByName(chosen)
-    return out.distinct()
+        n = F.ceil(F.col("size") / max(leaf // 2, 1)).cast("long")
+        pieces = sized.where(F.col("size") > leaf).select("node", "rid", n.alias("n"), F.pmod(F.xxhash64("rid", "node"), n).alias("p"))
+        met = pieces.select("node", "rid", "n", "p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("q")).where("p != q")
+        pairs = met.select("node", (F.least("p", "q") * F.col("n") + F.greatest("p", "q")).alias("block"), "rid")
+    return out.distinct(), pairs
 
 
 def similar_bits(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
@@ -183,20 +190,24 @@ def _bits(t: pa.Table) -> np.ndarray:
 
 
 def likely_members(blocks: DataFrame, least: float) -> DataFrame:
-    """(node, block, rid, bits): the documents of blocks that have a likely partner in their block."""
+    """(node, block, rid, comp, bits): the documents of blocks that have a likely partner of another component in
+    their block.  blocks: node, block, rid, comp (the rid itself where nothing is known), bits."""
 
     def each(t: pa.Table) -> pa.Table | None:
-        bits = _bits(t)
+        bits, comp = _bits(t), t.column("comp").to_numpy()
+        if (comp == comp[0]).all():
+            return None
         has = np.zeros(len(bits), bool)
         for lo in range(0, len(bits), 256):
-            has[lo : lo + 256] = similar_bits(bits[lo : lo + 256], bits, least).sum(axis=1) > 1  # itself is one
-        return t.filter(pa.array(has)).select(["node", "block", "rid", "bits"]) if has.any() else None
+            has[lo : lo + 256] = (similar_bits(bits[lo : lo + 256], bits, least) & (comp[lo : lo + 256, None] != comp)).any(axis=1)
+        return t.filter(pa.array(has)).select(["node", "block", "rid", "comp", "bits"]) if has.any() else None
 
-    return by_block(blocks, each, "node long, block long, rid long, bits binary")
+    return by_block(blocks, each, "node long, block long, rid long, comp long, bits binary")
 
 
 def linked(members: DataFrame, percent: int, least: float) -> DataFrame:
-    """(u, v): confirmed links that span each block's components.  members: node, block, rid, bits, set.
+    """(u, v): confirmed links that span each block's components.  members: node, block, rid, comp, bits,
+    set; documents of equal comp are in one component already.
 
     A document is compared, on full sets, with every likely partner that isn't in its component yet: no pair within
     a component is looked at, and no pairs are written out but those that join two components.
@@ -209,7 +220,8 @@ def linked(members: DataFrame, percent: int, least: float) -> DataFrame:
         _, flat = np.unique(np.concatenate(sets), return_inverse=True)
         ends = np.cumsum(size)
         code = np.split(flat, ends[:-1])
-        label, mark, out = np.arange(len(rid)), np.zeros(int(flat.max()) + 1, bool), []
+        _, label = np.unique(t.column("comp").to_numpy(), return_inverse=True)
+        mark, out = np.zeros(int(flat.max()) + 1, bool), []
         for lo in range(0, len(rid), 256):
             near = similar_bits(bits[lo : lo + 256], bits, least)
             for i in range(lo, min(lo + 256, len(rid))):
@@ -303,15 +315,28 @@ def near_duplicates(
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in bits], pa.binary())], ["rid", "bits"])
 
     ways = stored(nodes(reps, trees, depth, percent / 100), "ways")
-    members = stored(grouped_nodes(ways, depth, leaf, pivots), "nodes")
-    blocks = members.join(map_arrow(reps, one_bit, "rid long, bits binary"), "rid")
-    chosen = stored(likely_members(blocks, least), "likely")
-    discard(ways, members, reps)
+    first, pairs = grouped_nodes(ways, depth, leaf, pivots)
+    members = stored(first, "nodes")
+    bits = map_arrow(reps, one_bit, "rid long, bits binary")
     texts = docs.select(F.col(id_col).cast("long").alias("rid"), F.col(text_col).alias("text"))
-    sets = full_sets(texts, chosen.select("rid").distinct(), k)
-    links = stored(linked(chosen.join(sets, "rid"), percent, least), "links")
+
+    def compared(blocks: DataFrame, name: str) -> DataFrame:
+        chosen = stored(likely_members(blocks, least), f"likely{name}")
+        sets = full_sets(texts, chosen.select("rid").distinct(), k)
+        links = stored(linked(chosen.join(sets, "rid"), percent, least), f"links{name}")
+        discard(chosen)
+        return links
+
+    links = compared(members.join(bits, "rid").withColumn("comp", F.col("rid")), "")
     comp = components(links)
-    discard(chosen, links)
+    if not pairs.isEmpty():
+        have = comp.withColumnRenamed("id", "rid").withColumnRenamed("component", "comp")
+        second = pairs.join(bits, "rid").join(have, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
+        more = compared(second.select("node", "block", "rid", "comp", "bits"), "_pairs")
+        if not more.isEmpty():
+            comp = components(comp.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more))
+        discard(more)
+    discard(ways, members, reps, links)
     labels = classes.join(comp.withColumnRenamed("id", "rid"), "rid", "left").select("k1", "k2", F.coalesce("component", "rid").alias("_c"))
     empty = base.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     other = base.where("n_shingles > 0").select("doc_id", "n_shingles", "k1", "k2").join(labels, ["k1", "k2"]).select("doc_id", "n_shingles", F.col("_c").alias("component_id"))
