@@ -82,6 +82,12 @@ def test_importance_sampling(spark, sf, documents):
     assert {r["gumbel_key"] for r in got.where("kept").collect()} == set(keys[:k])
 
 
+def test_importance_share_leaves_toxic_documents_out(spark):
+    labels = spark.createDataFrame([(i, int(i < 8), int(i in (0, 1, 9))) for i in range(10)], "doc_id long, quality int, toxic int")
+    ids, share = importance.target_ids(labels, 1000, 17)
+    assert sorted(ids.tolist()) == [2, 3, 4, 5, 6, 7] and share == 0.6
+
+
 def test_importance_weights_by_hand(spark):
     df = spark.createDataFrame([(1, "a b"), (2, "a a"), (3, "c")], "doc_id long, text string")
     ratio = importance.log_ratios(df, np.array([1]), 1 << 16, 1.0)

@@ -33,14 +33,14 @@ def _hashed_grams(data: np.ndarray, offs: np.ndarray, buckets: int) -> tuple[np.
 
 
 def target_ids(labels: DataFrame, most: int, seed: int) -> tuple[np.ndarray, float]:
-    """Ids of about `most` documents labelled good and not toxic (those of least hashed id), and the share of
-    labelled documents of good quality.  A document with several labels counts by its worst."""
+    """Ids of about `most` documents labelled good and not toxic (those of least hashed id), and their share
+    of the labelled documents.  A document with several labels counts by its worst."""
     worst = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     good = (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
-    n, n_quality, n_good = worst.agg(F.count("*"), F.sum((F.col("quality") == 1).cast("long")), F.sum(good.cast("long"))).first()
+    n, n_good = worst.agg(F.count("*"), F.sum(good.cast("long"))).first()
     share = min(1.0, most / n_good) if n_good else 1.0
     chosen = worst.where(good & (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))))
-    return chosen.select(F.col("doc_id").cast("long").alias("i")).toArrow().column("i").to_numpy(), (n_quality or 0) / n if n else 1.0
+    return chosen.select(F.col("doc_id").cast("long").alias("i")).toArrow().column("i").to_numpy(), (n_good or 0) / n if n else 1.0
 
 
 def log_ratios(texts: DataFrame, target: np.ndarray, buckets: int, prior: float) -> np.ndarray:
@@ -111,14 +111,14 @@ def kth_largest(df: DataFrame, column: str, k: int, together: int = 10_000) -> t
 def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, most_targets: int = 20_000, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_grams, log_weight, gumbel_key, kept for every row; kept marks the top round(share * rows) keys.
 
-    share: by default the share of labelled documents of quality 1.  The target model is fitted on about
+    share: by default the share of labelled documents that are of quality 1 and not toxic.  The target model is fitted on about
     most_targets labelled documents at most; the raw model on all documents.  Among equal keys the smaller id goes
     first; rows equal in key and id stand or fall together.  A null text has no n-grams and weight 0; a null id is
     kept as null and takes the noise of the null value; without labels all weights are 0 and everything is kept;
     an empty table gives an empty one; other columns are not read.
     """
-    target, quality = target_ids(labels, most_targets, seed)
-    share = quality if share is None else share
+    target, good = target_ids(labels, most_targets, seed)
+    share = good if share is None else share
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) + 0.5) / float(1 << 53)
     keyed = weigh(docs, target, id_col=id_col, text_col=text_col).withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(u)))
     keyed = stored(keyed, "importance")
