@@ -229,6 +229,30 @@ def test_secret_ownership(spark):
     assert masked[51] == ("token=[SECRET]", 14) and "S" * 12 in masked[50][0] and masked[0][0] == docs[0][1]
 
 
+def test_private_keys_are_values_as_a_whole(spark):
+    rnd = random.Random(7)
+
+    def body(last=20):
+        return "\n".join("".join(rnd.choice("ABCDwxyz0189+/") for _ in range(n)) for n in (64, 64, 64, last))
+
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    own = [f"{begin}\n{body()}\n{end}" for _ in range(4)]
+    own.append(f"{begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n{body()}\n{end}")
+    own.append(f"{begin}\n{body(21)}==")
+    own.append(f"{begin}\n{body()}")
+    own.append(f"{begin}\n{body()}\n{end}".replace("\n", "\\n"))
+    copied = f"{begin}\n{body()}\n{end}"
+    docs = [(i, f"one {key}\nand two words", f"o{i}/r") for i, key in enumerate(own)] + [(100 + i, f"see {copied} there", f"o{i}/r") for i in range(3)]
+    docs += [(200, f"a {own[0]} b {own[1]} c", "o0/r"), (201, f"{begin} {own[2]}", "o2/r"), (202, f"{begin} is a header", "o0/r"), (203, begin + " -" * 30_000, "o0/r")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = {r["doc_id"]: (r["n_live"], r["n_shared"]) for r in secrets.summarize(secrets.find(df)).collect()}
+    masked = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    for i in range(len(own)):
+        assert got[i] == (1, 0) and masked[i] == "one [SECRET]\nand two words"
+    assert all(got[100 + i] == (0, 1) and masked[100 + i] == docs[len(own) + i][1] for i in range(3))
+    assert got[200] == (2, 0) and masked[200] == "a [SECRET] b [SECRET] c" and own[2] not in masked[201]
+
+
 def test_secrets_awkward(nasty, empty):
     assert len(rows(secrets.summarize(secrets.find(nasty)))) == nasty.count()
     assert secrets.summarize(secrets.find(empty)).count() == 0

@@ -14,6 +14,14 @@ from pyspark.sql import functions as F
 
 _ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
+#: A private key as a whole, so that the value tells one key from another: from the BEGIN line through the END line, or
+#: where none follows, to the end of the base64 lines.  Line breaks may be written as \\n.  Possessive loops don't recurse.
+_PEM_BREAK = r"(?:\s|\\[rn])"
+_PEM = (
+    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,20}PRIVATE KEY-----"
+    rf"|(?:{_PEM_BREAK}++[A-Za-z0-9+/]{{32,}}+={{0,2}})++(?:{_PEM_BREAK}++[A-Za-z0-9+/]{{1,31}}+(?:={{1,2}}|(?=\s*(?:[\r\n]|\z))))?+)?+"
+)
+
 #: (kind, a cheap test that a text may hold one, pattern, group with the value, least length of that group).
 #: The first three are the base kinds; the rest are this method's own.  access and hex are written with their least
 #: length in the pattern: a run that fails it is maximal, so nothing inside it could match on its own.
@@ -21,7 +29,7 @@ KINDS: list[tuple[str, str, str, int, int]] = [
     ("assign", r"(?i)password|passwd|secret|token|api_?key", _ASSIGN, 2, 8),
     ("access", "AKIA", r"AKIA[A-Z0-9]{12,}", 0, 16),
     ("hex", r"[0-9a-f]{32}", r"[0-9a-f]{32,}", 0, 32),
-    ("pem", "PRIVATE KEY-----", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", 0, 20),
+    ("pem", "PRIVATE KEY-----", _PEM, 0, 20),
     ("forge", r"gh[oprsu]_[A-Za-z0-9]{30}", r"gh[oprsu]_[A-Za-z0-9]{30,}", 0, 34),
 ]
 BASE = ("assign", "access", "hex")
