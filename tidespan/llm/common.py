@@ -6,11 +6,13 @@ batch at once with prefix sums; every hash is finished with a mixing step.
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -23,32 +25,81 @@ from ..sources.session import importable
 SLICE_BYTES = 1 << 20
 
 
+#: A table whose plan reads fewer bytes per core than this is dealt out anew before costly work on its texts.
+SPREAD_BYTES = 8 << 20
+#: Rows of ids up to which a table of them is broadcast (some 16 MB); larger ones are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Tables of stored() that still exist: path -> (Hadoop file system, Hadoop path).
+_live: dict[str, tuple] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the setting is absent (tests)."""
+    """The folder of spark.checkpoint.dir.  Where that is unset, a temporary one, in local mode only: executors on
+    other machines couldn't read it."""
     sc = spark.sparkContext
     where = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidespan-"))
         where = sc.getCheckpointDir()
     return where.rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write df as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    The table is deleted by discard(), by kept_alone(), or at the latest when the driver's Python ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidespan_{name}_{uuid.uuid4().hex}"
     df.write.parquet(path)
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    _live[path] = (at.getFileSystem(sc._jsc.hadoopConfiguration()), at)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
 
 
+def _delete(path: str) -> None:
+    system, at = _live.pop(path)
+    system.delete(at, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete stored() tables that nothing reads any more."""
     for df in tables:
-        sc = df.sparkSession.sparkContext
-        p = sc._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.stored_at)
+
+
+def kept_alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """stored(make()), and the tables that were stored on the way deleted."""
+    before = set(_live)
+    out = stored(make(), name)
+    for path in set(_live) - before - {out.stored_at}:
+        _delete(path)
+    return out
+
+
+@atexit.register
+def _delete_all() -> None:
+    for path in list(_live):
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            _delete(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out evenly if it is so small that its few file splits would leave cores idle; else as it is."""
+    sc = df.sparkSession.sparkContext
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(sc.defaultParallelism) if size < sc.defaultParallelism * SPREAD_BYTES else df
+
+
+def without(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """docs without the rows whose id is in ids (distinct, not null, a column of the same name).  Few ids are
+    broadcast, so that no text moves; more than BROADCAST_ROWS are joined by shuffle."""
+    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(ids) if few else ids, column, "left_anti")
 
 
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:

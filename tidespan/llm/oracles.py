@@ -57,12 +57,20 @@ OP9 = f"""WITH d AS (SELECT doc_id, {_words(_LOWER.format("text"), _NORMAL)} AS
   SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM hit JOIN q USING (item_id) WHERE n_shared >= 0.8 * n_item - 1e-9"""
 
 _ASSIGN = """(?i)(password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_BREAK = r"(?:[\x09-\x0D\x20]|\\[rn])"
+_PEM = (
+    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[^-]*(?:-{1,4}[^-]+)*-----END [A-Z ]{0,20}PRIVATE KEY-----"
+    rf"|(?:{_BREAK}+[A-Za-z0-9+/]{{32,}}={{0,2}})+(?:{_BREAK}+[A-Za-z0-9+/]{{16,31}}={{0,2}}|{_BREAK}+[A-Za-z0-9+/]{{1,15}}={{1,2}})?)?"
+)
+_CLASSES = " + ".join(f"CAST(regexp_matches(value, '{c}') AS INT)" for c in ("[a-z]", "[A-Z]", "[0-9]", "[^a-zA-Z0-9]"))
+_CREDIBLE = f"""CASE WHEN kind = 'pem' THEN length(value) >= 100 WHEN regexp_matches(value, '(?i)example|sample|placeholder|changeme|change_me|your_|dummy|redacted|xxxx') THEN false
+      WHEN kind <> 'assign' THEN len(list_distinct(string_split(value, ''))) >= 8 ELSE len(list_distinct(string_split(value, ''))) >= 6 AND ({_CLASSES} >= 2 OR length(value) >= 20) END"""
 #: kind, pattern, group, least length
 _KINDS = [
     ("assign", _ASSIGN, 2, 8),
     ("access", "AKIA[A-Z0-9]+", 0, 16),
     ("hex", "[0-9a-f]+", 0, 32),
-    ("pem", "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", 0, 20),
+    ("pem", _PEM, 0, 20),
     ("forge", "gh[oprsu]_[A-Za-z0-9]{30,}", 0, 34),
 ]
 
@@ -80,6 +88,6 @@ OP4 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(
   own AS (SELECT value, count(DISTINCT split_part(coalesce(source, ''), '/', 1)) AS n_owners FROM s JOIN d USING (r) GROUP BY value),
   a AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
       string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) FILTER (ord < 3) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) AS spans,
-      count(*) FILTER (n_owners < 3) AS n_live, count(*) FILTER (n_owners >= 3) AS n_shared FROM s JOIN own USING (value) GROUP BY r)
+      count(*) FILTER (n_owners < 3 AND {_CREDIBLE}) AS n_live, count(*) FILTER (n_owners >= 3) AS n_shared FROM s JOIN own USING (value) GROUP BY r)
   SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
     coalesce(n_live, 0) AS n_live, coalesce(n_shared, 0) AS n_shared FROM d LEFT JOIN a USING (r)"""

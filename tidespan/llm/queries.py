@@ -7,7 +7,6 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import contamination, importance, language, licenses, near_dups, oracles, packing, phrases, quality, secrets, tokens
-from .common import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,8 +26,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = stored(secrets.find(table(spark, sf_dir, "documents")), "secrets")
-    return secrets.summarize(found, shared_owners=3)
+    return secrets.summarize(secrets.find(table(spark, sf_dir, "documents")), shared_owners=3)
 
 
 def op5_language_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
