@@ -577,6 +577,26 @@ def test_token_counts_of_odd_texts():
     assert m.count(odd) == [len(e.ids) for e in tok.encode_batch(odd, add_special_tokens=False)]
 
 
+def test_token_counts_of_text_without_spaces():
+    """Long pre-tokens: equal to the library, in time that grows about linearly."""
+    import time
+
+    from tokenizers import Tokenizer
+
+    path = str(P.path("byte_bpe_50k.json"))
+    m, tok = tokens.RankMerger(path), Tokenizer.from_file(path)
+    rnd = random.Random(3)
+    runs = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (401, 5_000, 20_000)]
+    runs += ["a" * 1001, "ab" * 900, "ab" * 900 + "a", "aab" * 700, "日本語テスト" * 300, "".join(rnd.choice("aé日") for _ in range(3_000)), "x" * 500 + " " + "-" * 3_000 + "!" * 777, "1" * 5_000]
+    runs += ["".join(rnd.choice(["a", "aa", "ab", "the", "ing"]) for _ in range(rnd.randrange(300, 900))) for _ in range(40)]
+    assert m.count(runs) == [len(e.ids) for e in tok.encode_batch(runs, add_special_tokens=False)]
+    big = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1 << 20))
+    began = time.time()
+    n = m.count([big])
+    assert time.time() - began < 60
+    assert n == [len(tok.encode(big, add_special_tokens=False).ids)]
+
+
 def test_token_counts_awkward(nasty, empty):
     path = str(P.path("byte_bpe_50k.json"))
     got = rows(tokens.count_tokens(nasty, path))

@@ -91,7 +91,7 @@ def _delete_all() -> None:
 def spread(df: DataFrame) -> DataFrame:
     """df dealt out evenly if it is so small that its few file splits would leave cores idle; else as it is."""
     sc = df.sparkSession.sparkContext
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(sc.defaultParallelism) if size < sc.defaultParallelism * SPREAD_BYTES else df
 
 

@@ -4,10 +4,15 @@ All pre-tokens of a batch lie in one flat array of symbols with a segment number
 segment's lowest-ranked adjacent pair with one reduction and merges all its places in all segments at once; a
 segment that has no ranked pair left is done and leaves the arrays.  In a trained vocabulary a merged symbol only
 occurs in pairs of higher rank than its own, so a round equals the usual one-at-a-time order.
+
+Long pre-tokens (text without spaces) would take a round per rank over all their symbols.  They keep their places by
+rank instead: a round takes the places of the lowest rank alone, in all long segments at once, and files the new
+pairs beside the merged symbols, so the work grows with the number of merges.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 
@@ -18,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow
+from .common import map_arrow, spread
 
 #: Unicode White_Space, spelled out because libraries differ on the control characters 1C-1F.
 _WS = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0x2000))) + "-" + chr(0x200A)
@@ -27,6 +32,8 @@ _TWO_SPACES = re.compile(r"\s\s|^\s|\s$")
 _NONE = np.int64(1 << 40)
 #: Counts of this many distinct space-separated chunks are kept by a Python worker before it starts afresh.
 CACHE_CHUNKS = 300_000
+#: Pre-tokens of more bytes than this are merged by way of places filed by rank.
+LONG_BYTES = 400
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -65,8 +72,11 @@ class RankMerger:
         """How many symbols of each piece survive all merges."""
         lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
         out = lens.copy()
-        ids = np.flatnonzero(lens > 1)
-        sym = self.start[np.frombuffer(b"".join(p for p in pieces if len(p) > 1), np.uint8)]
+        long = np.flatnonzero(lens > LONG_BYTES)
+        if len(long):
+            out[long] = self.merged_long([pieces[i] for i in long.tolist()])
+        ids = np.flatnonzero((lens > 1) & (lens <= LONG_BYTES))
+        sym = self.start[np.frombuffer(b"".join(p for p in pieces if 1 < len(p) <= LONG_BYTES), np.uint8)]
         lens = lens[ids]
         while len(ids):
             ends = np.cumsum(lens)
@@ -90,6 +100,53 @@ class RankMerger:
                 break
         return out
 
+    def merged_long(self, pieces: list[bytes]) -> np.ndarray:
+        """The same, by places filed by rank."""
+        lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        sym = self.start[np.frombuffer(b"".join(pieces), np.uint8)]
+        n, ends = len(sym), np.cumsum(lens)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[ends - 1], before[ends - lens] = n, -1  # n and -1: no neighbour
+        now = np.full(n, _NONE)  # rank of the pair that starts here; of no pair where the symbol is gone
+        filed: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def file(at: np.ndarray) -> None:
+            at = at[after[at] < n]
+            now[at] = self.rank(sym[at], sym[after[at]])
+            at = at[now[at] < _NONE]
+            at = at[np.argsort(now[at], kind="stable")]
+            ranks = now[at]
+            cut = np.flatnonzero(np.diff(ranks)) + 1
+            for part in np.split(at, cut) if len(at) else ():
+                r = int(now[part[0]])
+                if r not in filed:
+                    filed[r] = []
+                    heapq.heappush(heap, r)
+                filed[r].append(part)
+
+        file(np.arange(n))
+        while heap:
+            r = heapq.heappop(heap)
+            at = np.unique(np.concatenate(filed.pop(r)))
+            at = at[now[at] == r]
+            if not len(at):
+                continue
+            fresh = np.r_[True, after[at[:-1]] != at[1:]]  # of overlapping places every second one merges
+            order = np.arange(len(at))
+            at = at[(order - np.maximum.accumulate(np.where(fresh, order, 0))) % 2 == 0]
+            gone = after[at]
+            beyond = after[gone]
+            sym[at] = self.made[r]
+            after[at] = beyond
+            inner = beyond < n
+            before[beyond[inner]] = at[inner]
+            now[at] = now[gone] = _NONE
+            left = before[at]
+            file(np.unique(np.r_[at, left[left >= 0]]))
+            sym[gone] = -1
+        return np.add.reduceat((sym >= 0).astype(np.int64), ends - lens)
+
     def chunks(self, text: str) -> list[str]:
         """Cut text where pre-tokens end for certain: before a single space between other characters."""
         if _TWO_SPACES.search(text):
@@ -154,4 +211,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
     schema = T.StructType(
         [T.StructField("doc_id", kind), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())]
     )
-    return map_arrow(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, schema)
+    return map_arrow(spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))), run, schema)
