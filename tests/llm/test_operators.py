@@ -313,9 +313,83 @@ def test_language_backoff():
     assert m.word("aa").argmax() == 0 and m.word("bb").argmax() == 1
     assert len(m.rows("zab")) == 1 and m.word("zab").argmax() == 0
     assert m.word("q").argmax() == 1 and m.rows("w") == []
-    s = language.Scorer(m)
-    texts = ["aa bb aa", "bb q", ""]
-    assert np.allclose(s.scores(texts), [m.word("aa") * 2 + m.word("bb"), m.word("bb") + m.word("q"), [0, 0]])
+    texts = pa.array(["aa bb aa", "bb q", ""], pa.large_string())
+    letters, known, scores = language.Scorer(m).texts(texts)
+    assert np.allclose(scores, [m.word("aa") * 2 + m.word("bb"), m.word("bb") + m.word("q"), [0, 0]])
+    assert letters.tolist() == [6, 3, 0] and known.tolist() == [[4, 2], [0, 2], [0, 0]]
+
+
+def test_language_against_brute_force(spark):
+    """Fit and score, plainly: counts of words and n-grams, the most frequent kept, the longest known n-grams used."""
+    import regex
+
+    word = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+    rnd = random.Random(12)
+    stems = {"a": "ka lo mi nu re".split(), "b": "ke li mo na ru".split(), "h": ["हिन्दी", "भाषा", "कि", "मी"]}
+    docs = []
+    for i in range(240):
+        lang = rnd.choice("aabh")
+        docs.append((i, " ".join("".join(rnd.choice(stems[lang]) for _ in range(rnd.randrange(1, 4))) for _ in range(rnd.randrange(1, 25))) + rnd.choice(["", ".", " 12 ½", "\n Ⅷ"]), lang if i % 9 else None))
+    docs += [(1000, "½ ² Ⅷ ① 12", "a"), (1001, None, "a"), (1002, "́", "b"), (1003, "zzz", "b")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = language.fit(df, ~language.held_out(), words=20)
+    got = {r["doc_id"]: r for r in language.predict(df, model).collect()}
+    learned = [(t, lang) for d, t, lang in docs if lang and t is not None and zlib.crc32(str(d).encode()) % 4 != 2]
+    count = Counter()
+    for t, lang in learned:
+        for w in word.findall(t.lower()):
+            count[lang, 0, w] += 1
+            for n in range(1, 5):
+                p = f"^{w}$" if n > 1 else w
+                for i in range(len(p) - n + 1):
+                    count[lang, n, p[i : i + n]] += 1
+    names = sorted({lang for _, lang in learned})
+    table = {}
+    for lang in names:
+        for n in range(5):
+            own = sorted(((-c, g) for (x, y, g), c in count.items() if (x, y) == (lang, n)))[: 20 if n == 0 else 10]
+            table.update({(lang, n, g): -c for c, g in own})
+    levels = [{g for _, y, g in table if y == n} for n in range(5)]
+
+    def log_frequency(n, g, lang):
+        total = sum(table.get((lang, n, x), 0) + 0.5 for x in levels[n]) + 0.5
+        return math.log((table.get((lang, n, g), 0) + 0.5) / total)
+
+    for d, t, _ in docs:
+        ws = word.findall((t or "").lower())
+        score = dict.fromkeys(names, 0.0)
+        for w in ws:
+            use = [(0, w)] if w in levels[0] else []
+            for n in (4, 3, 2, 1):
+                p = f"^{w}$" if n > 1 else w
+                use = use or [(n, p[i : i + n]) for i in range(len(p) - n + 1) if p[i : i + n] in levels[n]]
+            for n, g in use:
+                for lang in names:
+                    score[lang] += log_frequency(n, g, lang)
+        if not ws:
+            assert (got[d]["lang_pred"], got[d]["score"]) == ("und", 0.0)
+            continue
+        top = max(score.values())
+        assert math.isclose(score[got[d]["lang_pred"]], top, abs_tol=1e-9)
+        assert math.isclose(got[d]["score"], 1 / sum(math.exp(v - top) for v in score.values()), rel_tol=1e-6)
+    assert "हिन्दी" in levels[0] or any("हि" in g for g in levels[0])
+
+
+def test_language_rejects_foreign_text_and_gibberish(spark, documents):
+    rnd = random.Random(1)
+    odd = [
+        "Это длинный русский текст о погоде и людях которые живут в городе " * 3,
+        "这是一个关于天气和人们的中文文本 " * 9,
+        "Il gatto nero dorme sul tappeto mentre la pioggia cade lentamente sulla città e tutti restano in casa",
+        "Kissa nukkuu matolla kun sade lankeaa hitaasti kaupungin ylle ja kaikki pysyvät kotona",
+        " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randrange(2, 9))) for _ in range(100)),
+        "что это",
+    ]
+    more = spark.createDataFrame([(10**9 + i, t, None) for i, t in enumerate(odd)], "doc_id long, text string, lang string")
+    base = documents.select("doc_id", "text", "lang")
+    kept = {r["doc_id"] for r in language.reject_unknown(base.unionByName(more)).collect()}
+    assert not any(d >= 10**9 for d in kept)
+    assert len(kept) >= base.count() - 1
 
 
 def test_language_awkward(nasty, empty):

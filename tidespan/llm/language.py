@@ -3,31 +3,33 @@
 A word that the model knows is scored by its log frequency in each language.  An unseen word is scored by its
 character n-grams: the longest length of which any gram is known decides, progressively shorter ones are the
 fallback.  The model is a bounded table, fitted on a bounded sample; prediction is one pass without a shuffle.
+
+A word is a letter and the letters and combining marks that follow it.
 """
 
 from __future__ import annotations
 
-import math
-import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, text_slices
+from .common import map_arrow, spread, text_slices
 
-_WORD = re.compile(r"[^\W\d_]+")
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 LONGEST = 4
 #: Scores of this many distinct space-separated chunks are kept by a Python worker before it starts afresh.
 CACHE_CHUNKS = 200_000
 
 
 def grams(word: str, n: int) -> list[str]:
-    padded = f"^{word}$"
+    """The word's character n-grams, its ends marked; the marks alone are no 1-grams."""
+    padded = f"^{word}$" if n > 1 else word
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
@@ -45,6 +47,7 @@ class Model:
         counts = np.zeros((int(first[-1]), len(languages)))
         for (lang, level, _, n), i in zip(rows, at, strict=True):
             counts[first[level] + i, column[lang]] += n
+        self.known = counts[: len(self.levels[0])] > 0  # which languages have the word
         self.scores = np.zeros_like(counts)
         for lo, hi in zip(first[:-1], first[1:], strict=True):
             part = counts[lo:hi] + 0.5
@@ -55,10 +58,9 @@ class Model:
         own = self.levels[0].get(word)
         if own is not None:
             return [own]
-        padded = f"^{word}$"
         for n in range(LONGEST, 0, -1):
             level = self.levels[n]
-            found = [r for i in range(len(padded) - n + 1) if (r := level.get(padded[i : i + n])) is not None]
+            found = [r for g in grams(word, n) if (r := level.get(g)) is not None]
             if found:
                 return found
         return []
@@ -68,7 +70,9 @@ class Model:
 
 
 class Scorer:
-    """Scores of whole texts, by way of a cache of space-separated chunks."""
+    """Scores of whole texts, by way of a cache of space-separated chunks.
+
+    A chunk's row holds its letters, the letters of its words that each language knows, and each language's score."""
 
     def __init__(self, model: Model):
         self.model = model
@@ -76,42 +80,63 @@ class Scorer:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.table = np.zeros((0, len(self.model.languages)))
+        self.table = np.zeros((0, 1 + 2 * len(self.model.languages)))
 
     def learn(self, new: list[str]) -> None:
         rows: list[int] = []
         owner: list[int] = []
-        find = self.model.rows
+        letters, known = np.zeros((len(new), 1)), np.zeros((len(new), len(self.model.languages)))
+        find, words = self.model.rows, len(self.model.known)
         for i, chunk in enumerate(new):
             for word in _WORD.findall(chunk.lower()):
                 got = find(word)
                 rows += got
                 owner += [i] * len(got)
+                letters[i] += len(word)
+                if got and got[0] < words:
+                    known[i] += len(word) * self.model.known[got[0]]
         values, at = self.model.scores[rows], np.array(owner, np.int64)
-        table = np.stack([np.bincount(at, values[:, c], minlength=len(new)) for c in range(values.shape[1])], axis=1)
+        scores = [np.bincount(at, values[:, c], minlength=len(new)) for c in range(values.shape[1])]
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        self.table = np.concatenate([self.table, table])
+        self.table = np.concatenate([self.table, np.hstack([letters, known, np.stack(scores, axis=1) if scores else np.zeros((len(new), 0))])])
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        if not texts:
-            return np.zeros((0, len(self.model.languages)))
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(letters, known letters by language, score by language) of each text (large strings, no nulls)."""
+        n = len(self.model.languages)
         if len(self.known) > CACHE_CHUNKS:
             self.clear()
-        parts = [t.split(" ") for t in texts]
-        known = self.known
-        if new := list({c for cs in parts for c in cs if c not in known}):
+        split = pc.split_pattern(texts, " ")
+        coded = split.flatten().dictionary_encode()
+        own = coded.dictionary.to_pylist()
+        if new := [c for c in own if c not in self.known]:
             self.learn(new)
-        code = np.fromiter((i for cs in parts for i in map(known.__getitem__, cs)), np.int64)
-        first = np.cumsum([0] + [len(cs) for cs in parts[:-1]])
-        return np.add.reduceat(self.table[code], first, axis=0)
-
-
-def fit(docs: DataFrame, learn: Column, per_language: int = 3000, words: int = 60_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+        code = np.fromiter(map(self.known.__getitem__, own), np.int64, len(own))[coded.indices.to_numpy()]
+        total = np.add.reduceat(self.table[code], split.offsets.to_numpy()[:-1] - split.offsets[0].as_py(), axis=0)
+        return total[:, 0], total[:, 1 : 1 + n], total[:, 1 + n :]
+
+
+def _judged(scorer: Scorer, batch: pa.RecordBatch):
+    """(best language, posterior, share of letters in words that this language knows, letters) of every row; -1 is the
+    best language of a text without letters, and of any text where the model has none."""
+    texts = batch.column(batch.schema.get_field_index("text")).cast(pa.large_string()).fill_null("")
+    parts = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0), np.zeros(0))]
+    for lo, hi, _, _ in text_slices(batch, "text"):
+        letters, known, score = scorer.texts(texts.slice(lo, hi - lo))
+        if not score.shape[1]:
+            parts.append((np.full(hi - lo, -1), np.zeros(hi - lo), np.zeros(hi - lo), letters))
+            continue
+        best = score.argmax(axis=1)
+        sure = 1 / np.exp(score - score.max(axis=1, keepdims=True)).sum(axis=1)
+        share = known[np.arange(len(best)), best] / np.maximum(letters, 1)
+        parts.append((np.where(letters > 0, best, -1), np.where(letters > 0, sure, 0.0), share, letters))
+    return [np.concatenate(x) for x in zip(*parts, strict=True)]
+
+
+def fit(docs: DataFrame, learn: Column, per_language: int = 3000, words: int = 15_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on the rows where learn holds and the language isn't null.
 
     The sample is bounded: about per_language documents of each language, those whose hashed id is least.  So is
-    the model: words entries in all for the words, half as many for each length of n-grams, shared evenly by the
-    languages, the most frequent first.
+    the model: for each language the `words` most frequent words, and half as many n-grams of each length.
     """
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).agg(F.count("*")).collect()}
@@ -122,31 +147,33 @@ def fit(docs: DataFrame, learn: Column, per_language: int = 3000, words: int = 6
     chosen = F.pmod(F.xxhash64(F.lit("fit"), id_col), F.lit(1 << 30)) < share * (1 << 30)
 
     def count(batches):
-        total: Counter = Counter()
+        seen: Counter = Counter()
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen = Counter(_WORD.findall(text.lower()))
-                for word, n in seen.items():
-                    total[lang, 0, word] += n
-                    for level in range(1, LONGEST + 1):
-                        for g in grams(word, level):
-                            total[lang, level, g] += n
-                if len(total) > 500_000:
-                    yield _counted(total)
-                    total.clear()
-        if total:
-            yield _counted(total)
+                seen.update((lang, word) for word in _WORD.findall(text.lower()))
+                if len(seen) > 100_000:
+                    yield _counted(seen)
+                    seen.clear()
+        if seen:
+            yield _counted(seen)
 
     schema = "lang string, level int, gram string, n long"
-    counts = map_arrow(rows.where(chosen).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), count, schema)
+    counts = map_arrow(spread(rows.where(chosen).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))), count, schema)
     counts = counts.groupBy("lang", "level", "gram").agg(F.sum("n").alias("n"))
-    most = F.when(F.col("level") == 0, words // len(languages)).otherwise(words // 2 // len(languages))
+    most = F.when(F.col("level") == 0, words).otherwise(words // 2)
     top = Window.partitionBy("lang", "level").orderBy(F.desc("n"), "gram")  # over the bounded sample
     best = counts.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= most).drop("_r").toArrow()
     return Model(list(zip(*(best.column(c).to_pylist() for c in ("lang", "level", "gram", "n")), strict=True)), languages)
 
 
-def _counted(total: Counter) -> pa.RecordBatch:
+def _counted(seen: Counter) -> pa.RecordBatch:
+    """Counts of (language, word) as rows for the words and their n-grams."""
+    total: Counter = Counter()
+    for (lang, word), n in seen.items():
+        total[lang, 0, word] = n
+        for level in range(1, LONGEST + 1):
+            for g in grams(word, level):
+                total[lang, level, g] += n
     lang, level, gram = zip(*total, strict=True)
     return pa.RecordBatch.from_arrays(
         [pa.array(lang, pa.string()), pa.array(level, pa.int32()), pa.array(gram, pa.string()), pa.array(list(total.values()), pa.int64())],
@@ -161,29 +188,17 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     any text where the model knows no language gives und with score 0.  Null ids stay null, repeated rows each give
     a row, an empty table gives an empty one, other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 3 * words entries
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 3 * words entries a language
 
     def run(batches):
         scorer = Scorer(shared.value)
-        names = scorer.model.languages
+        names = np.array([*scorer.model.languages, "und"], object)
         for batch in batches:
-            pred: list[str] = []
-            score: list[float] = []
-            for lo, hi, _, _ in text_slices(batch, "text"):
-                group = [t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
-                best, sure = [0] * len(group), [0.0] * len(group)
-                if names:
-                    s = scorer.scores(group)
-                    best = s.argmax(axis=1).tolist()
-                    sure = (1 / np.exp(s - s.max(axis=1, keepdims=True)).sum(axis=1)).tolist()
-                for t, b, p in zip(group, best, sure, strict=True):
-                    lettered = bool(names) and _LETTER.search(t) is not None
-                    pred.append(names[b] if lettered else "und")
-                    score.append(p if lettered else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+            best, sure, _, _ = _judged(scorer, batch)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best], pa.string()), pa.array(sure)], ["doc_id", "lang_pred", "score"])
 
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return map_arrow(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, schema)
+    return map_arrow(spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))), run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -191,11 +206,16 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def reject_unknown(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """docs without those whose language can't be told: und, or a score under least.
+def reject_unknown(docs: DataFrame, least: float = 0.12, enough: int = 60) -> DataFrame:
+    """docs without those whose language can't be told: no letters, or less than the share `least` of the letters in
+    words that the predicted language knows.
 
-    Needs columns doc_id, text, lang.  Works on rows as they stand, so the decision is made in one pass: the text is
-    scored next to the row's other columns, and no join is needed.
+    The posterior can't tell: over a whole text it is near 1 for any text, in an unlearned language too.  The share of
+    known words doesn't grow with the text; function words alone are more than `least` of any prose.  A text of fewer
+    than `enough` letters may have no function word: it goes only if its n-grams point to no language (posterior under
+    one half).  Needs columns doc_id, text, lang.  Works on rows as they stand, so the decision is made in one pass: the
+    text is scored next to the row's other columns, and no join is needed.  Null and empty texts go, repeated rows are
+    judged alike, null ids and other columns don't matter, an empty table gives an empty one.
     """
     model = fit(docs, ~held_out())
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -203,16 +223,7 @@ def reject_unknown(docs: DataFrame, least: float = 0.5) -> DataFrame:
     def run(batches):
         scorer = Scorer(shared.value)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text"))
-            keep: list[bool] = []
-            for lo, hi, _, _ in text_slices(batch, "text"):
-                group = [t or "" for t in texts.slice(lo, hi - lo).to_pylist()]
-                if not scorer.model.languages:
-                    keep += [False] * len(group)
-                    continue
-                s = scorer.scores(group)
-                sure = 1 / np.exp(s - s.max(axis=1, keepdims=True)).sum(axis=1)
-                keep += [_LETTER.search(t) is not None and p >= least for t, p in zip(group, sure.tolist(), strict=True)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return map_arrow(docs, run, docs.schema)
+            best, sure, share, letters = _judged(scorer, batch)
+            yield batch.filter(pa.array((best >= 0) & np.where(letters < enough, sure >= 0.5, share >= least)))
+
+    return map_arrow(spread(docs), run, docs.schema)

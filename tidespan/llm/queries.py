@@ -31,7 +31,7 @@ def op4_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_language_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = language.fit(docs, ~language.held_out(), per_language=3000, words=60_000)
+    model = language.fit(docs, ~language.held_out(), per_language=3000, words=15_000)
     return language.predict(docs, model).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
