@@ -92,10 +92,50 @@ def test_importance_weights_by_hand(spark):
     df = spark.createDataFrame([(1, "a b"), (2, "a a"), (3, "c")], "doc_id long, text string")
     ratio = importance.log_ratios(df, np.array([1]), 1 << 16, 1.0)
     row, bucket = importance._hashed_grams(np.frombuffer(b"a", np.uint8), np.array([0, 1]), 1 << 16)
-    # a occurs three times in all and once in the target, which has 3 of the 7 grams
+    # a occurs three times in all and once in the target, which has 3 of the 7 n-grams
     assert math.isclose(ratio[bucket[0]], math.log((1 + 1) / (3 * 3 / 7 + 1)))
 
 
+@pytest.mark.parametrize("scale", [None, 100.0])
+def test_importance_against_brute_force(spark, scale):
+    """The whole result: plain counts of words and pairs, the ratio of both models, noise, and the exact top k."""
+    rnd = random.Random(8)
+    docs = [(i, " ".join(rnd.choice(["good", "fine", "well", "word"] if i % 3 else ["bad", "junk", "word", "!!"]) for _ in range(rnd.randrange(30)))) for i in range(120)]
+    docs += [(5, docs[5][1]), (5, docs[5][1]), (None, "good word"), (None, "good word"), (500, None), (501, "")]
+    labels = [(i, int(i % 3 > 0), 0) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = rows(importance.resample(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), share=0.6, scale=scale))
+    cut = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+|[^0-9A-Za-z\x00-\x20\x80-\U0010ffff]+")
+    target = {i for i, q, _ in labels if q}
+
+    def grams(t):
+        w = cut.findall(t or "")
+        return w + list(zip(w, w[1:], strict=False))
+
+    raw, good = Counter(), Counter()
+    for d, t in docs:
+        raw.update(grams(t))
+        good.update(grams(t) if d in target else [])
+    part = sum(good.values()) / sum(raw.values())
+    want = []
+    for d, t in docs:
+        g = grams(t)
+        w = sum(math.log((good[x] + 1) / (raw[x] * part + 1)) for x in g)
+        want.append((str(d), len(g), round(w * (scale or 1) / (max(len(g), 1) if scale else 1), 6)))
+    assert sorted((str(r["doc_id"]), r["n_grams"], round(r["log_weight"], 6)) for r in got) == sorted(want)
+    noise = {r["doc_id"]: r["e"] for r in df.selectExpr("doc_id", "-ln(-ln((shiftrightunsigned(xxhash64(17, doc_id), 11) + 0.5D) / 9007199254740992D)) AS e").collect()}
+    assert all(math.isclose(r["gumbel_key"], r["log_weight"] + noise[r["doc_id"]], rel_tol=1e-9) for r in got)
+    order = sorted(got, key=lambda r: (-r["gumbel_key"], r["doc_id"] is None, r["doc_id"], not r["kept"]))
+    k = math.floor(0.6 * len(docs) + 0.5)
+    assert [r["kept"] for r in order] == [True] * k + [False] * (len(docs) - k)
+
+
+def test_importance_keeps_exactly_k_of_tied_rows(spark):
+    df = spark.createDataFrame([(None, "same words here")] * 40 + [(7, "same words here")] * 40, "doc_id long, text string").repartition(5)
+    got = rows(importance.resample(df, spark.createDataFrame([(7, 1, 0)], "doc_id long, quality int, toxic int"), share=0.3))
+    assert sum(r["kept"] for r in got) == 24
+
+
 def test_kth_largest(spark):
     rnd = random.Random(1)
     values = [rnd.choice([0.5, rnd.random()]) for _ in range(500)]
@@ -108,7 +148,7 @@ def test_kth_largest(spark):
 def test_importance_awkward(spark, nasty, empty):
     labels = spark.createDataFrame([(1, 1, 0), (9, 1, 0), (6, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     got = rows(importance.resample(nasty, labels, share=0.5))
-    assert len(got) == nasty.count() and 6 <= sum(r["kept"] for r in got) <= 8
+    assert len(got) == nasty.count() and sum(r["kept"] for r in got) == math.floor(0.5 * nasty.count() + 0.5)
     assert importance.resample(empty, labels).count() == 0
     assert all(r["kept"] for r in rows(importance.resample(nasty, labels.limit(0))))
 

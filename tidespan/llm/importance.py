@@ -2,7 +2,8 @@
 
 Two generative models over hashed n-grams, one of target documents (labelled good) and one of all raw text, give
 each document the log ratio of its text under both.  Gumbel noise added to it makes the top k a sample without
-replacement whose odds follow the ratio.
+replacement whose odds follow the ratio.  Words and pairs of words have half of the buckets each, so that the many
+pairs don't blur the words.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_table, map_arrow, stored, text_slices, window_hashes, word_hashes, words
+from .common import byte_table, map_arrow, spread, stored, text_slices, window_hashes, word_hashes, words
 
 _LETTERS = byte_table((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 _MARKS = ~(_LETTERS | byte_table((0, 32)))
@@ -28,8 +29,8 @@ def _hashed_grams(data: np.ndarray, offs: np.ndarray, buckets: int) -> tuple[np.
     starts, ends, doc = (np.r_[x, y][order] for x, y in zip(a, b, strict=True))
     h = word_hashes(data, starts, ends)
     pair = np.flatnonzero(doc[1:] == doc[:-1])
-    grams = np.r_[h, window_hashes(h, 2)[pair]]
-    return np.r_[doc, doc[pair]], (grams % np.uint64(buckets)).astype(np.int64)
+    half = np.uint64(buckets // 2)
+    return np.r_[doc, doc[pair]], np.r_[h % half, window_hashes(h, 2)[pair] % half + half].astype(np.int64)
 
 
 def target_ids(labels: DataFrame, most: int, seed: int) -> tuple[np.ndarray, float]:
@@ -67,10 +68,13 @@ def log_ratios(texts: DataFrame, target: np.ndarray, buckets: int, prior: float)
     return np.log((good + prior) / (expected + prior))
 
 
-def weigh(docs: DataFrame, target: np.ndarray, buckets: int = 1 << 18, prior: float = 5.0, scale: float = 100.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_grams, log_weight: the text's mean log ratio, times scale (so documents weigh as if scale n-grams
-    long, whatever their length); 0 for a text without n-grams."""
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def weigh(
+    docs: DataFrame, target: np.ndarray, buckets: int = 1 << 20, prior: float = 1.0, scale: float | None = None, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """doc_id, n_grams, log_weight: the log of the text's likelihood under the target model over that under the raw one.
+    With scale, the mean log ratio of its n-grams times scale instead: documents weigh as if scale n-grams long, so that
+    length doesn't decide.  0 for a text without n-grams."""
+    texts = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     ratio = texts.sparkSession.sparkContext.broadcast(log_ratios(texts.withColumn("doc_id", F.col("doc_id").cast("long")), target, buckets, prior))
 
     def run(batches):
@@ -81,15 +85,17 @@ def weigh(docs: DataFrame, target: np.ndarray, buckets: int = 1 << 18, prior: fl
                 n.append(np.bincount(row, minlength=hi - lo))
                 total.append(np.bincount(row, ratio.value[bucket], minlength=hi - lo))
             count = np.concatenate(n)
-            mean = scale * np.concatenate(total) / np.maximum(count, 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count), pa.array(mean)], ["doc_id", "n_grams", "log_weight"])
+            weight = np.concatenate(total)
+            if scale is not None:
+                weight = scale * weight / np.maximum(count, 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count), pa.array(weight)], ["doc_id", "n_grams", "log_weight"])
 
     kind = docs.schema[id_col].dataType
     return map_arrow(texts, run, T.StructType([T.StructField("doc_id", kind), T.StructField("n_grams", T.LongType()), T.StructField("log_weight", T.DoubleType())]))
 
 
 def kth_largest(df: DataFrame, column: str, k: int, together: int = 10_000) -> tuple[float, int]:
-    """The k-th largest value of a double column (1 <= k <= rows), and how many rows are greater.  Histograms narrow
+    """The k-th largest value of a double or long column (1 <= k <= rows), and how many rows are greater.  Histograms narrow
     the range until `together` rows or a single value are left; nothing is sorted or gathered as a whole."""
     above = 0
     low, high, n = df.agg(F.min(column), F.max(column), F.count(column)).first()
@@ -108,25 +114,40 @@ def kth_largest(df: DataFrame, column: str, k: int, together: int = 10_000) -> t
     return value, above + sum(v > value for v in values)
 
 
-def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, most_targets: int = 20_000, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_grams, log_weight, gumbel_key, kept for every row; kept marks the top round(share * rows) keys.
-
-    share: by default the share of labelled documents that are of quality 1 and not toxic.  The target model is fitted on about
-    most_targets labelled documents at most; the raw model on all documents.  Among equal keys the smaller id goes
-    first; rows equal in key and id stand or fall together.  A null text has no n-grams and weight 0; a null id is
-    kept as null and takes the noise of the null value; without labels all weights are 0 and everything is kept;
-    an empty table gives an empty one; other columns are not read.
+def resample(
+    docs: DataFrame,
+    labels: DataFrame,
+    share: float | None = None,
+    most_targets: int = 20_000,
+    buckets: int = 1 << 20,
+    scale: float | None = None,
+    seed: int = 17,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """doc_id, n_grams, log_weight, gumbel_key, kept for every row; kept marks the top k = round(share * rows) keys.
+
+    share: by default the share of labelled documents that are of quality 1 and not toxic.  The target model is fitted
+    on about most_targets labelled documents at most; the raw model on all documents.  scale: see weigh().
+
+    Exactly k rows are kept: among equal keys the smaller id goes first (null last), among rows equal in both the one
+    that the scan gives first.  A null text has no n-grams and weight 0; a null id is kept as null and takes the noise
+    of the null value; without labels all weights are 0 and everything is kept; an empty table gives an empty one;
+    other columns are not read.
     """
     target, good = target_ids(labels, most_targets, seed)
     share = good if share is None else share
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) + 0.5) / float(1 << 53)
-    keyed = weigh(docs, target, id_col=id_col, text_col=text_col).withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(u)))
-    keyed = stored(keyed, "importance")
+    keyed = weigh(docs, target, buckets, scale=scale, id_col=id_col, text_col=text_col).withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(u)))
+    before = -F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
+    keyed = stored(keyed.withColumn("_before", before).withColumn("_nth", -F.monotonically_increasing_id()), "importance")
     k = math.floor(share * keyed.count() + 0.5)
-    if k == 0:
-        return keyed.withColumn("kept", F.lit(False))
-    least, above = kth_largest(keyed, "gumbel_key", k)
-    tied = keyed.where(F.col("gumbel_key") == least).select((-F.coalesce(F.col("doc_id").cast("double"), F.lit(float("inf")))).alias("i"))
-    first, _ = kth_largest(tied, "i", k - above)
-    early = -F.coalesce(F.col("doc_id").cast("double"), F.lit(float("inf"))) >= first
-    return keyed.withColumn("kept", (F.col("gumbel_key") > least) | ((F.col("gumbel_key") == least) & early))
+    kept = F.lit(False)
+    if k:
+        key, above = kth_largest(keyed, "gumbel_key", k)
+        tied = keyed.where(F.col("gumbel_key") == key)
+        first, earlier = kth_largest(tied, "_before", k - above)
+        nth, _ = kth_largest(tied.where(F.col("_before") == first), "_nth", k - above - earlier)
+        own = (F.col("_before") > first) | ((F.col("_before") == first) & (F.col("_nth") >= nth))
+        kept = (F.col("gumbel_key") > key) | ((F.col("gumbel_key") == key) & own)
+    return keyed.withColumn("kept", kept).drop("_before", "_nth")

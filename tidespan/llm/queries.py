@@ -14,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), most_targets=20_000)
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), most_targets=20_000, buckets=1 << 20, scale=100.0)
 
 
 def op2_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
