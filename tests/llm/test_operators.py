@@ -234,6 +234,69 @@ def test_license_templates(spark):
     assert set(got[5]["labels"].split(",")) >= {"gpl", "gpl-3.0", "cc-by", "cc-by-sa"}
 
 
+def brute_license(text, idf, rare, slack):
+    """Labels and score of one text, word by word."""
+    w = ALNUM.findall(text.translate(LOW))
+    rank = lambda x: (-idf.get(x, 0.0), x)
+    templates = []
+    for label, t, keys in licenses.TEMPLATES:
+        t = ALNUM.findall(t.translate(LOW))
+        own = sorted(set(t), key=rank)
+        templates.append((label, t, own[: (len(own) + 1) // 2], [(k.split(), next(i for i in range(len(t)) if t[i : i + len(k.split())] == k.split())) for k in keys]))
+    posted = {x for _, _, p, _ in templates for x in p}
+    mine = sorted(set(w) & posted, key=rank)
+    look = set(mine[:rare])
+    for _, _, p, keys in templates:
+        if all(x in w for k, _ in keys for x in k) and len(set(mine[:rare]) & set(p)) < 2:
+            look |= set([x for x in p if x in w][:2])
+    labels, score = {label for p, label in licenses.PHRASES if any(w[i : i + len(p.split())] == p.split() for i in range(len(w)))}, 0.0
+    score = 0.5 if labels else 0.0
+    for label, t, p, keys in templates:
+        votes = sorted((i - q, x) for i, x in enumerate(w) if x in look and x in p for q, y in enumerate(t) if y == x)
+        kinds = {x for _, x in votes}
+        for d, x in votes:
+            if len(kinds) > 1 and not any(0 <= e - d <= slack and y != x for e, y in votes):
+                continue
+            if all(any(abs(i - q - d) <= slack and w[i : i + len(k)] == k for i in range(len(w))) for k, q in keys):
+                labels.add(label)
+                score = max(score, sum(any(0 <= i < len(w) and w[i] == y for i in range(q + d - slack, q + d + slack + 1)) for q, y in enumerate(t)) / len(t))
+    return ",".join(sorted(labels)), score
+
+
+def test_licenses_against_brute_force(spark, documents, texts):
+    rnd = random.Random(21)
+    vocabulary = sorted({x for _, t, _ in licenses.TEMPLATES for x in ALNUM.findall(t)})
+    made = {}
+    for i in range(120):
+        parts = []
+        for _ in range(rnd.randrange(1, 4)):
+            t = rnd.choice(licenses.TEMPLATES)[1].split()
+            for _ in range(rnd.randrange(4)):  # words inserted, dropped, changed
+                at = rnd.randrange(len(t))
+                t[at : at + rnd.randrange(2)] = [rnd.choice([*vocabulary, "zzz"])] * rnd.randrange(3)
+            parts += t[rnd.choice([0, 0, 3]) :] + [rnd.choice(vocabulary) for _ in range(rnd.randrange(12))]
+        made[10**6 + i] = " ".join(parts)
+    df = documents.select("doc_id", "text").unionByName(spark.createDataFrame(list(made.items()), "doc_id long, text string"))
+    idf = licenses.word_idf(df.select("text"))
+    got = {r["doc_id"]: (r["labels"], round(r["score"], 9)) for r in licenses.scan_licenses(df, rare=5, slack=6).collect()}
+    for d, t in [*texts.items(), *made.items()]:
+        labels, score = brute_license(t, idf, 5, 6)
+        assert got[d] == (labels, round(score, 9)), d
+    assert len({x for x, _ in got.values()}) > 20
+
+
+def test_common_words_are_not_posted(documents):
+    index = licenses.Index(licenses.word_idf(documents.select("text")))
+    assert not any(index.is_posted[index.names.index(w)] for w in ("the", "of", "and", "to", "is"))
+
+
+def test_licenses_with_inserted_words(spark):
+    mit = licenses.TEMPLATES[0][1]
+    df = spark.createDataFrame([(1, mit.replace("free of charge", "completely free of charge")), (2, "x " * 5000 + mit), (3, mit.replace("free of charge", "for a fee"))], "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan_licenses(df).collect()}
+    assert got == {1: ("mit", 1.0), 2: ("mit", 1.0), 3: ("", 0.0)}
+
+
 def test_licenses_awkward(nasty, empty):
     assert len(rows(licenses.scan_licenses(nasty))) == nasty.count()
     assert licenses.scan_licenses(empty).count() == 0

@@ -1,10 +1,10 @@
 """Licence scans with a positional index of rare tokens.
 
-The index holds each licence template's words with their positions.  One pass over the corpus counts in how many
-documents each licence word occurs; a template is then looked up by its words of highest IDF only.  In a document
-each occurrence of such a word at p, paired with its posting at q, votes for the template lying at p - q; votes of
-two words at one place (or all there are) intersect the postings.  A candidate counts once its mandatory key phrases
-stand at the words where the template has them.
+One pass over the corpus counts in how many documents each licence word occurs.  The index posts, for each template,
+the rarer half of its words with their positions; common words have no postings.  A file is looked up by its own
+licence words of highest IDF: each of their places p, with a posting at q, puts a template at p - q.  Postings are
+intersected by this relative position, with some slack for inserted or missing words: a template is a candidate
+where two of the words agree.  It counts once its mandatory key phrases stand where the template has them.
 """
 
 from __future__ import annotations
@@ -17,132 +17,198 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM_WORDS, LOWER, map_arrow, text_slices, word_hashes, words
+from .common import ALNUM_WORDS, LOWER, map_arrow, spread, text_slices, word_hashes, words
+from .licence_texts import TEMPLATES
 
 #: Base labels: (phrase, label).
 PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
+#: Candidate places of a template that are verified together.
+TOGETHER = 1024
 
-#: (label, template words, mandatory key phrases); common licence sentences, in the normal form of the words.
-TEMPLATES = [
-    ("apache-2.0", "licensed under the apache license version 2 0", ["apache license version 2 0"]),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", ["permission is hereby granted", "free of charge"]),
-    ("mit", "released under the mit license", ["mit license"]),
-    ("mit", "licensed under the mit license", ["mit license"]),
-    ("gpl-3.0", "gnu general public license version 3", ["general public license version 3"]),
-    ("gpl-2.0", "gnu general public license version 2", ["general public license version 2"]),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", ["free software", "general public license"]),
-    ("lgpl", "gnu lesser general public license", ["lesser general public license"]),
-    ("agpl", "gnu affero general public license", ["affero general public license"]),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ["redistribution and use in source and binary forms"]),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
-    ("cc-by-nc", "licensed under cc by nc 4 0", ["cc by nc"]),
-    ("cc-by-sa", "licensed under cc by sa 4 0", ["cc by sa"]),
-    ("cc-by-4.0", "licensed under cc by 4 0", ["cc by 4 0"]),
-    ("cc-by", "creative commons attribution 4 0 international license", ["creative commons attribution"]),
-    ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software", "public domain"]),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["permission to use copy modify", "hereby granted"]),
-]
-
-
-def _hash(text: str) -> np.ndarray:
+
+def normal_words(text: str) -> list[str]:
     data = LOWER[np.frombuffer(text.encode(), np.uint8)]
     starts, ends, _ = words(data, np.array([0, len(data)]), ALNUM_WORDS)
-    return word_hashes(data, starts, ends)
+    return [data[a:b].tobytes().decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
 class Index:
-    """Templates by their rarest words; rare: how many distinct words of a template are looked up."""
-
-    def __init__(self, idf: dict[int, float], rare: int = 6):
-        self.base = [(_hash(p), label) for p, label in PHRASES]
-        self.templates = [(label, _hash(t), [_hash(k) for k in keys]) for label, t, keys in TEMPLATES]
-        self.keys = [[int(np.flatnonzero([np.array_equal(t[i : i + len(k)], k) for i in range(len(t))])[0]) for k in keys] for _, t, keys in self.templates]
-        self.postings: dict[int, list[tuple[int, int]]] = {}
-        for n, (_, t, _) in enumerate(self.templates):
-            best = sorted(set(t.tolist()), key=lambda w: (-idf.get(w, 0.0), w))[:rare]
-            for w in best:
-                for q in np.flatnonzero(t == np.uint64(w)).tolist():
-                    self.postings.setdefault(w, []).append((n, q))
-        vocabulary = {int(w) for t in self.templates for w in t[1]} | {int(w) for p in self.base for w in p[0]}
-        self.vocabulary = np.array(sorted(vocabulary), np.uint64)
-
-    def scan(self, h: np.ndarray, at: np.ndarray) -> tuple[int, int | None, int | None, set[str], set[str], float]:
-        """One document: its words' hashes and the places of licence words among them."""
-        n, first, last, base = 0, None, None, set()
+    """Templates with postings of their rarer words.
+
+    idf: of every word; rare: how many of a file's words are looked up; slack: by how many words a template's words may
+    be out of place."""
+
+    def __init__(self, idf: dict[str, float], rare: int = 12, slack: int = 8, templates=TEMPLATES):
+        self.rare, self.slack = rare, slack
+        texts = [normal_words(t) for _, t, _ in templates]
+        phrases = [p.split() for p, _ in PHRASES]
+        self.names = sorted({w for t in [*texts, *phrases] for w in t})
+        code = {w: i for i, w in enumerate(self.names)}
+        data = LOWER[np.frombuffer(" ".join(self.names).encode(), np.uint8)]
+        hashes = word_hashes(data, *words(data, np.array([0, len(data)]), ALNUM_WORDS)[:2])
+        order = np.argsort(hashes)
+        self.vocabulary, self.code = hashes[order], order  # sorted hashes, and the word of each
+        self.order = sorted(range(len(self.names)), key=lambda i: (-idf.get(self.names[i], 0.0), self.names[i]))  # rarest first
+        self.place = {w: n for n, w in enumerate(self.order)}
+        self.base = [([code[w] for w in p], label) for p, (_, label) in zip(phrases, PHRASES, strict=True)]
+        self.labels = [label for label, _, _ in templates]
+        self.texts = [np.array([code[w] for w in t]) for t in texts]
+        self.keys = []
+        for t, (_, _, keys) in zip(texts, templates, strict=True):
+            cut = [k.split() for k in keys]
+            self.keys.append([(np.array([code[w] for w in k]), next(i for i in range(len(t)) if t[i : i + len(k)] == k)) for k in cut])
+        self.mandatory = [{int(w) for k, _ in keys for w in k} for keys in self.keys]
+        self.postings: dict[int, list[tuple[int, np.ndarray]]] = {}
+        self.posted: list[list[int]] = []
+        for n, t in enumerate(self.texts):
+            own = sorted(set(t.tolist()), key=self.place.__getitem__)
+            self.posted.append(own[: (len(own) + 1) // 2])
+            for w in self.posted[-1]:
+                self.postings.setdefault(w, []).append((n, np.flatnonzero(t == w)))
+        self.is_posted = np.zeros(len(self.names), bool)
+        self.is_posted[list(self.postings)] = True
+
+    def lookups(self, present: set[int]) -> list[int]:
+        """The words that a file is looked up by: its `rare` posted words of highest IDF; and for a template whose
+        mandatory words it has but of which fewer than two words are among these, the two rarest that it has."""
+        mine = sorted((w for w in present if self.is_posted[w]), key=self.place.__getitem__)
+        chosen = set(mine[: self.rare])
+        if len(mine) > self.rare:
+            first = frozenset(chosen)
+            for posted, needed in zip(self.posted, self.mandatory, strict=True):
+                if needed <= present and len(first.intersection(posted)) < 2:
+                    chosen.update([w for w in posted if w in present][:2])
+        return sorted(chosen)
+
+    def candidates(self, where: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+        """For each template the relative positions d from which on, within slack, two looked-up words agree (one, where
+        the file has only one of the template's)."""
+        votes: dict[int, list[tuple[np.ndarray, int]]] = {}
+        for w in self.lookups(set(where)):
+            for t, q in self.postings[w]:
+                votes.setdefault(t, []).append(((where[w][:, None] - q).ravel(), w))
+        out = {}
+        for t, parts in votes.items():
+            d = np.concatenate([x for x, _ in parts])
+            if len(parts) == 1:
+                out[t] = np.unique(d)
+                continue
+            w = np.repeat(np.arange(len(parts)), [len(x) for x, _ in parts])
+            order = np.lexsort((w, d))
+            d, w = d[order], w[order]
+            other = np.full(len(d), len(d))  # the next vote of another word
+            change = np.flatnonzero(w[1:] != w[:-1])
+            other[:-1] = np.append(change + 1, len(d))[np.searchsorted(change, np.arange(len(d) - 1))]
+            near = np.append(d, np.iinfo(np.int64).max)[other] - d <= self.slack
+            if near.any():
+                out[t] = np.unique(d[near])
+        return out
+
+    def scan(self, at: np.ndarray, word: np.ndarray) -> tuple[int, int | None, int | None, set[str], set[str], float]:
+        """One document: the places of licence words, and which words these are."""
+        order = np.lexsort((at, word))
+        cut = np.flatnonzero(np.diff(word[order])) + 1
+        where = {int(word[p[0]]): at[p] for p in np.split(order, cut)} if len(at) else {}
+        nowhere = np.zeros(0, np.int64)
+
+        def places(phrase) -> np.ndarray:
+            hits = where.get(int(phrase[0]), nowhere)
+            for i, w in enumerate(phrase[1:], 1):
+                hits = hits[np.isin(hits + i, where.get(int(w), nowhere))]
+            return hits
+
+        n, found, base = 0, [], set()
         for phrase, label in self.base:
-            hits = at[at <= len(h) - len(phrase)]
-            for i, w in enumerate(phrase):
-                hits = hits[h[hits + i] == w]
+            hits = places(phrase)
             if len(hits):
                 n += len(hits)
-                first = int(hits[0]) if first is None else min(first, int(hits[0]))
-                last = int(hits[-1]) if last is None else max(last, int(hits[-1]))
+                found += [int(hits[0]), int(hits[-1])]
                 base.add(label)
-        votes: dict[tuple[int, int], set[int]] = {}
-        for p, w in zip(at.tolist(), h[at].tolist(), strict=True):
-            for t, q in self.postings.get(w, ()):
-                votes.setdefault((t, p - q), set()).add(w)
         labels, score = set(base), 0.5 if base else 0.0
-        for (t, start), ws in votes.items():
-            label, words_, keys = self.templates[t]
-            if len(ws) < 2 or label in labels and score == 1.0:
-                continue
-            lo, hi = max(0, -start), min(len(words_), len(h) - start)
-            if all(start + q >= 0 and np.array_equal(h[start + q : start + q + len(k)], k) for k, q in zip(keys, self.keys[t], strict=True)):
-                labels.add(label)
-                score = max(score, float((h[start + lo : start + hi] == words_[lo:hi]).sum() / len(words_)))
-        return n, first, last, base, labels, score
-
-
-def _prepared(batch: pa.RecordBatch, vocabulary: np.ndarray):
-    """Slices of a batch: (number of rows, words per row, hashes, first word per row, places of licence words, their rows)."""
+        for t, d in self.candidates(where).items():
+            for phrase, q in self.keys[t]:
+                d = d[_within(places(phrase) - q, d, self.slack)]
+            if len(d):
+                labels.add(self.labels[t])
+                score = max(score, self.agreement(where, t, d))
+        return n, min(found, default=None), max(found, default=None), base, labels, score
+
+    def agreement(self, where: dict[int, np.ndarray], t: int, d: np.ndarray) -> float:
+        """The largest share of template t's words that stand within slack of their places, over positions d."""
+        best, nowhere = 0.0, np.zeros(0, np.int64)
+        for lo in range(0, len(d), TOGETHER):
+            part = d[lo : lo + TOGETHER]
+            hits = np.zeros(len(part), np.int64)
+            for q, w in enumerate(self.texts[t].tolist()):
+                hits += _within(where.get(w, nowhere) - q, part, self.slack)
+            best = max(best, int(hits.max()) / len(self.texts[t]))
+        return best
+
+
+def _within(x: np.ndarray, d: np.ndarray, slack: int) -> np.ndarray:
+    """For each d whether some of the sorted x lies within slack of it."""
+    if not len(x):
+        return np.zeros(len(d), bool)
+    at = np.searchsorted(x, d - slack)
+    return (at < len(x)) & (x[np.minimum(at, len(x) - 1)] <= d + slack)
+
+
+def _prepared(batch: pa.RecordBatch, index: Index):
+    """Slices of a batch: (number of rows, words per row, places of licence words in their rows, their rows, the words)."""
     for lo, hi, data, offs in text_slices(batch, "text"):
         data = LOWER[data]
         starts, ends, doc = words(data, offs, ALNUM_WORDS)
         h = word_hashes(data, starts, ends)
-        place = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-        at = np.flatnonzero(vocabulary[place] == h)
+        place = np.minimum(np.searchsorted(index.vocabulary, h), len(index.vocabulary) - 1)
+        at = np.flatnonzero(index.vocabulary[place] == h)
         count = np.bincount(doc, minlength=hi - lo)
-        yield hi - lo, count, h, np.cumsum(count) - count, at, doc[at], place[at]
+        first = np.cumsum(count) - count
+        yield hi - lo, count, at - first[doc[at]], doc[at], index.code[place[at]]
 
 
-def word_idf(texts: DataFrame) -> dict[int, float]:
+def word_idf(texts: DataFrame) -> dict[str, float]:
     """IDF of every licence word over all documents: one pass, one row per word and task."""
-    vocabulary = Index({}).vocabulary
+    names = Index({}).names
 
     def run(batches):
-        df, n = np.zeros(len(vocabulary), np.int64), 0
+        index = Index({})
+        df, n = np.zeros(len(names), np.int64), 0
         for batch in batches:
-            for rows, _, _, _, _, doc, place in _prepared(batch, vocabulary):
-                df += np.bincount(np.unique(doc * len(vocabulary) + place) % len(vocabulary), minlength=len(vocabulary))
+            for rows, _, _, doc, word in _prepared(batch, index):
+                df += np.bincount(np.unique(doc * len(names) + word) % len(names), minlength=len(names))
                 n += rows
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(df))), pa.array(np.r_[n, df])], ["w", "n"])
 
     counts = {r["w"]: r["n"] for r in map_arrow(texts, run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()}
     total = counts.get(-1, 0)
-    return {int(w): math.log((1 + total) / (1 + counts.get(i, 0))) for i, w in enumerate(vocabulary)}
+    return {w: math.log((1 + total) / (1 + counts.get(i, 0))) for i, w in enumerate(names)}
 
 
-def scan_licenses(docs: DataFrame, rare: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, rare: int = 12, slack: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row.
 
-    score: the largest share of a verified template's words that stand in their places; 0.5 at least with a base
-    phrase, 0 with no label.  A null text has no words; null ids stay null; repeated rows each give a row; an empty
-    table gives an empty one; other columns are not read.  Whole texts, two passes, no shuffle of texts.
+    score: the largest share of a verified template's words that stand within slack of their places; 0.5 at least with
+    a base phrase, 0 with no label.  A null text has no words; null ids stay null; repeated rows each give a row; an
+    empty table gives an empty one; other columns are not read.  Whole texts, two passes, no shuffle of texts but of a
+    table too small to occupy all cores.
     """
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    texts = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     idf = word_idf(texts.select("text"))
 
     def run(batches):
-        index = Index(idf, rare)
+        index = Index(idf, rare, slack)
+        base_words = {w for p, _ in index.base for w in p}
+        useful = index.is_posted.copy()
+        useful[list(base_words)] = True
         for batch in batches:
             n_words: list[np.ndarray] = []
             out = []
-            for rows, count, h, first, at, doc, _ in _prepared(batch, index.vocabulary):
+            for rows, count, at, doc, word in _prepared(batch, index):
                 n_words.append(count)
                 found = [(0, None, None, "", "", 0.0)] * rows
-                for d, places in zip(*_grouped(doc, at), strict=True):
-                    n, lo, hi, base, labels, score = index.scan(h[first[d] : first[d] + count[d]], places - first[d])
+                mine = np.isin(doc, np.unique(doc[useful[word]]))
+                for d, places, ws in _grouped(doc[mine], at[mine], word[mine]):
+                    n, lo, hi, base, labels, score = index.scan(places, ws)
                     found[d] = (n, lo, hi, ",".join(sorted(base)), ",".join(sorted(labels)), score)
                 out += found
             cols = list(zip(*out, strict=True)) if out else [[]] * 6
@@ -162,9 +228,8 @@ def scan_licenses(docs: DataFrame, rare: int = 6, id_col: str = "doc_id", text_c
     return map_arrow(texts, run, schema)
 
 
-def _grouped(doc: np.ndarray, at: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
-    """The places of each row that has any (rows ascending)."""
-    if not len(doc):
-        return [], []
-    cut = np.flatnonzero(np.diff(doc)) + 1
-    return doc[np.r_[0, cut]].tolist(), np.split(at, cut)
+def _grouped(doc: np.ndarray, *columns: np.ndarray):
+    """(row, its part of each column) of each row that has any (rows ascending)."""
+    if len(doc):
+        cut = np.flatnonzero(np.diff(doc)) + 1
+        yield from zip(doc[np.r_[0, cut]].tolist(), *[np.split(c, cut) for c in columns], strict=True)

@@ -22,7 +22,7 @@ def op2_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(table(spark, sf_dir, "documents"), rare=6)
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"), rare=12, slack=8)
 
 
 def op4_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
