@@ -188,6 +188,45 @@ def test_phrases_with_hot_anchors(spark, monkeypatch):
     assert got == {d: v[:3] for d, v in brute_phrases(docs).items()}
 
 
+def test_phrases_inside_one_document(spark):
+    """Repeats that overlap or follow each other at once, in documents whose windows occur nowhere else."""
+    rnd = random.Random(14)
+    docs = [(0, "a " * 60), (1, "b " * 21), (2, "b " * 20), (3, "x y " * 30), (4, " ".join(f"w{i}" for i in range(25)) + " " + " ".join(f"w{i}" for i in range(25)))]
+    docs += [(10 + i, " ".join(rnd.choice("pq") for _ in range(200))) for i in range(5)] + [(30 + i, " ".join(f"c{j % (7 + i)}" for j in range(90))) for i in range(14)]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in phrases.remove_repeated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {d: v[:3] for d, v in brute_phrases(docs).items()}
+
+
+def test_phrases_come_through_the_automaton(spark, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(1, text), (2, text + " " + text)], "doc_id long, text string")
+    shard = phrases.Shard(20)
+    body = common.mix(np.arange(40, dtype=np.uint64)).astype("<u4").tobytes()
+    shard.places, shard.words = {5: (2, 7, 3)}, {5: body}
+    assert shard.located().tolist() == [[5, 0, 21, 7, 3]]
+    empty = phrases.ahocorasick.Automaton(phrases.ahocorasick.STORE_INTS)
+    empty.add_word("never", 0)
+    empty.make_automaton()
+    monkeypatch.setattr(phrases.Shard, "compiled", lambda *a: empty)
+    assert shard.located().tolist() == []  # without the automaton nothing is found
+    monkeypatch.undo()
+    assert {r["doc_id"]: r["n_removed"] for r in phrases.remove_repeated(df).collect()} == {1: 0, 2: 80}
+
+
+def test_phrases_of_many_equal_rows_without_id(spark):
+    import time
+
+    text = " ".join(f"w{i}" for i in range(60))
+    took = {}
+    for n in (2_000, 20_000):
+        df = spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text")).unionByName(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+        began = time.time()
+        got = Counter((r["doc_id"], r["n_removed"]) for r in phrases.remove_repeated(df).select("doc_id", "n_removed").collect())
+        took[n] = time.time() - began
+        assert got == {(1, 0): 1, (None, 60): n}
+    assert took[20_000] < 10 * took[2_000] + 5
+
+
 def test_phrases_awkward(nasty, empty):
     got = rows(phrases.remove_repeated(nasty))
     assert len(got) == nasty.count()

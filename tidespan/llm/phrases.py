@@ -3,15 +3,17 @@
 A window is `size` consecutive words.  Its anchor is the least hash among its `gram`-word sequences, so equal
 windows have equal anchors, and about seven windows in a row share one.
 
-1. Anchors are counted over the corpus.  Those of more than one place go into a bit map of bounded size; it only
-   drops places that cannot recur, and where it is too full to drop much the rest of the work is still right.
+1. Anchors are counted over the corpus, by the places of their words.  Those of more than one place go into a bit
+   map of bounded size; it only drops places that cannot recur, and where it is too full to drop much the rest of
+   the work is still right.
 2. All documents are streamed past the bit map.  A segment is a run of windows with one anchor; each place is
-   written as (segment hash, document, position), the words of each distinct segment once per task.
-3. Segments meet by anchor, which is the shard key: windows found in two places are the confirmed passages.  Whole
-   anchors are gathered up to a fixed number of segments, their confirmed windows compiled into an Aho-Corasick
-   automaton over groups of words, and the segments streamed through it: it gives every occurrence, with the least
-   document that holds the window.  An anchor with very many places is sharded by the window itself instead.
-4. Places take their segment's result; the words they cover are cut from the documents.
+   written as (segment hash, document, position), the words of each distinct segment about once per task.
+3. Segments meet by anchor, which is the shard key; an anchor with very many places is sharded by the window itself.
+   Whole keys are gathered up to a fixed number of segments.  A shard confirms the windows that have two places,
+   compiles them into an Aho-Corasick automaton over groups of words, and streams its segments through it.  The hits
+   are the occurrences, and nothing else is known of where a window stands: the earliest hit of a window is its first
+   occurrence, in whatever document, and every later one, in the same document too, repeats it.
+4. Places take their segment's hits; the words that repeats cover are cut from the documents.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .common import SPACE_WORDS, bitmap, discard, in_bitmap, map_arrow, mix, stored, text_slices, window_hashes, word_hashes, words
+from .common import SPACE_WORDS, bitmap, discard, in_bitmap, map_arrow, mix, spread, stored, text_slices, window_hashes, word_hashes, words
 
 #: Segments that one automaton is compiled from (more only where a single anchor has more).
 SHARD_SEGMENTS = 5_000
@@ -36,47 +38,52 @@ MAP_BITS = (16, 28)
 HOT_PLACES = 2_000
 #: Words that make one symbol of an automaton; the window size is a multiple.
 GROUP = 5
-_NEVER = np.int64(2**63 - 1)
+#: Segments whose words a task remembers to have written (they are written again after that).
+TOLD = 200_000
 
 
 def _windows(data: np.ndarray, offs: np.ndarray, size: int, gram: int):
-    """(word hashes, row of each word, anchor of each window, window hash, window lies in one row)."""
+    """(word hashes, row of each word, hash of each gram, anchor of each window, window hash, window lies in one row)."""
     starts, ends, doc = words(data, offs, SPACE_WORDS)
     h = word_hashes(data, starts, ends)
-    least, width, span = window_hashes(h, gram), 1, size - gram + 1
+    grams = window_hashes(h, gram)
+    least, width, span = grams, 1, size - gram + 1
     while width * 2 <= span:
         least = np.minimum(least[:-width], least[width:]) if len(least) > width else least[:0]
         width *= 2
     if width < span:
         least = np.minimum(least[: width - span], least[span - width :]) if len(least) > span - width else least[:0]
     n = max(0, len(h) - size + 1)
-    return h, doc, least[:n], window_hashes(h, size), doc[:n] == doc[size - 1 :]
+    return h, doc, grams, least[:n], window_hashes(h, size), doc[:n] == doc[size - 1 :]
 
 
 def anchors(texts: DataFrame, size: int, gram: int) -> DataFrame:
-    """a: the anchor of every run of windows."""
+    """a: each place of words that are the anchor of a window round them.  (Equal windows that overlap have their
+    anchors in different places, so a window that recurs in one run of words is counted twice as well.)"""
 
     def run(batches):
         for batch in batches:
             for _, _, data, offs in text_slices(batch, "text"):
-                _, doc, a, _, ok = _windows(data, offs, size, gram)
-                if len(a):
-                    new = np.r_[True, (a[1:] != a[:-1]) | (doc[1 : len(a)] != doc[: len(a) - 1])] & ok
-                    yield pa.RecordBatch.from_arrays([pa.array(a[new].view(np.int64))], ["a"])
+                _, _, grams, a, _, ok = _windows(data, offs, size, gram)
+                place = np.zeros(len(grams), bool)
+                for d in range(size - gram + 1):
+                    place[d : d + len(a)] |= ok & (a == grams[d : d + len(a)])
+                if place.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(grams[place].view(np.int64))], ["a"])
 
     return map_arrow(texts.select("text"), run, "a long")
 
 
 def segments(texts: DataFrame, size: int, gram: int, seen_map, hot) -> DataFrame:
     """key, seg, doc, row, pos, words of every segment with a mapped anchor; words (32-bit each, packed) are null
-    after a segment's first place in a task.  texts: doc, row, text."""
+    where the task has written them shortly before.  texts: doc, row, text."""
 
     def run(batches):
         told: set[int] = set()
         for batch in batches:
             docs, rows = (batch.column(i).to_numpy() for i in (0, 1))
             for lo, _, data, offs in text_slices(batch, "text"):
-                h, doc, a, win, ok = _windows(data, offs, size, gram)
+                h, doc, _, a, win, ok = _windows(data, offs, size, gram)
                 n = len(a)
                 if not n:
                     continue
@@ -90,6 +97,8 @@ def segments(texts: DataFrame, size: int, gram: int, seen_map, hot) -> DataFrame
                 total = np.r_[np.uint64(0), np.cumsum(h * up[: len(h)], dtype=np.uint64)]
                 seg = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
                 new = np.zeros(len(s), bool)
+                if len(told) > TOLD:
+                    told.clear()
                 for i, x in enumerate(seg.tolist()):
                     if x not in told:
                         told.add(x)
@@ -112,95 +121,121 @@ def segments(texts: DataFrame, size: int, gram: int, seen_map, hot) -> DataFrame
 
 
 class Shard:
-    """Segments of whole keys: number of places, least document, words."""
+    """Segments of whole keys: number of places, first place (document, position), words."""
 
     def __init__(self, size: int):
         self.size = size
-        self.least: dict[int, tuple[int, int]] = {}
+        self.places: dict[int, tuple[int, int, int]] = {}
         self.words: dict[int, bytes] = {}
 
-    def located(self) -> tuple[list[int], list[bytes]]:
-        """For each segment with a confirmed window: the least document of each of its windows (packed longs)."""
-        segs = list(self.words)
-        body = [np.frombuffer(self.words[s], "<u4") for s in segs]
-        flat = np.concatenate(body)
-        lens = np.array([len(b) for b in body])
-        first = np.cumsum(lens) - lens
-        win = window_hashes(mix(flat.astype(np.uint64)), self.size)
-        n = lens - self.size + 1
-        own = np.repeat(np.arange(len(segs)), n)
-        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        places, least = (np.array([self.least[s][i] for s in segs]) for i in (0, 1))
-        _, where, number = np.unique(win[at], return_index=True, return_inverse=True)
-        count = np.bincount(number, places[own])
-        low = np.full(len(where), _NEVER)
-        np.minimum.at(low, number, least[own])
-        confirmed = np.flatnonzero(count >= 2)
-        if not len(confirmed):
-            return [], []
-        # GROUP words make one symbol of three letters out of 64 (the automaton looks children up one by one, so the
-        # alphabet has to be small); a passage is size / GROUP symbols.  The segments are streamed once for each phase,
-        # all in one string with three line feeds after each.
+    def symbols(self, flat: np.ndarray) -> np.ndarray:
+        """Three letters out of 64 for the GROUP words from each place on (the automaton looks children up one by one,
+        so the alphabet has to be small); a window is size / GROUP such symbols."""
         code = (window_hashes(mix(flat.astype(np.uint64)), GROUP) >> np.uint64(46)).astype(np.int64)
-        letters = (np.stack([code >> 12, code >> 6 & 63, code & 63], axis=1) + 32).astype(np.uint8)
+        return (np.stack([code >> 12, code >> 6 & 63, code & 63], axis=1) + 32).astype(np.uint8)
+
+    def confirmed(self, win: np.ndarray, at: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """A place of each distinct window that has two places or more (at: all places of windows in the words)."""
+        order = np.argsort(win[at], kind="stable")
+        new = np.flatnonzero(np.r_[True, np.diff(win[at[order]]) != 0])
+        return at[order[new]][np.add.reduceat(times[order], new) >= 2]
+
+    def compiled(self, letters: np.ndarray, passages: np.ndarray) -> ahocorasick.Automaton:
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        keys = letters[at[where[confirmed]][:, None] + np.arange(0, self.size, GROUP)].reshape(len(confirmed), -1)
+        keys = letters[passages[:, None] + np.arange(0, self.size, GROUP)].reshape(len(passages), -1)
         for i, key in enumerate(np.ascontiguousarray(keys).view(f"S{keys.shape[1]}").ravel().astype(str).tolist()):
             automaton.add_word(key, i)
         automaton.make_automaton()
-        found = np.full(len(at), _NEVER)
-        base = np.cumsum(n) - n
+        return automaton
+
+    def hits(self, automaton: ahocorasick.Automaton, letters: np.ndarray, first: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """(segment, window's position in it, passage) of every match.  The segments are streamed once for each phase of
+        the grouping, all in one string with three line feeds after each."""
+        out = []
         for phase in range(GROUP):
             long = np.maximum(0, (lens - phase) // GROUP)
             ends = np.cumsum(long + 1)
             inside = np.arange(int(ends[-1])) - np.repeat(ends - long - 1, long + 1)
-            seg = np.repeat(np.arange(len(segs)), long + 1)
-            place = first[seg] + phase + inside * GROUP
-            stream = letters[np.minimum(place, len(letters) - 1)]
+            seg = np.repeat(np.arange(len(lens)), long + 1)
+            stream = letters[np.minimum(first[seg] + phase + inside * GROUP, len(letters) - 1)]
             stream[inside == long[seg]] = 10
-            hits = np.array(list(automaton.iter(stream.tobytes().decode("ascii"))), np.int64).reshape(-1, 2)
-            hits = hits[hits[:, 0] % 3 == 2]  # of whole symbols
-            spot = hits[:, 0] // 3
-            window = base[seg[spot]] + inside[spot] * GROUP + phase - (self.size - GROUP)
-            same = number[window] == confirmed[hits[:, 1]]  # the whole window, not only its symbols
-            found[window[same]] = low[confirmed[hits[same, 1]]]
-        lone = np.flatnonzero(np.bincount(own[found < _NEVER], minlength=len(segs)) > 0)
-        return [segs[i] for i in lone.tolist()], [found[base[i] : base[i] + n[i]].astype("<i8").tobytes() for i in lone.tolist()]
+            found = np.array(list(automaton.iter(stream.tobytes().decode("ascii"))), np.int64).reshape(-1, 2)
+            found = found[found[:, 0] % 3 == 2]  # of whole symbols
+            spot = found[:, 0] // 3
+            out.append(np.stack([seg[spot], inside[spot] * GROUP + phase - (self.size - GROUP), found[:, 1]], axis=1))
+        return np.concatenate(out)
+
+    def located(self) -> np.ndarray:
+        """Rows (segment, position, windows, first document, first position): runs of confirmed windows of a segment
+        whose first occurrences run alongside."""
+        segs = list(self.words)
+        body = [np.frombuffer(self.words[s], "<u4") for s in segs]
+        flat = np.concatenate(body)
+        lens = np.array([len(b) for b in body])
+        first = np.cumsum(lens) - lens
+        times, doc, pos = np.array([self.places[s] for s in segs], np.int64).T
+        win = window_hashes(mix(flat.astype(np.uint64)), self.size)
+        n = lens - self.size + 1
+        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        passages = self.confirmed(win, at, np.repeat(times, n))
+        if not len(passages):
+            return np.zeros((0, 5), np.int64)
+        letters = self.symbols(flat)
+        found = self.hits(self.compiled(letters, passages), letters, first, lens)
+        found = found[win[first[found[:, 0]] + found[:, 1]] == win[passages[found[:, 2]]]]  # the whole window, not only its symbols
+        if not len(found):
+            return np.zeros((0, 5), np.int64)
+        seg, place, passage = found.T
+        start = pos[seg] + place
+        order = np.lexsort((start, doc[seg], passage))  # every passage's earliest hit
+        head = np.flatnonzero(np.r_[True, np.diff(passage[order]) != 0])
+        group = np.cumsum(np.r_[0, np.diff(passage[order]) != 0])
+        earliest = np.empty((len(found), 2), np.int64)
+        earliest[order, 0], earliest[order, 1] = doc[seg][order[head]][group], start[order[head]][group]
+        order = np.lexsort((place, seg))
+        seg, place, earliest = seg[order], place[order], earliest[order]
+        go_on = (np.diff(seg) == 0) & (np.diff(place) == 1) & (np.diff(earliest[:, 0]) == 0) & (np.diff(earliest[:, 1]) == 1)
+        head = np.flatnonzero(np.r_[True, ~go_on])
+        run = np.diff(np.r_[head, len(seg)])
+        return np.stack([np.array(segs)[seg[head]], place[head], run, earliest[head, 0], earliest[head, 1]], axis=1)
+
+
+_RUN = ["seg", "at", "windows", "first_doc", "first_pos"]
 
 
 def locate(table: DataFrame, size: int) -> DataFrame:
-    """seg, least: for every segment with a confirmed window, each window's least document, packed."""
-    sums = table.groupBy("seg").agg(F.min("key").alias("key"), F.count("*").alias("n"), F.min("doc").alias("doc"))
-    rows = sums.select("key", "seg", "n", "doc", F.lit(None).cast("binary").alias("words")).unionByName(
-        table.where("words is not null").select("key", "seg", F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("doc"), "words")
+    """The rows of Shard.located() for all segments."""
+    sums = table.groupBy("seg").agg(F.min("key").alias("key"), F.count("*").alias("n"), F.min(F.struct("doc", "pos")).alias("p"))
+    none = [F.lit(None).cast("long").alias(c) for c in ("n", "doc", "pos")]
+    rows = sums.select("key", "seg", "n", "p.doc", F.col("p.pos").cast("long").alias("pos"), F.lit(None).cast("binary").alias("words")).unionByName(
+        table.where("words is not null").select("key", "seg", *none, "words")
     )
 
     def run(batches):
         shard, last = Shard(size), None
         for batch in batches:
-            key, seg, n, doc, body = (batch.column(i).to_pylist() for i in range(5))
-            for k, s, c, d, w in zip(key, seg, n, doc, body, strict=True):
+            key, seg, n, doc, pos, body = (batch.column(i).to_pylist() for i in range(6))
+            for k, s, c, d, p, w in zip(key, seg, n, doc, pos, body, strict=True):
                 if k != last and len(shard.words) >= SHARD_SEGMENTS:
                     yield _located(shard)
                     shard = Shard(size)
                 last = k
                 if w is None:
-                    shard.least[s] = (c, d)
+                    shard.places[s] = (c, d, p)
                 else:
                     shard.words[s] = w
         if shard.words:
             yield _located(shard)
 
-    return map_arrow(rows.repartition("key").sortWithinPartitions("key"), run, "seg long, least binary")
+    return map_arrow(rows.repartition("key").sortWithinPartitions("key"), run, ", ".join(f"{c} long" for c in _RUN))
 
 
 def _located(shard: Shard) -> pa.RecordBatch:
-    segs, least = shard.located()
-    return pa.RecordBatch.from_arrays([pa.array(segs, pa.int64()), pa.array(least, pa.binary())], ["seg", "least"])
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in shard.located().T], _RUN)
 
 
 def repeated_spans(texts: DataFrame, size: int, gram: int) -> DataFrame:
-    """row, spans: word ranges (start << 32 | end) of each row that windows of smaller documents cover."""
+    """row, spans: word ranges (start << 32 | end) of each row that repeat an earlier occurrence."""
     sc = texts.sparkSession.sparkContext
     counted = stored(anchors(texts, size, gram).groupBy("a").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
     n, places = counted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -209,24 +244,12 @@ def repeated_spans(texts: DataFrame, size: int, gram: int) -> DataFrame:
     hot = np.sort(counted.where(F.col("n") > limit).select("a").toArrow().column("a").to_numpy().view(np.uint64))  # < a million
     table = stored(segments(texts, size, gram, sc.broadcast(bitmap(counted, "a", bits)), sc.broadcast(hot)), "segments")
     discard(counted)
-    least = stored(locate(table, size), "located")
-
-    def run(batches):
-        for batch in batches:
-            row, doc, pos, body = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3).cast(pa.large_binary())
-            off = np.frombuffer(body.buffers()[1], np.int64)[body.offset : body.offset + len(body) + 1]
-            n = (off[1:] - off[:-1]) // 8
-            values = np.frombuffer(body.buffers()[2], "<i8")[off[0] // 8 : off[-1] // 8] if n.sum() else np.zeros(0, np.int64)
-            own = np.repeat(np.arange(len(n)), n)
-            at = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-            cut = values < doc[own]
-            same = np.r_[False, cut[:-1] & (own[1:] == own[:-1])] & cut  # the window before is cut as well
-            s, e = np.flatnonzero(cut & ~same), np.flatnonzero(cut & ~np.r_[same[1:], False])
-            start, end = pos[own[s]] + at[s], pos[own[s]] + at[e] + size
-            yield pa.RecordBatch.from_arrays([pa.array(row[own[s]]), pa.array(start.astype(np.int64) << 32 | end)], ["row", "span"])
-
-    placed = table.select("seg", "row", "doc", "pos").join(least, "seg").select("row", "doc", "pos", "least")
-    return map_arrow(placed, run, "row long, span long").groupBy("row").agg(F.collect_list("span").alias("spans"))
+    runs = stored(locate(table, size), "located")
+    placed = table.select("seg", "row", "doc", "pos").join(runs, "seg")
+    start = (F.col("pos") + F.col("at")).cast("long")
+    repeats = placed.where((F.col("doc") != F.col("first_doc")) | (start != F.col("first_pos")))
+    spans = repeats.select("row", F.shiftleft(start, 32).bitwiseOR(start + F.col("windows") + (size - 1)).alias("span"))
+    return spans.groupBy("row").agg(F.collect_set("span").alias("spans"))
 
 
 def remove_repeated(docs: DataFrame, size: int = 20, gram: int = 8, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,13 +257,13 @@ def remove_repeated(docs: DataFrame, size: int = 20, gram: int = 8, with_text: b
 
     A word is removed if it is covered by a window of `size` words whose sequence also starts earlier: in a document
     of smaller id, or earlier in the same one.  Windows are judged on the texts as given.  A null text has no words;
-    a null id counts as the largest; rows of equal id don't remove each other's words (repeated rows each keep what
-    one would); an empty table gives an empty one; other columns are not read.  Texts are handled whole.
+    a null id counts as the largest; rows of equal id count as one document, so repeated rows each keep what one
+    would; an empty table gives an empty one; other columns are not read.  Texts are handled whole.
     """
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
     if size % GROUP:
         raise ValueError(f"the window size must be a multiple of {GROUP}")
-    texts = docs.select(doc.alias("doc"), F.xxhash64(F.lit("row"), id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+    texts = spread(docs).select(doc.alias("doc"), F.xxhash64(F.lit("row"), id_col, text_col).alias("row"), F.col(text_col).alias("text"))
     spans = repeated_spans(texts, size, gram)
     kind = docs.schema[id_col].dataType
 
@@ -250,16 +273,9 @@ def remove_repeated(docs: DataFrame, size: int = 20, gram: int = 8, with_text: b
             spans_col = batch.column(2)
             for lo, hi, data, offs in text_slices(batch, "text"):
                 starts, ends, doc = words(data, offs, SPACE_WORDS)
-                h = word_hashes(data, starts, ends)
                 count = np.bincount(doc, minlength=hi - lo)
                 first = np.cumsum(count) - count
-                delta = np.zeros(len(h) + 1, np.int64)
-                win = window_hashes(h, size)
-                at = np.flatnonzero(doc[: len(win)] == doc[size - 1 :]) if len(win) else np.zeros(0, np.int64)
-                order = at[np.lexsort((at, win[at], doc[at]))]
-                again = order[1:][(win[order[1:]] == win[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])]
-                np.add.at(delta, again, 1)
-                np.add.at(delta, again + size, -1)
+                delta = np.zeros(len(starts) + 1, np.int64)
                 part = spans_col.slice(lo, hi - lo)
                 per = np.array(part.value_lengths().fill_null(0), np.int64)
                 span = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
