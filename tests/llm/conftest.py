@@ -27,7 +27,9 @@ def nasty(spark):
     ]
     cols = "doc_id long, text string, lang string, source string"
     df = spark.createDataFrame(rows, cols)
-    for c in ("_t", "_w", "h", "row", "seg", "key", "n", "spans", "repo", "rid", "item_id", "_values", "component", "label", "length"):
+    clash = """_t _w h row seg key n spans repo rid item_id _values component label length _key _h _n _row _s _salt _rank k1 k2 bits
+    node block comp tree a p q cuts _text _masked _before _nth kept quality toxic gumbel_key value_hash shared live _base _groups"""
+    for c in clash.split():
         from pyspark.sql import functions as F
 
         df = df.withColumn(c, F.lit(c))

@@ -2,25 +2,30 @@
 
 Every document's set (its distinct k-word shingles) is sketched by minwise tokens.  A tree starts with all documents
 in one node; at each node the path chooses one or two of the sketch's coordinates and branches on their tokens, so
-similar sets are likely to stay together and others part.  A node of at most `leaf` documents is compared
-exhaustively.  What is still larger after the deepest level is first dealt into blocks of that size, each of which
-is also compared with the node's pivots, the same for all its blocks: that joins most of a mass of near copies.
-Then all pairs of the node's blocks are compared, each pair as a block of its own, but for documents that are in one
-component by then.  Independent trees repeat this, and components are taken of the links found.
-
-A comparison first looks at one bit of each coordinate, then at the full sets of what is likely to be similar.  A
-block gives the links that span its components; pairs within a component are neither compared nor written out.
+similar sets are likely to stay together and others part.  A node of few documents and shingles is compared
+exhaustively; a larger one branches on.  Independent trees repeat this, and components are taken of the links found.
+
+What is still too large after the deepest level is dealt into blocks that also hold the node's pivots, the same for
+all its blocks: that joins most of a mass of near copies.  What that leaves apart is then compared with everything in
+the node, block by block, so no pair of a node is lost to its size.
+
+The work has two rounds.  The first takes one tree and finds most links; the second takes the other trees and what was
+left of large nodes, and looks only at documents that are not in one component yet.  A comparison first looks at one
+bit of each coordinate, then at the full sets of what is likely to be similar.  A block gives the links that span its
+components; pairs within a component are neither compared nor written out.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, SPACE_WORDS, bitmap, discard, in_bitmap, map_arrow, mix, stored, text_slices, window_hashes, word_hashes, words
+from .common import LOWER, SPACE_WORDS, bitmap, discard, in_bitmap, map_arrow, mix, spread, stored, text_slices, window_hashes, without, word_hashes, words
 from .components import components
 
 COORDINATES = 256
@@ -56,14 +61,14 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return (least & np.uint32(0xFFFF)).astype("<u2")  # the upper bits of a least value are nearly all 0
 
 
-def paths(sigs: np.ndarray, trees: int, depth: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """(document, node numbers by level) of every way that the sketched documents take down the trees.
+def paths(sigs: np.ndarray, trees: int, depth: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, tree, node numbers by level) of every way that the sketched documents take down the trees.
 
     At each node the path itself chooses the coordinates: one, and a second one so often that 1 / similarity are
     chosen on average, which keeps the expected number of shared nodes of a pair at that similarity at one."""
     second = np.uint64(int((1 / similarity - 1) * 2**32))
     n = len(sigs)
-    doc = np.tile(np.arange(n), trees)
+    doc, tree = np.tile(np.arange(n), trees), np.repeat(np.arange(trees), n)
     at = np.repeat(mix(np.arange(1, trees + 1, dtype=np.uint64)), n)
     levels: list[np.ndarray] = []
     for level in range(depth):
@@ -74,11 +79,11 @@ def paths(sigs: np.ndarray, trees: int, depth: int, similarity: float) -> tuple[
         both = np.flatnonzero((r1 >> np.uint64(32)) < second)
         pick = np.r_[np.arange(len(doc)), both]
         c = np.r_[c1, c2[both]]
-        doc = doc[pick]
+        doc, tree = doc[pick], tree[pick]
         node = mix(at[pick] ^ (c.astype(np.uint64) << np.uint64(33)) ^ (sigs[doc, c].astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)))
         levels = [x[pick] for x in levels] + [node]
         at = node
-    return doc, np.stack(levels, axis=1)
+    return doc, tree, np.stack(levels, axis=1)
 
 
 def sketched(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
@@ -102,51 +107,73 @@ def sketched(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
 
     long = T.LongType()
     schema = T.StructType([T.StructField(c, long) for c in ("doc_id", "n_shingles", "k1", "k2")] + [T.StructField("sig", T.BinaryType())])
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, schema)
+    return map_arrow(spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))), run, schema)
 
 
 def nodes(reps: DataFrame, trees: int, depth: int, similarity: float) -> DataFrame:
-    """rid and path (array of node numbers by level) for every way down every tree."""
+    """rid, n (shingles), tree and path (node numbers by level) for every way down every tree."""
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(-1, COORDINATES)
-            doc, way = paths(sig, trees, depth, similarity)
-            rid = batch.column(0).take(pa.array(doc))
-            yield pa.RecordBatch.from_arrays([rid, *[pa.array(way[:, i].view(np.int64)) for i in range(depth)]], ["rid", *[f"n{i}" for i in range(depth)]])
+            for lo in range(0, batch.num_rows, 2048):
+                part = batch.slice(lo, 2048)
+                sig = np.frombuffer(b"".join(part.column(2).to_pylist()), "<u2").reshape(-1, COORDINATES)
+                doc, tree, way = paths(sig, trees, depth, similarity)
+                own = [part.column(i).take(pa.array(doc)) for i in range(2)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(tree), *[pa.array(way[:, i].view(np.int64)) for i in range(depth)]], ["rid", "n", "tree", *[f"n{i}" for i in range(depth)]])
 
-    return map_arrow(reps.select("rid", "sig"), run, "rid long, " + ", ".join(f"n{i} long" for i in range(depth)))
+    return map_arrow(reps.select("rid", "n", "sig"), run, "rid long, n long, tree long, " + ", ".join(f"n{i} long" for i in range(depth)))
 
 
-def grouped_nodes(ways: DataFrame, depth: int, leaf: int, pivots: int) -> tuple[DataFrame, DataFrame]:
-    """(node, block, rid): what to compare, and what to compare after that.  Nodes of one document vanish; those of up
-    to leaf documents are a block; larger ones branch on, and at the last level are dealt into blocks that all hold the
-    node's pivots.  The second table has, for these, all pairs of pieces of half a block: every two documents of the
-    node meet there."""
+def _pieces(size: Column, weight: Column, leaf: int, leaf_shingles: int) -> Column:
+    return F.greatest(F.ceil(size / leaf), F.ceil(weight / leaf_shingles)).cast("long")
+
+
+def grouped_nodes(ways: DataFrame, depth: int, leaf: int, leaf_shingles: int, pivots: int) -> tuple[DataFrame, DataFrame]:
+    """(node, block, rid, tree) to compare, and (node, rid, n) of the nodes that are too large at the deepest level.
+    Nodes of one document vanish; those of up to leaf documents and leaf_shingles shingles are a block; larger ones
+    branch on, and at the last level are dealt into blocks that all hold the node's pivots."""
     out, going = None, ways
+    fits = (F.col("size") <= leaf) & (F.col("weight") <= leaf_shingles) | (F.col("size") == 2)
     for level in range(depth):
-        members = going.select(F.col(f"n{level}").alias("node"), "rid").distinct()
-        sizes = members.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
+        members = going.select(F.col(f"n{level}").alias("node"), "rid", "n", "tree").distinct()
+        sizes = members.groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).where("size > 1")
         sized = members.join(sizes, "node")
-        small = sized.where(F.col("size") <= leaf).select("node", F.lit(0).cast("long").alias("block"), "rid")
+        small = sized.where(fits).select("node", F.lit(0).cast("long").alias("block"), "rid", "tree")
         out = small if out is None else out.unionByName(small)
-        large = sizes.where(F.col("size") > leaf)
+        large = sizes.where(~fits)
         if level + 1 < depth:
             going = going.join(large.select(F.col("node").alias(f"n{level}")), f"n{level}", "left_semi")
             continue
-        blocks = F.ceil(F.col("size") / leaf).cast("long")
-        dealt = sized.where(F.col("size") > leaf).select("node", F.pmod(F.xxhash64("node", "rid"), blocks).alias("block"), "rid")
-        first = members.join(large.select("node"), "node").groupBy("node").agg(*[F.min(F.xxhash64(F.lit(p), "rid", "node")).alias(f"h{p}") for p in range(pivots)])
-        chosen = members.join(first, "node").where(" or ".join(f"xxhash64({p}, rid, node) = h{p}" for p in range(pivots))).select("node", "rid")
-        chosen = chosen.join(large, "node").select("node", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), "rid")
+        blocks = _pieces(F.col("size"), F.col("weight"), leaf, leaf_shingles)
+        dealt = sized.where(~fits).select("node", F.pmod(F.xxhash64("node", "rid"), blocks).alias("block"), "rid", "tree")
+        rest = members.join(large, "node")
+        first = rest.groupBy("node").agg(*[F.min(F.xxhash64(F.lit(p), "rid", "node")).alias(f"h{p}") for p in range(pivots)])
+        chosen = rest.join(first, "node").where(" or ".join(f"xxhash64({p}, rid, node) = h{p}" for p in range(pivots)))
+        chosen = chosen.select("node", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), "rid", "tree")
         out = out.unionByName(dealt).unionByName(chosen)
-        n = F.ceil(F.col("size") / max(leaf // 2, 1)).cast("long")
-        pieces = sized.where(F.col("size") > leaf).select("node", "rid", n.alias("n"), F.pmod(F.xxhash64("rid", "node"), n).alias("p"))
-        met = pieces.select("node", "rid", "n", "p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("q")).where("p != q")
-        pairs = met.select("node", (F.least("p", "q") * F.col("n") + F.greatest("p", "q")).alias("block"), "rid")
-    return out.distinct(), pairs
+    return out.distinct(), rest.select("node", "rid", "n").distinct()
+
+
+def left_apart(large: DataFrame, leaf: int, leaf_shingles: int) -> DataFrame:
+    """(node, block, rid, comp) that bring every two documents of a node together that are in different components.
+    large: node, rid, n, comp.  The documents of a node's largest component meet all the others, and these each other;
+    pairs within the largest component, usually nearly all of a mass of copies, don't meet."""
+    comps = large.groupBy("node", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    node = comps.groupBy("node").agg(F.max(F.struct("c", "comp", "w")).alias("m"), F.sum("c").alias("size"), F.sum("w").alias("weight")).where("size > m.c")
+    half, shingles = max(leaf // 2, 1), max(leaf_shingles // 2, 1)
+    node = node.select(
+        "node",
+        F.col("m.comp").alias("main"),
+        _pieces(F.col("m.c"), F.col("m.w"), half, shingles).alias("a"),
+        _pieces(F.col("size") - F.col("m.c"), F.col("weight") - F.col("m.w"), half, shingles).alias("b"),
+    )
+    dealt = large.join(node, "node").withColumn("_main", F.col("comp") == F.col("main"))
+    h = F.xxhash64("rid", "node")
+    dealt = dealt.withColumn("p", F.when(F.col("_main"), F.col("b") + F.pmod(h, F.col("a"))).otherwise(F.pmod(h, F.col("b"))))
+    last = F.when(F.col("_main"), F.col("b")).otherwise(F.col("a") + F.col("b")) - 1
+    met = dealt.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), last))).where("p != q")
+    return met.select("node", (F.least("p", "q") * (F.col("a") + F.col("b")) + F.greatest("p", "q")).alias("block"), "rid", "comp")
 
 
 def similar_bits(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
@@ -215,7 +242,7 @@ def linked(members: DataFrame, percent: int, least: float) -> DataFrame:
 
     def each(t: pa.Table) -> pa.Table | None:
         rid, bits = t.column("rid").to_numpy(), _bits(t)
-        sets = [unpacked_set(x) for x in t.column("set").to_pylist()]
+        sets = [np.frombuffer(x, "<u8") for x in t.column("set").to_pylist()]
         size = np.array([len(x) for x in sets])
         _, flat = np.unique(np.concatenate(sets), return_inverse=True)
         ends = np.cumsum(size)
@@ -247,17 +274,6 @@ def linked(members: DataFrame, percent: int, least: float) -> DataFrame:
     return by_block(members, each, "u long, v long").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def packed_set(s: np.ndarray) -> bytes:
-    """The upper 40 bits of each hash, sorted, five bytes each."""
-    return np.sort(s >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def unpacked_set(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
-
-
 def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """rid, set of the documents (rid, text) that ids may hold: a bit map of bounded size picks them without moving
     any text; the few others that share a bit do no harm."""
@@ -269,42 +285,56 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             batch = batch.filter(pa.array(in_bitmap(wanted.value, batch.column(2).to_numpy().view(np.uint64))))
             if batch.num_rows:
-                sets = [packed_set(s) for s in shingle_sets(batch, "text", k)]
+                sets = [s.astype("<u8").tobytes() for s in shingle_sets(batch, "text", k)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["rid", "set"])
 
     picked = map_arrow(docs.where("rid is not null").withColumn("h", F.xxhash64("rid")), run, "rid long, set binary")
     return picked.dropDuplicates(["rid"])
 
 
+def screen(percent: int, errors: float) -> float:
+    """The estimated similarity from which full sets are compared: so many standard errors of the estimate (one bit of
+    each of COORDINATES coordinates) under the threshold."""
+    apart = (1 - percent / 100) / 2
+    return percent / 100 - errors * 2 * math.sqrt(apart * (1 - apart) / COORDINATES)
+
+
 def near_duplicates(
     docs: DataFrame,
     percent: int = 85,
     k: int = 5,
     trees: int = 6,
     depth: int = 2,
-    leaf: int = 4096,
+    leaf: int = 512,
+    leaf_shingles: int = 1 << 21,
     pivots: int = 4,
-    least: float = 0.74,
+    errors: float = 4.0,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
     Documents are linked when 100 * |A & B| >= percent * |A | B| for their sets of k-word shingles; component_id is
-    the least id reachable, itself included; kept: doc_id is component_id.  A pair at the threshold shares a node of a
-    tree's first level with a chance of 0.87 and of the second with one of about 0.78, so six trees miss about one in
-    ten thousand.  least: the similarity, estimated from one bit of each of 256 coordinates, from which full sets are
-    compared (three standard errors under 0.85).
+    the least id reachable, itself included; kept: doc_id is component_id.  A pair at a threshold of 0.85 shares a node
+    of a tree's first level with a chance of 0.87 and of the second with one of about 0.78 (at 0.80: 0.84 and 0.73), so
+    six trees miss about one in ten thousand of those whose nodes are large, fewer of others; the screen by bits, the
+    same in all trees, misses another three in a hundred thousand at `errors` = 4.  More similar pairs are missed less.
+
+    leaf, leaf_shingles: documents and shingles that one task compares at a time (a single pair of longer documents may
+    have more).  In a node over leaf, documents left out of its largest component are compared with all of it, at a
+    cost of their number times the node's size.
 
     A null or empty text has an empty set and is linked with nothing.  Rows with equal sets are linked without a
     comparison; rows with equal ids are one vertex.  A row with a null id is grouped with equal sets only, its
     component is the least id among those (null if none) and kept is component_id <=> doc_id.  Other columns are not
     read; an empty table gives an empty one.
     """
+    least = screen(percent, errors)
     base = stored(sketched(docs, k, id_col, text_col), "sketches")
     classes = base.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rid"))
     classes = stored(classes, "classes")
-    reps = base.join(classes, (base.k1 == classes.k1) & (base.k2 == classes.k2) & (base.doc_id == classes.rid)).select("rid", "sig").dropDuplicates(["rid"])
+    same = (base.k1 == classes.k1) & (base.k2 == classes.k2) & (base.doc_id == classes.rid)
+    reps = base.join(classes, same).select("rid", F.col("n_shingles").alias("n"), "sig").dropDuplicates(["rid"])
     reps = stored(reps, "representatives")
 
     def one_bit(batches):
@@ -315,35 +345,41 @@ def near_duplicates(
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in bits], pa.binary())], ["rid", "bits"])
 
     ways = stored(nodes(reps, trees, depth, percent / 100), "ways")
-    first, pairs = grouped_nodes(ways, depth, leaf, pivots)
-    members = stored(first, "nodes")
-    bits = map_arrow(reps, one_bit, "rid long, bits binary")
+    first, rest = grouped_nodes(ways, depth, leaf, leaf_shingles, pivots)
+    members, large = stored(first, "nodes"), stored(rest, "large_nodes")
+    bits = stored(map_arrow(reps.select("rid", "sig"), one_bit, "rid long, bits binary"), "bits")
     texts = docs.select(F.col(id_col).cast("long").alias("rid"), F.col(text_col).alias("text"))
 
     def compared(blocks: DataFrame, name: str) -> DataFrame:
-        chosen = stored(likely_members(blocks, least), f"likely{name}")
+        chosen = stored(likely_members(blocks.join(bits, "rid").select("node", "block", "rid", "comp", "bits"), least), f"likely{name}")
         sets = full_sets(texts, chosen.select("rid").distinct(), k)
         links = stored(linked(chosen.join(sets, "rid"), percent, least), f"links{name}")
         discard(chosen)
         return links
 
-    links = compared(members.join(bits, "rid").withColumn("comp", F.col("rid")), "")
+    links = compared(members.where("tree = 0").withColumn("comp", F.col("rid")), "_first")
     comp = components(links)
-    if not pairs.isEmpty():
-        have = comp.withColumnRenamed("id", "rid").withColumnRenamed("component", "comp")
-        second = pairs.join(bits, "rid").join(have, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
-        more = compared(second.select("node", "block", "rid", "comp", "bits"), "_pairs")
-        if not more.isEmpty():
-            comp = components(comp.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more))
-        discard(more)
-    discard(ways, members, reps, links)
+    have = comp.withColumnRenamed("id", "rid").withColumnRenamed("component", "comp")
+
+    def told(df: DataFrame) -> DataFrame:
+        return df.join(have, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
+
+    second = told(members.where("tree > 0").drop("tree"))
+    if not large.isEmpty():
+        apart = left_apart(told(large), leaf, leaf_shingles)
+        second = second.unionByName(apart.withColumn("block", -1 - F.col("block")))  # block numbers of their own
+    more = compared(second.select("node", "block", "rid", "comp"), "_second")
+    if not more.isEmpty():
+        comp = components(comp.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more))
+    discard(ways, members, large, bits, reps, links, more)
     labels = classes.join(comp.withColumnRenamed("id", "rid"), "rid", "left").select("k1", "k2", F.coalesce("component", "rid").alias("_c"))
     empty = base.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     other = base.where("n_shingles > 0").select("doc_id", "n_shingles", "k1", "k2").join(labels, ["k1", "k2"]).select("doc_id", "n_shingles", F.col("_c").alias("component_id"))
     return empty.unionByName(other).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """docs with one document of each near-duplicate group, the one of least id; rows with a null id stay."""
-    gone = near_duplicates(docs, percent).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+def keep_one(docs: DataFrame, percent: int = 80, trees: int = 8) -> DataFrame:
+    """docs with one document of each near-duplicate group, the one of least id; rows with a null id or text stay, rows
+    of equal id go together, other columns don't matter, an empty table gives an empty one."""
+    gone = near_duplicates(docs, percent, trees=trees).where("not kept and doc_id is not null")
+    return without(docs, stored(gone.select("doc_id").distinct(), "duplicates"))
