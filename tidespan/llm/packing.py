@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, stored, text_slices, word_hashes
+from .common import map_arrow, spread, stored, text_slices, word_hashes
 
 #: Distinct words whose ids a Python worker keeps (some 40 bytes each) before it starts afresh.
 CACHE_WORDS = 1_000_000
 #: Bytes of text that are split and encoded together.
 ENCODED_TOGETHER = 1 << 21
-#: Pieces of one length that are ranked in one window group.
-RANKED_TOGETHER = 200_000
+#: Pieces of one length that are ranked in one window group, on average, and the most groups that a length is cut into.
+RANKED_TOGETHER, MOST_GROUPS = 500, 100_000
 
 
 def reduce_dominated(count: np.ndarray, capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -315,13 +315,16 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_
     schema = T.StructType(
         [T.StructField("doc_id", kind), T.StructField("piece", T.IntegerType()), *[T.StructField(c, long) for c in ("start", "length", "ids_crc32")]]
     )
-    return map_arrow(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, schema)
+    return map_arrow(spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))), run, schema)
 
 
-def assign(pieces: DataFrame, rows: np.ndarray, salts: int) -> DataFrame:
-    """Add sequence_id and offset: rank each piece within its length, then look the rank up in the plan."""
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int")
-    salted = pieces.withColumn("_salt", salt)
+def assign(pieces: DataFrame, rows: np.ndarray, counts: dict[int, int]) -> DataFrame:
+    """Add sequence_id and offset: rank each piece within its length, then look the rank up in the plan.  A length with
+    many pieces is ranked in groups, and a group's ranks follow those of the groups before it."""
+    hot = [(size, min(math.ceil(n / RANKED_TOGETHER), MOST_GROUPS)) for size, n in counts.items() if n > RANKED_TOGETHER]
+    groups = F.broadcast(pieces.sparkSession.createDataFrame(hot, "length long, _groups long"))  # at most capacity rows
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "start"), F.coalesce("_groups", F.lit(1)))
+    salted = pieces.join(groups, "length", "left").select(*pieces.columns, salt.alias("_salt"))
     sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
@@ -353,5 +356,4 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, id_c
     """
     pieces = stored(tokenized_pieces(docs, path, capacity, end_id, id_col, text_col), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # <= capacity rows
-    salts = max(1, math.ceil(max(counts.values(), default=0) / RANKED_TOGETHER))
-    return assign(pieces, plan(counts, capacity), salts)
+    return assign(pieces, plan(counts, capacity), counts)
