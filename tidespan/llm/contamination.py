@@ -13,10 +13,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import BROADCAST_ROWS, stored, without
 
-#: Rows of the item tables up to which they are broadcast (16 bytes each); larger ones are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -60,7 +58,8 @@ def find_contaminated(
 
     Texts are searched whole.  Null and empty texts hold and match nothing; a null document or item id is reported
     as null; rows equal in id and text count once; an empty table on either side gives no pairs; other columns are
-    not read.
+    not read.  An item of fewer than k words is one shingle, its whole word sequence, and is found only in a document of
+    the same words and no others: one to four words inside a longer text are no sign of a leak.
     """
     known = stored(items(benchmark, k, threshold, item_col, text_col), "items").where("q > 0")
     text = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
@@ -84,5 +83,7 @@ def find_contaminated(
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, k: int = 5) -> DataFrame:
-    """docs without the documents that hold a benchmark item; rows with a null id stay."""
-    return docs.join(find_contaminated(docs, benchmark, threshold, k).select("doc_id").distinct(), "doc_id", "left_anti")
+    """docs without the documents that hold a benchmark item.  Rows with a null id or text stay, rows of equal id go
+    together, other columns don't matter; empty tables on either side leave docs as they are."""
+    found = find_contaminated(docs.select("doc_id", "text"), benchmark, threshold, k).where("doc_id is not null")
+    return without(docs, stored(found.select("doc_id").distinct(), "contaminated"))
