@@ -2,6 +2,10 @@
 
 Every stage reads what its predecessor kept.  All but the last return the columns of documents: rejected documents
 are gone and live-looking secrets are masked in the text.  The last packs what is left into training sequences.
+
+A row without id passes every stage that finds documents by their id (near_dedup, decontamination) and is judged like
+any other where rows are judged one by one; rows of equal id stay or go together.  A null text has no language and goes
+in the first stage.  Columns beyond those of documents pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -10,17 +14,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidespan.llm import contamination, language, near_dups, packing, secrets
-from tidespan.llm.common import stored
+from tidespan.llm.common import discard, kept_alone
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose language can't be told."""
-    return language.reject_unknown(docs, least=0.5)
+    return language.reject_unknown(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates."""
-    return near_dups.keep_one(docs, percent=85)
+    return near_dups.keep_one(docs, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written as Parquet and read again as the next one's input."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each result is written as Parquet and read again as the next one's input.  What a
+    stage wrote on its way, and the stage before it, is deleted once the result is there."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline_{name}")
+        docs = kept_alone(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"pipeline_{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
