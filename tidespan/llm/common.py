@@ -26,7 +26,7 @@ SLICE_BYTES = 1 << 20
 
 
 #: A table whose plan reads fewer bytes per core than this is dealt out anew before costly work on its texts.
-SPREAD_BYTES = 8 << 20
+SPREAD_BYTES = 4 << 20
 #: Rows of ids up to which a table of them is broadcast (some 16 MB); larger ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Tables of stored() that still exist: path -> (Hadoop file system, Hadoop path).
