@@ -85,20 +85,23 @@ class Scorer:
     def learn(self, new: list[str]) -> None:
         rows: list[int] = []
         owner: list[int] = []
-        letters, known = np.zeros((len(new), 1)), np.zeros((len(new), len(self.model.languages)))
+        size: list[int] = []
+        at: list[int] = []
+        whole: list[int] = []  # the row of a word that is known as such, else that of no word
         find, words = self.model.rows, len(self.model.known)
         for i, chunk in enumerate(new):
             for word in _WORD.findall(chunk.lower()):
                 got = find(word)
                 rows += got
                 owner += [i] * len(got)
-                letters[i] += len(word)
-                if got and got[0] < words:
-                    known[i] += len(word) * self.model.known[got[0]]
-        values, at = self.model.scores[rows], np.array(owner, np.int64)
-        scores = [np.bincount(at, values[:, c], minlength=len(new)) for c in range(values.shape[1])]
+                at.append(i)
+                size.append(len(word))
+                whole.append(got[0] if got and got[0] < words else words)
+        values, by = self.model.scores[rows], np.array(owner, np.int64)
+        has = np.vstack([self.model.known, np.zeros((1, self.model.known.shape[1]), bool)])[whole] * np.array(size)[:, None]
+        columns = [np.bincount(at, size, len(new)), *[np.bincount(at, c, len(new)) for c in has.T], *[np.bincount(by, c, len(new)) for c in values.T]]
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        self.table = np.concatenate([self.table, np.hstack([letters, known, np.stack(scores, axis=1) if scores else np.zeros((len(new), 0))])])
+        self.table = np.concatenate([self.table, np.stack(columns, axis=1)])
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(letters, known letters by language, score by language) of each text (large strings, no nulls)."""
