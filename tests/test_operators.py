@@ -58,7 +58,7 @@ def test_soil_null_inputs(spark):
 
 
 def test_indices_have_all_names(spark):
-    assert list(agronomy.spectral_indices()) == agronomy.INDEX_NAMES
+    assert tuple(agronomy.spectral_indices()) == agronomy.INDEX_NAMES
 
 
 def test_metrics_closed_forms(spark):

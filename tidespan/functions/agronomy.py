@@ -67,7 +67,7 @@ def with_soil_water(df: DataFrame, sand: str, clay: str, om: str, prefix: str =
     raw = {f"_{name}": sum((t * k for t, k in zip(terms, ks, strict=True)), F.lit(0.0)) for name, ks in SOIL_TERMS.items()}
     df = df.withColumns(raw)
     w, f, d = F.col("_wilting"), F.col("_field"), F.col("_saturated")
-    df = df.withColumns({"_t1500": w * 1.14 - 0.02, "_t33": f + f * f * 1.283 - f * 0.374 - 0.015, "_ts33": d * 1.636 - 0.107})
+    df = df.withColumns({"_t1500": w + (w * 0.14 - 0.02), "_t33": f + (f * f * 1.283 - f * 0.374 - 0.015), "_ts33": d + (d * 0.636 - 0.107)})
     low, dul, gap = F.col("_t1500"), F.col("_t33"), F.col("_ts33")
     df = df.withColumn("_sat", dul + gap - s * 0.097 + 0.043)
     slope = (_guarded_ln(dul) - _guarded_ln(low)) / (F.ln(F.lit(33.0)) - F.ln(F.lit(1500.0)))
@@ -98,9 +98,39 @@ BANDS = ("B2", "B3", "B4", "B5", "B6", "B7", "B8", "B8A", "B11", "B12")
 
 #: The names of the indices.
 INDEX_NAMES = (
-    "NDVI EVI2 GNDVI NDRE CIre IRECI NDWI MSI GCVI MNDWI NBR NBR2 GVI DGCI NDSWIR1RedEdge1 TCARI OSAVI CCCI mARI ExG DBSI SMMI MIRBI CVI S2REP PVI MTCI SAVI "
-    "NDRE2 RE_ratio PSRI LSWI"
-).split()
+    "NDVI",
+    "EVI2",
+    "GNDVI",
+    "NDRE",
+    "CIre",
+    "IRECI",
+    "NDWI",
+    "MSI",
+    "GCVI",
+    "MNDWI",
+    "NBR",
+    "NBR2",
+    "GVI",
+    "DGCI",
+    "NDSWIR1RedEdge1",
+    "TCARI",
+    "OSAVI",
+    "CCCI",
+    "mARI",
+    "ExG",
+    "DBSI",
+    "SMMI",
+    "MIRBI",
+    "CVI",
+    "S2REP",
+    "PVI",
+    "MTCI",
+    "SAVI",
+    "NDRE2",
+    "RE_ratio",
+    "PSRI",
+    "LSWI",
+)
 
 
 def reflectance(x: Column | str) -> Column:

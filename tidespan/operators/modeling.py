@@ -9,6 +9,7 @@ from __future__ import annotations
 import itertools
 import random
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import agreement, ensemble, melted
-from .screening import group_folds, imputed, matrix, scaled, select_features, unsupervised_prescreen
+from .screening import group_folds, imputed, matrix, rmse, scaled, select_features, unsupervised_prescreen
 
 #: Hyper-parameter grids of the supported models (trees deeper than pyspark.ml allows are cut to 30).
 GRIDS: dict[str, dict[str, list]] = {
@@ -103,9 +104,11 @@ def stratified_folds(df: DataFrame, target: str, k: int, bins: int = 5, seed: in
     Rows are ranked in 64 hashed parts of a bin, each starting at a fold of its own, so no task holds a whole bin.
     """
     binned = df.withColumn("bin", quantile_bin(quantile_edges(df, target, bins), target))
-    part = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(64))
-    w = Window.partitionBy("bin", "_part").orderBy(F.xxhash64(F.lit(seed + 1), "id"), "id")
-    return binned.withColumn("_part", part).withColumn("fold", F.pmod(F.row_number().over(w) + F.col("_part"), F.lit(k)).cast("int")).drop("_part")
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.col("id").cast("string")))
+    part = F.conv(F.substring(key, 1, 2), 16, 10).cast("int") % 64
+    w = Window.partitionBy("bin", "_part").orderBy("_key", "id")
+    dealt = binned.withColumns({"_key": key, "_part": part}).withColumn("fold", F.pmod(F.row_number().over(w) + F.col("_part"), F.lit(k)).cast("int"))
+    return dealt.drop("_key", "_part")
 
 
 def standardized(df: DataFrame, by: list[str], value: str = "value") -> DataFrame:
@@ -141,23 +144,26 @@ def _vectors(df: DataFrame, cols: list[int]) -> DataFrame:
     return df.select("id", array_to_vector(F.array(*[F.get("features", F.lit(i)).cast("double") for i in cols])).alias("features"), F.col("y").cast("double").alias("label"))
 
 
-def tree_predictions(train: DataFrame, test: DataFrame, cols: list[int], model: str, points: list[dict], splits: int, seed: int) -> DataFrame:
-    """id, y_pred of test by the candidate of least inner error (a single candidate needs no search)."""
-    data = _vectors(train, cols).withColumn("_f", F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(splits)))
+def tree_predictions(train: DataFrame, test: DataFrame, cols: list[int], model: str, points: list[dict], splits: int, repeats: int, seed: int) -> DataFrame:
+    """id, y_pred of test by the candidate of least mean inner error over repeated splits (a single candidate needs no
+    search)."""
+    data = _vectors(train, cols).persist()
     best = points[0]
     if len(points) > 1:
 
-        def score(p: dict) -> float:
-            total = 0.0
-            for f in range(splits):
-                fit = estimator(model, p, seed).fit(data.where(F.col("_f") != f))
-                total += fit.transform(data.where(F.col("_f") == f)).agg(F.sqrt(F.avg(F.pow(F.col("label") - F.col("prediction"), 2)))).first()[0] or 0.0
-            return total
+        def error(task: tuple[dict, int, int]) -> float:
+            p, r, f = task
+            fold = F.pmod(F.xxhash64(F.lit(seed + r), "id"), F.lit(splits))
+            fit = estimator(model, p, seed).fit(data.where(fold != f))
+            return rmse(fit.transform(data.where(fold == f))) or 0.0
 
+        tasks = [(p, r, f) for p in points for r in range(repeats) for f in range(splits)]
         with ThreadPoolExecutor(4) as pool:
-            scores = list(pool.map(score, points))
-        best = points[int(np.argmin(scores))]
-    return estimator(model, best, seed).fit(data).transform(_vectors(test, cols)).select("id", F.col("prediction").alias("y_pred"))
+            errors = np.array(list(pool.map(error, tasks))).reshape(len(points), -1)
+        best = points[int(np.argmin(errors.mean(axis=1)))]
+    out = estimator(model, best, seed).fit(data).transform(_vectors(test, cols)).select("id", F.col("prediction").alias("y_pred"))
+    data.unpersist()
+    return out
 
 
 def nested_cv(
@@ -169,14 +175,16 @@ def nested_cv(
     select: str | None = None,
     prescreen: bool = True,
     stacking: bool = False,
+    stack: dict | None = None,
     seed: int = 42,
     **select_options,
 ) -> DataFrame:
     """Out-of-fold rows (fold, id, model, y_true, y_pred) of df (id, features, y).
 
     models: candidates of each model (see candidates()).  Per outer fold: optional selection on the training rows,
-    median fill and scaling by the training rows, a search per model, refit and prediction; then the mean ensemble
-    and, if asked for, a ridge stack of base models on their own inner out-of-fold predictions.
+    median fill and scaling by the training rows, a search per model (inner folds, repeated), refit and prediction; then
+    the mean ensemble and, if asked for, a stack (see stacked(); stack: its options) that is fitted on the outer fold's
+    training rows alone.
     """
     df = stratified_folds(df.where("y is not null"), "y", outer, seed=seed).persist()
     cols = unsupervised_prescreen(df)[0] if prescreen else list(range(df.select(F.size("features")).first()[0]))
@@ -215,7 +223,7 @@ def nested_cv(
             continue
         for f in range(outer):
             train, fill = imputed_pair(df.where(F.col("fold") != f), df.where(F.col("fold") == f), chosen[f])
-            got = tree_predictions(train, fill, list(range(len(chosen[f]))), model, points, inner, seed)
+            got = tree_predictions(train, fill, list(range(len(chosen[f]))), model, points, inner, repeats, seed)
             test = df.where(F.col("fold") == f).select("id", F.col("y").cast("double").alias("y_true"))
             parts.append(test.join(got, "id").select(F.lit(f).alias("fold"), "id", F.lit(model).alias("model"), "y_true", "y_pred"))
     oof = parts[0]
@@ -225,7 +233,11 @@ def nested_cv(
     if len(models) > 1:
         out = out.unionByName(ensemble(oof, list(models)))
     if stacking:
-        out = out.unionByName(stack(oof, list(models)))
+        for f in range(outer):
+            train, fill = imputed_pair(df.where(F.col("fold") != f), df.where(F.col("fold") == f), chosen[f])
+            got = stacked(train, fill, list(range(len(chosen[f]))), seed=seed, **(stack or {}))
+            test = df.where(F.col("fold") == f).select("id", F.col("y").cast("double").alias("y_true"))
+            out = out.unionByName(test.join(got, "id").select(F.lit(f).alias("fold"), "id", F.lit("Stacking").alias("model"), "y_true", "y_pred"))
     return out
 
 
@@ -240,34 +252,72 @@ def imputed_pair(train: DataFrame, test: DataFrame, cols: list[int]) -> tuple[Da
     return imputed(a, fill)[0], imputed(b, fill)[0]
 
 
-def stack(oof: DataFrame, models: list[str], alphas: tuple[float, ...] = (0.01, 0.1, 1.0, 10.0), name: str = "Stacking") -> DataFrame:
-    """A ridge over the base models' out-of-fold predictions: each fold is predicted by the stack fitted on the
-    other folds, with the penalty of least error among them.  One aggregate of cross products per fold, solved on
-    the driver (models + 2 numbers squared)."""
-    wide = oof.where(F.col("model").isin(*models)).groupBy("fold", "id").agg(F.max("y_true").alias("y_true"), *[F.max(F.when(F.col("model") == m, F.col("y_pred"))).alias(f"p{i}") for i, m in enumerate(models)])
-    terms = [F.lit(1.0), *[F.col(f"p{i}") for i in range(len(models))], F.col("y_true")]
-    n = len(terms)
-    sums = wide.groupBy("fold").agg(*[F.sum(terms[i] * terms[j]).alias(f"s{i}_{j}") for i in range(n) for j in range(n)]).collect()
-    cross = {r["fold"]: np.array([[r[f"s{i}_{j}"] for j in range(n)] for i in range(n)], float) for r in sums}
-    k = n - 1
-
-    def solve(s: np.ndarray, alpha: float) -> np.ndarray:
-        penalty = np.diag([0.0] + [alpha] * (k - 1))
-        return np.linalg.lstsq(s[:k, :k] + penalty, s[:k, k], rcond=None)[0]
-
-    def error(s: np.ndarray, w: np.ndarray) -> float:
-        return float(s[k, k] - 2 * w @ s[:k, k] + w @ s[:k, :k] @ w)
-
-    rows = []
-    for f in cross:
-        others = [g for g in cross if g != f] or [f]
-        loss = []
-        for a in alphas:
-            loss.append(sum(error(cross[g], solve(sum((cross[h] for h in others if h != g), np.zeros((n, n))) if len(others) > 1 else cross[g], a)) for g in others))
-        rows.append((f, solve(sum(cross[g] for g in others), alphas[int(np.argmin(loss))]).tolist()))
-    weights = wide.sparkSession.createDataFrame(rows, "fold int, w array<double>")
-    value = F.get("w", F.lit(0)) + sum((F.get("w", F.lit(i + 1)) * F.col(f"p{i}") for i in range(len(models))), F.lit(0.0))
-    return wide.join(F.broadcast(weights), "fold").select("fold", "id", F.lit(name).alias("model"), "y_true", value.alias("y_pred"))
+#: The base models of the stack.
+STACK_BASES: dict[str, dict] = {"RandomForest": {"n_estimators": 300, "max_depth": 10}, "LightGBM": {"n_estimators": 200, "max_depth": 6, "learning_rate": 0.05, "subsample": 1.0}}
+
+
+def stacked(
+    train: DataFrame,
+    test: DataFrame,
+    cols: list[int],
+    bases: dict[str, dict] | None = None,
+    splits: int = 5,
+    alphas: tuple[float, ...] = (0.01, 0.1, 1.0, 10.0),
+    seed: int = 42,
+) -> DataFrame:
+    """id, y_pred of test (id, features, y) by a ridge over base models.
+
+    Every base predicts each training row from a fit on the other folds of the training rows; the ridge is fitted on
+    these predictions, its penalty chosen by exact leave-one-out error.  The bases are then fitted on all training rows
+    and the ridge applied to their predictions of test.  Targets of test are never read.  The ridge needs the cross
+    products of as many columns as there are bases: two small aggregates.
+    """
+    bases = bases or STACK_BASES
+    data, new = _vectors(train, cols).persist(), _vectors(test, cols)
+    fold = F.pmod(F.xxhash64(F.lit(seed + 7), "id"), F.lit(splits))
+
+    def inner(task: tuple[str, int]) -> DataFrame:
+        name, f = task
+        fit = estimator(name, bases[name], seed).fit(data.where(fold != f))
+        return fit.transform(data.where(fold == f)).select("id", "label", F.lit(name).alias("base"), "prediction")
+
+    def outer(name: str) -> DataFrame:
+        return estimator(name, bases[name], seed).fit(data).transform(new).select("id", F.lit(name).alias("base"), "prediction")
+
+    names = list(bases)
+    with ThreadPoolExecutor(4) as pool:
+        parts, last = list(pool.map(inner, [(n, f) for n in names for f in range(splits)])), list(pool.map(outer, names))
+    own = [F.max(F.when(F.col("base") == n, F.col("prediction"))).alias(f"p{i}") for i, n in enumerate(names)]
+    held = reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.max("label").alias("label"), *own).persist()
+    weights, base = ridge_loo(held, [f"p{i}" for i in range(len(names))], "label", alphas)
+    held.unpersist()
+    data.unpersist()
+    wide = reduce(DataFrame.unionByName, last).groupBy("id").agg(*own)
+    value = reduce(lambda a, b: a + b, (F.col(f"p{i}") * w for i, w in enumerate(weights)), F.lit(base))
+    return wide.select("id", value.alias("y_pred"))
+
+
+def ridge_loo(df: DataFrame, columns: list[str], target: str, alphas: tuple[float, ...]) -> tuple[list[float], float]:
+    """(weights, intercept) of a ridge with a free intercept, of the penalty with the least leave-one-out error: a row's
+    own influence on its fit follows from the cross products, so one pass gives the sums and one the errors."""
+    k = len(columns)
+    x = [F.col(c) for c in columns] + [F.col(target)]
+    first = df.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)], *[F.covar_pop(x[i], x[j]).alias(f"c{i}_{j}") for i in range(k + 1) for j in range(i + 1)]).first()
+    n, mean = first["n"], np.array([first[f"m{i}"] or 0.0 for i in range(k + 1)])
+    cov = np.array([[first[f"c{max(i, j)}_{min(i, j)}"] or 0.0 for j in range(k + 1)] for i in range(k + 1)]) * n
+    fits = []
+    for a in alphas:
+        inverse = np.linalg.pinv(cov[:k, :k] + a * np.eye(k))
+        fits.append((inverse @ cov[:k, k], inverse))
+    centred = [x[i] - float(mean[i]) for i in range(k + 1)]
+    errors = []
+    for i, (w, inverse) in enumerate(fits):
+        residual = centred[k] - reduce(lambda a, b: a + b, (centred[j] * float(w[j]) for j in range(k)))
+        own = reduce(lambda a, b: a + b, (centred[p] * centred[q] * float(inverse[p, q]) for p in range(k) for q in range(k)), F.lit(1.0 / n))
+        errors.append(F.avg(F.pow(residual / (F.lit(1.0) - own), 2)).alias(f"e{i}"))
+    got = df.agg(*errors).first()
+    w = fits[int(np.argmin([got[f"e{i}"] for i in range(len(alphas))]))][0]
+    return [float(v) for v in w], float(mean[k] - w @ mean[:k])
 
 
 def score(oof: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ estimators marked `bounded`, which need a whole matrix: they refuse one over MAT
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MATRIX_BYTES = 256 << 20
+#: Parts of cross products that one task merges.
+FAN_IN = 16
+#: Rows among which a shadow feature is permuted, at least, where there are so many.
+SHADOW_ROWS = 2_000
 
 
 def exploded(df: DataFrame, features: str = "features") -> DataFrame:
@@ -42,12 +47,17 @@ def imputed(df: DataFrame, fill: dict[int, float | None] | None = None) -> tuple
 def moments(df: DataFrame, target: str | None = "y") -> tuple[float, np.ndarray, np.ndarray]:
     """(n, means, covariances of population) of the features, with the target as the last column if given.
 
-    Each task centres on its own mean and the parts are merged pairwise, so large offsets lose no digits.
+    Each task centres on its own mean, so large offsets lose no digits.  The parts are merged by tasks, FAN_IN at a
+    time, until one is left: the driver gets one matrix, however many tasks there were.
     """
     cols = ["features", *([F.col(target).cast("double").alias("y")] if target else [])]
+    schema = "n long, mean array<double>, cross binary"
 
-    def run(batches):
-        n, mean, cross = 0, None, None
+    def out(n, mean, cross):
+        return pa.RecordBatch.from_arrays([pa.array([n]), pa.array([mean.tolist()]), pa.array([cross.tobytes()])], ["n", "mean", "cross"])
+
+    def each(batches):
+        total = None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -55,17 +65,29 @@ def moments(df: DataFrame, target: str | None = "y") -> tuple[float, np.ndarray,
             if target:
                 x = np.column_stack([x, batch.column(1).to_numpy()])
             part = (len(x), x.mean(axis=0), (x - x.mean(axis=0)).T @ (x - x.mean(axis=0)))
-            n, mean, cross = part if mean is None else _merge((n, mean, cross), part)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([mean.tolist()]), pa.array([cross.ravel().tolist()])], ["n", "mean", "cross"])
-
-    total = None
-    for r in df.select(*cols).mapInArrow(run, "n long, mean array<double>, cross array<double>").toLocalIterator():
-        part = (r["n"], np.array(r["mean"]), np.array(r["cross"]).reshape(len(r["mean"]), -1))
-        total = part if total is None else _merge(total, part)
-    if total is None:
+            total = part if total is None else _merge(total, part)
+        if total:
+            yield out(*total)
+
+    def both(batches):
+        total = None
+        for batch in batches:
+            for n, mean, cross in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                part = (n, np.array(mean), np.frombuffer(cross).reshape(len(mean), -1))
+                total = part if total is None else _merge(total, part)
+        if total:
+            yield out(*total)
+
+    parts = df.select(*cols)
+    width = parts.rdd.getNumPartitions()
+    parts = parts.mapInArrow(each, schema)
+    while width > 1:
+        width = -(-width // FAN_IN)
+        parts = parts.coalesce(width).mapInArrow(both, schema) if width > 1 else parts.repartition(1).mapInArrow(both, schema)
+    r = parts.first()
+    if r is None:
         return 0, np.zeros(0), np.zeros((0, 0))
-    return total[0], total[1], total[2] / total[0]
+    return r["n"], np.array(r["mean"]), np.frombuffer(r["cross"]).reshape(len(r["mean"]), -1) / r["n"]
 
 
 def _merge(a, b):
@@ -285,32 +307,79 @@ def pls_vip(df: DataFrame, most: int = 20, threshold: float = 1.8, folds: int =
     return chosen if len(chosen) >= fallback else order[:fallback].tolist(), vip, best
 
 
-def spark_importances(df: DataFrame, features: list[int], model: str, trees: int, depth: int, seed: int = 42) -> np.ndarray:
-    """Importances of the chosen features in a pyspark.ml forest or boosted trees."""
-    from pyspark.ml.functions import array_to_vector
+def forest(model: str, trees: int, depth: int, seed: int = 42, rate: float | None = None):
+    """The pyspark.ml regressor for a model's name; boosted trees stand in for the boosting libraries."""
     from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 
-    data = df.select(array_to_vector(F.array(*[F.get("features", F.lit(i)).cast("double") for i in features])).alias("features"), F.col("y").cast("double").alias("label"))
     if model == "RandomForest":
-        est = RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed)
-    elif model in ("LightGBM", "XGBoost", "CatBoost", "GBT"):  # boosted trees of pyspark.ml stand in for all of these
-        est = GBTRegressor(maxIter=trees, maxDepth=depth, seed=seed, stepSize=0.1 if model == "XGBoost" else 0.05)
-    else:
-        raise ValueError(f"unknown model: {model}")
-    return est.fit(data).featureImportances.toArray()
+        return RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed)
+    if model in ("LightGBM", "XGBoost", "CatBoost", "GBT"):
+        return GBTRegressor(maxIter=trees, maxDepth=depth, seed=seed, stepSize=rate or (0.1 if model == "XGBoost" else 0.05))
+    raise ValueError(f"unknown model: {model}")
+
+
+def labelled(df: DataFrame, features: list[int], *keep: str) -> DataFrame:
+    """features (a vector of the chosen ones), label, and the columns to keep."""
+    from pyspark.ml.functions import array_to_vector
+
+    return df.select(array_to_vector(F.array(*[F.get("features", F.lit(i)).cast("double") for i in features])).alias("features"), F.col("y").cast("double").alias("label"), *keep)
+
+
+def spark_importances(df: DataFrame, features: list[int], model: str, trees: int, depth: int, seed: int = 42) -> np.ndarray:
+    """Importances of the chosen features in a pyspark.ml forest or boosted trees."""
+    return forest(model, trees, depth, seed).fit(labelled(df, features)).featureImportances.toArray()
+
+
+def with_fold(df: DataFrame, folds: int, groups: str | None = None, seed: int = 42) -> DataFrame:
+    """df with _fold (0..folds-1) by a seeded hash of the id, or of the group, whose samples then share a fold."""
+    return df.withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), groups or "id"), F.lit(folds)).cast("int"))
+
+
+def rmse(predicted: DataFrame) -> float | None:
+    """None without rows."""
+    return predicted.agg(F.sqrt(F.avg(F.pow(F.col("label") - F.col("prediction"), 2)))).first()[0]
+
+
+def weakest(left: list[int], weight: np.ndarray, n: int) -> list[int]:
+    """left without its n least important features (of equal ones the first go)."""
+    out = {left[i] for i in np.argsort(weight, kind="stable")[:n]}
+    return [f for f in left if f not in out]
 
 
 def rfe(df: DataFrame, features: list[int], model: str, keep: int, step: int, trees: int = 20, depth: int = 5) -> list[int]:
     """Recursive elimination: the `step` least important features go until `keep` are left."""
     left = list(features)
     while len(left) > keep:
-        weight = spark_importances(df, left, model, trees, depth)
-        order = np.argsort(weight, kind="stable")[: min(step, len(left) - keep)]
-        out = {left[i] for i in order}
-        left = [f for f in left if f not in out]
+        left = weakest(left, spark_importances(df, left, model, trees, depth), min(step, len(left) - keep))
     return left
 
 
+def rfe_cv(
+    df: DataFrame, features: list[int], model: str, least: int = 20, step: int = 5, folds: int = 5, trees: int = 20, depth: int = 5, groups: str | None = None, seed: int = 42
+) -> tuple[list[int], dict[int, float]]:
+    """(features, mean error by number of features): recursive elimination inside every fold gives the error of each
+    number of features on the fold's own samples; the number of least mean error (of equal ones the smaller) is then
+    kept by an elimination on all samples.  Samples of a group share a fold."""
+    data = with_fold(df, folds, groups, seed).persist()
+
+    def one(fold: int) -> dict[int, float]:
+        train, test = data.where(F.col("_fold") != fold), data.where(F.col("_fold") == fold)
+        left, errors = list(features), {}
+        while True:
+            fit = forest(model, trees, depth, seed).fit(labelled(train, left))
+            errors[len(left)] = rmse(fit.transform(labelled(test, left)))
+            if len(left) <= least:
+                return errors
+            left = weakest(left, fit.featureImportances.toArray(), min(step, len(left) - least))
+
+    with ThreadPoolExecutor(4) as pool:
+        each = list(pool.map(one, range(folds)))
+    data.unpersist()
+    mean = {n: float(np.mean([e[n] for e in each if e[n] is not None] or [np.inf])) for n in each[0]}
+    best = min(mean, key=lambda n: (mean[n], n))
+    return rfe(df, features, model, best, step, trees, depth), mean
+
+
 def consensus(votes: DataFrame, models: int, rule: str = "all") -> DataFrame:
     """feature, n_models of votes (model, feature) that all models, or two of them at least ("majority"), chose."""
     need = models if rule == "all" else 2
@@ -322,28 +391,41 @@ def _binomial_tail(hits: int, n: int, p: float = 0.5) -> float:
     return sum(math.comb(n, i) for i in range(hits, n + 1)) * p**n
 
 
+def with_shadows(df: DataFrame, parts: int, seed: int) -> DataFrame:
+    """id, features and as many shadows, y: each shadow is its feature, permuted independently of the others among the
+    rows of an Arrow batch of a hashed part."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(float)
+            rng = np.random.default_rng([seed, abs(int(batch.column(0)[0].as_py()))])
+            both = np.hstack([x, rng.permuted(x, axis=0)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(both)), batch.column(2)], ["id", "features", "y"])
+
+    rows = df.select(F.col("id").cast("long").alias("id"), F.transform("features", lambda v: v.cast("double")).alias("features"), F.col("y").cast("double").alias("y"))
+    order = F.xxhash64(F.lit(seed), "id")
+    dealt = rows.repartition(parts, order).sortWithinPartitions(order, "id")
+    return dealt.mapInArrow(run, "id long, features array<double>, y double")
+
+
 def boruta(df: DataFrame, rounds: int = 20, alpha: float = 0.05, trees: int = 20, depth: int = 5, tentative: bool = True, seed: int = 42) -> dict[str, list[int]]:
     """confirmed, tentative, rejected features: a feature scores a hit in a round when its forest importance is over
     that of every shadow (a permuted copy); hits are judged by two-sided binomial tests, corrected for all features.
 
-    The permutation of a round joins each row with another one's features by rank in a seeded hash order.
+    Every shadow is permuted on its own, within parts of the rows that a seeded hash of the id makes anew each round.
     """
-    from pyspark.sql import Window
-
     p = df.select(F.size("features")).first()[0]
+    parts = max(1, df.count() // SHADOW_ROWS)
     hits = np.zeros(p, int)
     alive = list(range(p))
     confirmed: list[int] = []
     rejected: list[int] = []
     for n in range(1, rounds + 1):
-        parts = df.withColumn("_part", F.pmod(F.xxhash64(F.lit(seed + 31 * n), "id"), F.lit(16)))
-        ranked = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_part").orderBy(F.xxhash64(F.lit(seed + n), "id"), "id")))
-        turned = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_part").orderBy(F.xxhash64(F.lit(seed - n), "id"), "id")))
-        both = ranked.join(turned.select("_part", "_r", F.col("features").alias("_f")), ["_part", "_r"])
-        # every shadow column takes its own row by a further rotation within the array of the part would need p joins;
-        # one joint permutation keeps shadows free of the target, which is what the test needs
-        data = both.select("id", F.concat("features", "_f").alias("features"), "y")
+        data = with_shadows(df, parts, seed + n).persist()
         weight = spark_importances(data, [*alive, *range(p, 2 * p)], "RandomForest", trees, depth, seed + n)
+        data.unpersist()
         bar = weight[len(alive) :].max()
         for i, f in enumerate(alive):
             hits[f] += weight[i] > bar
@@ -366,6 +448,8 @@ def select_features(df: DataFrame, method: str, screened: list[int] | None = Non
         got = boruta(part, **options)["selected"]
     elif method == "pls_vip":
         got = pls_vip(part, **options)[0]
+    elif method == "mrmr" and "ks" in options:
+        got = mrmr_best(part, **options)["features"]
     elif method == "mrmr":
         n, _, cov = moments(part)
         got = mrmr(n, cov, k)
@@ -379,7 +463,9 @@ def selection_pipeline(df: DataFrame, config: dict) -> list[int]:
     after mRMR recursive elimination with a vote of models.
 
     config keys: unsupervised {least_variance, above} or None, supervised {corr_percentile, mi_percentile} or None,
-    method, options of the method, rfe {models, keep, step, rule} or None.
+    method, options of the method, rfe {models, keep, step, rule, folds, groups} or None.  With folds, `keep` is the
+    least number of features and cross-validation chooses it (rfe_cv).  After mRMR without rfe, options may give ks: the
+    number of features is then the best of a grid (mrmr_best).
     """
     left = unsupervised_prescreen(df, **config["unsupervised"])[0] if config.get("unsupervised") else None
     full, kept = imputed(df)
@@ -389,29 +475,77 @@ def selection_pipeline(df: DataFrame, config: dict) -> list[int]:
         cols = [cols[i] for i in prescreen(part, **config["supervised"])]
     cols = select_features(full, config["method"], cols, **config.get("options", {}))
     if config["method"] == "mrmr" and (r := config.get("rfe")):
-        votes = [(m, f) for m in r["models"] for f in rfe(full, cols, m, r["keep"], r["step"], r.get("trees", 20), r.get("depth", 5))]
+        votes = []
+        for m in r["models"]:
+            if r.get("folds"):
+                chosen, _ = rfe_cv(full, cols, m, r["keep"], r["step"], r["folds"], r.get("trees", 20), r.get("depth", 5), r.get("groups"))
+            else:
+                chosen = rfe(full, cols, m, r["keep"], r["step"], r.get("trees", 20), r.get("depth", 5))
+            votes += [(m, f) for f in chosen]
         table = df.sparkSession.createDataFrame(votes, "model string, feature int")
         cols = sorted(x["feature"] for x in consensus(table, len(r["models"]), r.get("rule", "all")).collect())
     return [kept[i] for i in cols]
 
 
-def mrmr_grid(df: DataFrame, ks: list[int], folds: int = 5, ridge: float = 1.0) -> DataFrame:
-    """k, rmse_mean, rmse_std over folds for prefixes of one mRMR ranking (ridge as the judge); bounded."""
-    n, _, cov = moments(df)
+def mrmr_grid(
+    df: DataFrame, ks: list[int], folds: int = 5, model: str = "Ridge", groups: str | None = None, ridge: float = 1.0, trees: int = 100, depth: int = 6, rate: float | None = None, seed: int = 42
+) -> tuple[list[int], DataFrame]:
+    """(ranking, table of k, rmse_mean, rmse_std over folds) for prefixes of one mRMR ranking.
+
+    model: the judge, Ridge (from cross products of each fold, so rows never leave their tasks) or a tree model (see
+    forest()).  Samples of a group share a fold; folds without samples don't count.
+    """
+    n, mean, cov = moments(df)
     order = mrmr(n, cov, max(ks))
-    _, x, y = matrix(df)
-    data = df.sparkSession.sparkContext.broadcast((x, y, order, group_folds(len(y), folds)))
+    data = with_fold(df.where("y is not null"), folds, groups, seed)
+    rows: list[tuple[int, float]] = []
+    if model == "Ridge":
+        parts = [moments(data.where(F.col("_fold") == f)) for f in range(folds)]
+        for f, held in enumerate(parts):
+            rest = [p for g, p in enumerate(parts) if g != f and p[0]]
+            if held[0] and rest:
+                total = _merged(rest)
+                rows += [(k, _ridge_error(total, held, order[:k], ridge)) for k in ks]
+    else:
+        data = data.persist()
+
+        def one(task: tuple[int, int]) -> tuple[int, float | None]:
+            k, f = task
+            fit = forest(model, trees, depth, seed, rate).fit(labelled(data.where(F.col("_fold") != f), order[:k]))
+            return k, rmse(fit.transform(labelled(data.where(F.col("_fold") == f), order[:k])))
+
+        with ThreadPoolExecutor(4) as pool:
+            rows = [x for x in pool.map(one, [(k, f) for k in ks for f in range(folds)]) if x[1] is not None]
+        data.unpersist()
+    table = df.sparkSession.createDataFrame(rows, "k int, rmse double")
+    return order, table.groupBy("k").agg(F.avg("rmse").alias("rmse_mean"), F.stddev_pop("rmse").alias("rmse_std"))
+
+
+def mrmr_best(df: DataFrame, ks: list[int], **options) -> dict:
+    """k of least mean error (the first of equal ones), its error, its features, the whole ranking and the grid."""
+    order, table = mrmr_grid(df, ks, **options)
+    grid = {r["k"]: (r["rmse_mean"], r["rmse_std"]) for r in table.collect()}  # a row per k
+    best = min((k for k in ks if k in grid), key=lambda k: grid[k][0])
+    return {"k": min(best, len(order)), "rmse": grid[best][0], "features": order[:best], "ranking": order, "grid": grid}
+
+
+def _merged(parts: list[tuple[float, np.ndarray, np.ndarray]]) -> tuple[float, np.ndarray, np.ndarray]:
+    """moments() of the union of tables."""
+    sums = [(n, mean, cov * n) for n, mean, cov in parts]
+    total = sums[0]
+    for p in sums[1:]:
+        total = _merge(total, p)
+    return total[0], total[1], total[2] / total[0]
 
-    def run(batches):
-        for b in batches:
-            x, y, order, fold = data.value
-            out = []
-            for k, f in zip(b["k"], b["fold"], strict=True):
-                tr, va = scaled(x[fold != f][:, order[:k]], x[fold == f][:, order[:k]])
-                my = y[fold != f].mean()
-                c = np.linalg.solve(tr.T @ tr + ridge * np.eye(tr.shape[1]), tr.T @ (y[fold != f] - my))
-                out.append(float(np.sqrt(((y[fold == f] - va @ c - my) ** 2).mean())))
-            yield pd.DataFrame({"k": b["k"], "rmse": out})
-
-    tasks = df.sparkSession.createDataFrame([(k, f) for k in ks for f in range(folds)], "k int, fold int").repartition(8)
-    return tasks.mapInPandas(run, "k int, rmse double").groupBy("k").agg(F.avg("rmse").alias("rmse_mean"), F.stddev_pop("rmse").alias("rmse_std"))
+
+def _ridge_error(train, held, cols: list[int], ridge: float) -> float:
+    """RMSE on the held-out part of a ridge on standardised features, from the moments (target last) of both."""
+    n, mean, cov = train
+    cols = np.array(cols)
+    std = np.sqrt(np.clip(np.diag(cov)[cols], 0, None))
+    std[std == 0] = 1
+    w = np.linalg.solve(n * cov[np.ix_(cols, cols)] / np.outer(std, std) + ridge * np.eye(len(cols)), n * cov[cols, -1] / std) / std
+    m, mean_v, cov_v = held
+    off = (mean_v[-1] - mean[-1]) - w @ (mean_v[cols] - mean[cols])  # mean residual
+    var = cov_v[-1, -1] - 2 * w @ cov_v[cols, -1] + w @ cov_v[np.ix_(cols, cols)] @ w
+    return float(np.sqrt(max(off**2 + var, 0.0)))

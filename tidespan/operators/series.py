@@ -131,17 +131,24 @@ def changes(df: DataFrame, keys: list[str], ord_col: str = "ord", value: str = "
 
 def seasonal(long: DataFrame, keys: list[str], periods: int, ord_col: str = "ord", value: str = "value") -> DataFrame:
     """cv, range and slope over the periods of keys; needs `periods` >= 3 available periods.  slope: against the
-    period's rank among the available ones, null with fewer than two finite values."""
+    period's index (0, 1, ...) among the periods that the feature (keys but the first) has for any entity, null with
+    fewer than two finite values."""
     v = finite(value)
     if periods < 3:
         return long.select(*keys).limit(0).withColumns({c: F.lit(None).cast("double") for c in ("cv", "range", "slope")})
-    return long.groupBy(*keys).agg(
+    shared = keys[1:]
+    have = long.select(*shared, ord_col).distinct()  # features times periods: small, whatever the number of entities
+    index = F.row_number().over(Window.partitionBy(*shared).orderBy(ord_col)) - 1
+    have = have.select(*[F.col(c).alias(f"_{c}") for c in shared], F.col(ord_col).alias("_o"), index.cast("double").alias("_i"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in shared]
+    ranked = long.join(F.broadcast(have), [*same, F.col(ord_col) == F.col("_o")])
+    return ranked.groupBy(*keys).agg(
         (F.stddev_samp(v) / (F.abs(F.avg(v)) + 1e-6)).alias("cv"),
         (F.max(v) - F.min(v)).alias("range"),
-        F.when(F.count(v) >= 2, F.regr_slope(v, F.when(v.isNotNull(), F.col(ord_col).cast("double")))).alias("slope"),
+        F.when(F.count(v) >= 2, F.regr_slope(v, F.when(v.isNotNull(), F.col("_i")))).alias("slope"),
     )
 
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n keys in an order fixed by the seed."""
-    return df.select(key).distinct().orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    return df.select(key).distinct().orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))), key).limit(n)

@@ -139,6 +139,24 @@ def smoothing_pipeline(spark, d):
     return rounded(se.smoothing_pipeline(events(spark, d), "entity", resample_days=5, window=7, order=2).select("entity", "i", "value"), "value")
 
 
+_COARSE_WEIGHTS = ", ".join(f"({i}, {j}, {w!r}::DOUBLE)" for i, j, w in se.smoothing_weights(GRID_DAYS // 3, 7, SG_ORDER))
+
+
+@query(
+    f"""WITH {_DAILY}, enough AS (SELECT entity FROM daily GROUP BY entity HAVING count(*) >= 3), series AS (SELECT d.* FROM daily d JOIN enough USING (entity)),
+    ends AS (SELECT min(date) AS lo, max(date) AS hi FROM series), days AS (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 3 DAY)) AS DATE) AS date, lo FROM ends),
+    grid AS (SELECT e.entity, CAST(date_diff('day', days.lo, days.date) AS INTEGER) AS i, s.value FROM (SELECT DISTINCT entity FROM series) e CROSS JOIN days LEFT JOIN series s ON s.entity = e.entity AND s.date = days.date),
+    near AS (SELECT g.entity, g.i, (SELECT max(h.i) FROM grid h WHERE h.entity = g.entity AND h.i <= g.i AND h.value IS NOT NULL) AS i0, (SELECT min(h.i) FROM grid h WHERE h.entity = g.entity AND h.i >= g.i AND h.value IS NOT NULL) AS i1 FROM grid g),
+    filled AS (SELECT n.entity, n.i, CASE WHEN i0 IS NULL THEN b.value WHEN i1 IS NULL OR i0 = i1 THEN a.value ELSE a.value + (b.value - a.value) * ((n.i - i0) / CAST(i1 - i0 AS DOUBLE)) END AS value
+      FROM near n LEFT JOIN grid a ON a.entity = n.entity AND a.i = i0 LEFT JOIN grid b ON b.entity = n.entity AND b.i = i1),
+    weights(k, j, w) AS (VALUES {_COARSE_WEIGHTS})
+    SELECT f.entity, CAST(3 * k AS INTEGER) AS i, {rs("sum(w * f.value)", "value")} FROM filled f JOIN weights ON f.i = 3 * j GROUP BY f.entity, k"""
+)
+def smoothing_coarse(spark, d):
+    """The path without a daily grid: every third day, filled and smoothed on that grid."""
+    return rounded(se.smoothing_pipeline(events(spark, d), "entity", resample_days=3, window=7, order=SG_ORDER, daily=False).select("entity", "i", "value"), "value")
+
+
 _ROLL = f"{_GRID}, roll AS (SELECT entity, i, value, sum(value) OVER (PARTITION BY entity ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5.0 AS k FROM filled)"
 
 
@@ -221,7 +239,7 @@ def curve_bundle(spark, d):
 #: Peak rows for the quality checks: day of the year from the order date, value and fit from price and key.
 _PEAKS = """peaks AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS peak_date,
     CAST(dayofyear(o_orderdate) AS DOUBLE) AS peak_doy, o_totalprice / 100000.0 AS peak_gcvi, (o_orderkey % 37) / 10.0 AS amplitude,
-    CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE (o_orderkey % 100) / 100.0 END AS fit_r2 FROM orders),
+    CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE (o_orderkey % 100) / 100.0 END AS fit_r2, CASE WHEN o_orderkey % 7 = 0 THEN 'fallback' ELSE 'double_logistic' END AS fit_method FROM orders),
   flags AS (SELECT *, CAST(month(peak_date) AS INTEGER) AS peak_month, list_filter([
       CASE WHEN peak_date IS NULL THEN 'no_peak_date' WHEN month(peak_date) NOT BETWEEN 4 AND 5 THEN 'peak_outside_season' END,
       CASE WHEN peak_gcvi < 1.0 THEN 'low_peak_gcvi' END, CASE WHEN amplitude < 0.5 THEN 'low_amplitude' END, CASE WHEN fit_r2 < 0.5 THEN 'poor_fit' END], lambda x: x IS NOT NULL) AS reasons FROM peaks)"""
@@ -236,6 +254,7 @@ def _peaks(spark, d):
         (F.col("o_totalprice") / 100000.0).alias("peak_gcvi"),
         ((k % 37) / 10.0).alias("amplitude"),
         F.when(k % 7 != 0, (k % 100) / 100.0).alias("fit_r2"),
+        F.when(k % 7 != 0, "double_logistic").otherwise("fallback").alias("fit_method"),
     )
     return pk.quality_flags(df, (4, 5), min_peak=1.0, min_amplitude=0.5, min_fit_r2=0.5)
 
@@ -250,14 +269,22 @@ def reason_breakdown(spark, d):
     return pk.reason_breakdown(_peaks(spark, d))
 
 
+def _counts_sql(key: str, source: str, name: str) -> str:
+    return f"(SELECT string_agg(k || '=' || n, ',' ORDER BY k) FROM (SELECT {key} AS k, count(*) AS n FROM {source} GROUP BY 1) WHERE k IS NOT NULL) AS {name}"
+
+
 @query(
-    f"""WITH {_PEAKS} SELECT count(*) AS n_total, CAST(sum(CASE WHEN len(reasons) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_anomalous,
-    {rs("100.0 * sum(CASE WHEN len(reasons) > 0 THEN 1 ELSE 0 END) / count(*)", "pct_anomalous", 2)},
+    f"""WITH {_PEAKS} SELECT count(*) AS n_total, CAST(sum(CASE WHEN len(reasons) = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_valid, CAST(sum(CASE WHEN len(reasons) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_anomalous,
+    {rs("100.0 * sum(CASE WHEN len(reasons) > 0 THEN 1 ELSE 0 END) / count(*)", "pct_anomalous", 2)}, 'Month 4 to 5' AS valid_peak_range,
+    CAST(1.0 AS DOUBLE) AS min_peak_gcvi, CAST(0.5 AS DOUBLE) AS min_amplitude, CAST(0.5 AS DOUBLE) AS min_fit_r2,
+    {_counts_sql("unnest(reasons)", "flags", "anomaly_reasons")}, {_counts_sql("peak_month", "flags", "peak_months")}, {_counts_sql("fit_method", "flags", "fit_methods")},
     {", ".join(rs(f"{f}(peak_doy)", f"doy_{n}") for n, f in (("mean", "avg"), ("median", "median"), ("std", "stddev_samp"), ("min", "min"), ("max", "max")))},
     {", ".join(rs(f"{f}(fit_r2)", f"r2_{n}") for n, f in (("mean", "avg"), ("median", "median"), ("min", "min"), ("max", "max")))} FROM flags"""
 )
 def qc_report(spark, d):
-    df = pk.quality_report(_peaks(spark, d))
+    df = pk.quality_report(_peaks(spark, d), (4, 5), min_peak=1.0, min_amplitude=0.5, min_fit_r2=0.5)
+    listed = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e["key"].cast("string"), e["value"].cast("string"))), ",")
+    df = df.withColumns({c: listed(c) for c in ("anomaly_reasons", "peak_months", "fit_methods")})
     return rounded(rounded(df, *[c for c in df.columns if c[:3] in ("doy", "r2_")]), "pct_anomalous", n=2)
 
 
@@ -315,18 +342,26 @@ def fit_window_filter(spark, d):
 
 def _register_windows() -> None:
     for mode in (*pe.RELATIVE_MODES, *pe.DATE_MODES):
-        rows = pe.window_rows(mode)
         QUERIES[f"windows_{mode}"] = lambda spark, d, m=mode: pe.windows(spark, m)
-        ORACLES[f"windows_{mode}"] = f"SELECT * FROM (VALUES {_values(rows, mode in pe.DATE_MODES)}) v(ord, period, lo, hi)"
 
 
 _register_windows()
-# the two generated tables again from their rule, in SQL
+# the generated tables again from their rules, in SQL
 ORACLES["windows_biweekly"] = """SELECT CAST(i AS INTEGER) AS ord, CASE WHEN i < 18 THEN 'bw_m' || (18 - i) WHEN i = 18 THEN 'bw_peak' ELSE 'bw_p' || (i - 18) END AS period,
     CAST(-7 + (i - 18) * 15 AS INTEGER) AS lo, CAST(7 + (i - 18) * 15 AS INTEGER) AS hi FROM range(0, 24) x(i)"""
 ORACLES["windows_monthly"] = """SELECT CAST(i AS INTEGER) AS ord, CASE WHEN i < 9 THEN 'mo_m' || (9 - i) WHEN i = 9 THEN 'mo_peak' ELSE 'mo_p' || (i - 9) END AS period,
     CAST(CASE WHEN i < 9 THEN -15 - (9 - i) * 30 WHEN i = 9 THEN -15 ELSE 16 + (i - 10) * 30 END AS INTEGER) AS lo,
     CAST(CASE WHEN i < 9 THEN -16 - (8 - i) * 30 WHEN i = 9 THEN 15 ELSE 15 + (i - 9) * 30 END AS INTEGER) AS hi FROM range(0, 13) x(i)"""
+_MONTHS_SQL = "SELECT i, DATE '2024-07-01' + to_months(CAST(i AS INTEGER)) AS lo FROM range(0, 12) x(i)"
+ORACLES["windows_calendar_monthly"] = f"SELECT CAST(i AS INTEGER) AS ord, lower(strftime(lo, '%b')) AS period, CAST(lo AS DATE) AS lo, CAST(last_day(lo) AS DATE) AS hi FROM ({_MONTHS_SQL})"
+ORACLES["windows_calendar_biweekly"] = f"""SELECT CAST(2 * i + h AS INTEGER) AS ord, lower(strftime(lo, '%b')) || '_' || (h + 1) AS period,
+    CAST(lo + INTERVAL (15 * h) DAY AS DATE) AS lo, CAST(CASE WHEN h = 0 THEN lo + INTERVAL 14 DAY ELSE last_day(lo) END AS DATE) AS hi FROM ({_MONTHS_SQL}), range(0, 2) y(h)"""
+# the stages are settings: plain values here, written out apart from the library's own table
+ORACLES["windows_phenological"] = """SELECT * FROM (VALUES (0, 'tillering', -120, -75), (1, 'stem_elongation', -75, -40), (2, 'booting', -40, -15), (3, 'heading_anthesis', -15, 10),
+    (4, 'grain_filling', 10, 40), (5, 'maturity', 40, 70)) v(ord, period, lo, hi)"""
+ORACLES["windows_peak_stages"] = "SELECT * FROM (VALUES (0, 'cp1', -300, -121), (1, 'cp2', -120, -60), (2, 'cp3', -59, -14), (3, 'cp4', -15, 15), (4, 'cp5', 16, 36)) v(ord, period, lo, hi)"
+ORACLES["windows_custom"] = """SELECT ord, period, CAST(lo AS DATE) AS lo, CAST(hi AS DATE) AS hi FROM (VALUES (0, 'cp1', '2024-07-01', '2024-12-31'), (1, 'cp2', '2025-01-01', '2025-02-28'),
+    (2, 'cp3', '2025-03-01', '2025-04-15'), (3, 'cp4', '2025-04-16', '2025-05-15'), (4, 'cp5', '2025-05-16', '2025-06-30')) v(ord, period, lo, hi)"""
 
 _PHENO_W = f"w(ord, period, lo, hi) AS (VALUES {_values(pe.window_rows('phenological'))})"
 _STAT_SQL = {
@@ -608,6 +643,17 @@ def seasonal_aggregates(spark, d):
     return rounded(df, "cv", "range", "slope")
 
 
+@query(
+    f"""WITH {_PERIODS}, gap AS (SELECT * FROM long WHERE stat = 'mean' AND ord <> 1 AND (ord <> 2 OR feature <> 'click')), seen AS (SELECT DISTINCT feature, ord FROM gap),
+    i AS (SELECT feature, ord, row_number() OVER (PARTITION BY feature ORDER BY ord) - 1 AS i FROM seen)
+    SELECT entity, feature, CASE WHEN count(value) >= 2 THEN floor((regr_slope(value, i) + 1e-8) * 1e4 + 0.5) / 1e4 + 0.0 END AS slope FROM gap JOIN i USING (feature, ord) GROUP BY entity, feature"""
+)
+def seasonal_with_gaps(spark, d):
+    """The slope runs over the places of the periods that a feature has, not over their numbers."""
+    long = long_periods(spark, d).where("stat = 'mean' and ord <> 1 and (ord <> 2 or feature <> 'click')")
+    return rounded(se.seasonal(long, ["entity", "feature"], 3).select("entity", "feature", "slope"), "slope")
+
+
 _KEYS = ["entity", "ord", "period"]
 
 
@@ -733,10 +779,21 @@ def feature_kinds(spark, d):
     return spark.createDataFrame([(x, ft.kind_of(x)) for x in _KIND_NAMES], "feature string, kind string")
 
 
-@query(f"WITH {_PERIODS} SELECT entity, feature, ord, {rs('value')} FROM long WHERE stat = 'mean' AND ord BETWEEN 1 AND 2")
+@query(
+    f"""WITH {_PERIODS}, m AS (SELECT entity, feature, ord, value, lag(value) OVER x AS v1, lag(ord) OVER x AS o1 FROM long WHERE stat = 'mean' WINDOW x AS (PARTITION BY entity, feature ORDER BY ord)),
+    every AS (SELECT entity, feature, ord, value FROM m UNION ALL SELECT entity, feature || '_change', ord, value - v1 FROM m WHERE o1 = ord - 1
+      UNION ALL SELECT DISTINCT entity, 'soil_level', NULL, CAST(entity % 7 AS DOUBLE) FROM m)
+    SELECT entity, feature, ord, {rs("value")} FROM every WHERE feature NOT LIKE '%\\_change' ESCAPE '\\' AND (ord BETWEEN 1 AND 2 OR ord IS NULL)"""
+)
 def period_subset(spark, d):
-    df = ft.raw_only(long_periods(spark, d).withColumn("kind", F.lit("raw")))
-    return rounded(ft.period_subset(df.where("stat = 'mean'"), 1, 2).select("entity", "feature", "ord", "value"), "value")
+    """Raw features of two periods, and the static ones, out of raw, derived and static rows."""
+    long = long_periods(spark, d).where("stat = 'mean'").select("entity", "feature", "ord", "value")
+    moved = se.changes(long, ["entity", "feature"]).select("entity", F.concat("feature", F.lit("_change")).alias("feature"), "ord", F.col("change").alias("value"))
+    static = long.select("entity").distinct().select("entity", F.lit("soil_level").alias("feature"), F.lit(None).cast("int").alias("ord"), (F.col("entity") % 7).cast("double").alias("value"))
+    every = long.unionByName(moved).unionByName(static)
+    kinds = spark.createDataFrame([(r["feature"], ft.kind_of(r["feature"])) for r in every.select("feature").distinct().collect()], "feature string, kind string")  # a row per feature name
+    rows = ft.raw_only(every.join(F.broadcast(kinds), "feature"))
+    return rounded(ft.period_subset(rows, 1, 2).select("entity", "feature", "ord", "value"), "value")
 
 
 _TYPES = [(f, pe.feature_type(f)) for f in ("NDVI", "LSWI", "B2", "B8A", "t2m_min", "dewpoint", "precip", "pet", "gdd", "vpd", "ssrd_MJm2", "water_deficit")]
@@ -821,7 +878,7 @@ def county_fill(spark, d):
     return st.fill_counties(pts, areas).select("id", "county", "state")
 
 
-@query()
+@query("SELECT entity FROM (SELECT DISTINCT user_id AS entity FROM events) ORDER BY md5('42:' || entity), entity LIMIT 12")
 def sample_fields(spark, d):
     return se.seeded_sample(events(spark, d), "entity", 12)
 
@@ -894,7 +951,17 @@ def correlated_pairs(spark, d):
     return rounded(spark.createDataFrame(rows, "a int, b int, r double"), "r", n=5)
 
 
-@query()
+_CORR = f"""{_CELLS}, var AS (SELECT idx, var_samp(value) AS v FROM full_cells GROUP BY idx),
+    pair AS (SELECT a.idx AS a, b.idx AS b, coalesce(corr(a.value, b.value), 0) AS r FROM full_cells a JOIN full_cells b USING (id) GROUP BY a.idx, b.idx)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_CORR}, hard AS (SELECT row_number() OVER (ORDER BY a, b) AS k, a, b, va.v AS va, vb.v AS vb FROM pair JOIN var va ON va.idx = a JOIN var vb ON vb.idx = b WHERE a < b AND abs(r) > 0.3 AND va.v >= 1e-6 AND vb.v >= 1e-6),
+    s(k, gone) AS (SELECT CAST(0 AS BIGINT), CAST([] AS INTEGER[]) UNION ALL
+      SELECT hard.k, CASE WHEN list_contains(gone, a) OR list_contains(gone, b) THEN gone ELSE list_append(gone, CASE WHEN va > vb THEN b ELSE a END) END FROM s JOIN hard ON hard.k = s.k + 1),
+    last AS (SELECT gone FROM s ORDER BY k DESC LIMIT 1)
+    SELECT var.idx FROM var, last WHERE var.v >= 1e-6 AND NOT list_contains(gone, var.idx)"""
+)
 def collinear_drop(spark, d):
     left, counts = sc.unsupervised_prescreen(vectors(spark, d), above=0.3)
     return spark.createDataFrame([(i,) for i in left], "idx int")
@@ -920,7 +987,17 @@ def prescreen(spark, d):
     return spark.createDataFrame([(i,) for i in sc.prescreen(sc.imputed(vectors(spark, d))[0])], "idx int")
 
 
-@query()
+def _mrmr_sql(k: int) -> str:
+    """Greedy choice, a step at a time: chosen is the list so far."""
+    steps = [f"""{_CORR}, target AS (SELECT idx, least(pow(coalesce(corr(value, y), 0), 2), 1 - 1e-12) AS t2 FROM full_cells GROUP BY idx), rows_n AS (SELECT count(DISTINCT id) AS n FROM cells),
+      rel AS (SELECT idx, t2 / (1 - t2) * greatest(n - 2, 1) AS f FROM target, rows_n), c0 AS (SELECT CAST([] AS INTEGER[]) AS chosen)"""]
+    for i in range(k):
+        redundancy = "1.0" if i == 0 else f"greatest((SELECT sum(abs(r)) FROM pair WHERE pair.a = rel.idx AND list_contains(chosen, pair.b)) / {float(i)}, 1e-3)"
+        steps.append(f"s{i} AS MATERIALIZED (SELECT rel.idx, f / {redundancy} AS score FROM rel, c{i} WHERE NOT list_contains(chosen, rel.idx)), c{i + 1} AS MATERIALIZED (SELECT list_append(chosen, (SELECT idx FROM s{i} ORDER BY score DESC, idx LIMIT 1)) AS chosen FROM c{i})")
+    return f"WITH {', '.join(steps)} SELECT CAST(unnest(range(0, {k})) AS INTEGER) AS rank, unnest(chosen) AS idx FROM c{k}"
+
+
+@query(_mrmr_sql(15))
 def mrmr(spark, d):
     n, _, cov = sc.moments(sc.imputed(vectors(spark, d))[0])
     return spark.createDataFrame(list(enumerate(sc.mrmr(n, cov, 15))), "rank int, idx int")
@@ -928,7 +1005,13 @@ def mrmr(spark, d):
 
 @query()
 def mrmr_grid(spark, d):
-    return sc.mrmr_grid(sc.imputed(vectors(spark, d))[0], [5, 10, 20, 40])
+    return sc.mrmr_grid(sc.imputed(vectors(spark, d))[0], [5, 10, 20, 40])[1]
+
+
+@query()
+def mrmr_best(spark, d):
+    best = sc.mrmr_best(sc.imputed(vectors(spark, d))[0], [5, 10, 20, 40], model="Ridge")
+    return spark.createDataFrame([(best["k"], i, f) for i, f in enumerate(best["features"])], "k int, rank int, idx int")
 
 
 @query()
@@ -947,8 +1030,8 @@ def boruta(spark, d):
 @query()
 def rfe(spark, d):
     df = sc.imputed(vectors(spark, d))[0]
-    votes = [(m, f) for m in ("RandomForest", "XGBoost") for f in sc.rfe(df, list(range(64)), m, keep=20, step=22, trees=5, depth=4)]
-    return sc.consensus(spark.createDataFrame(votes, "model string, feature int"), 2, "all")
+    votes = [(m, f) for m in ("LightGBM", "RandomForest", "XGBoost") for f in sc.rfe_cv(df, list(range(64)), m, least=20, step=22, folds=3, trees=5, depth=4)[0]]
+    return sc.consensus(spark.createDataFrame(votes, "model string, feature int"), 3, "majority")
 
 
 _VOTES = [(m, f"f{i}") for k, m in enumerate(("a", "b", "c")) for i in range(20) if i % (k + 2) == 0]
@@ -966,7 +1049,7 @@ def selection_pipeline(spark, d):
         "supervised": {"corr_percentile": 85, "mi_percentile": 80},
         "method": "mrmr",
         "options": {"k": 12},
-        "rfe": {"models": ["RandomForest", "XGBoost"], "keep": 6, "step": 6, "trees": 5, "depth": 3, "rule": "majority"},
+        "rfe": {"models": ["RandomForest", "XGBoost"], "keep": 6, "step": 6, "folds": 2, "trees": 5, "depth": 3, "rule": "majority"},
     }
     return spark.createDataFrame([(i,) for i in sc.selection_pipeline(vectors(spark, d), config)], "idx int")
 
@@ -982,10 +1065,15 @@ def qcut_bins(spark, d):
     return p.groupBy(mo.quantile_bin(edges, "p_retailprice").alias("bin")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    """WITH q AS (SELECT quantile_cont(p_retailprice, 0.2) AS q1, quantile_cont(p_retailprice, 0.4) AS q2, quantile_cont(p_retailprice, 0.6) AS q3, quantile_cont(p_retailprice, 0.8) AS q4 FROM part),
+    k AS (SELECT p_partkey AS id, CAST((p_retailprice > q1)::INT + (p_retailprice > q2)::INT + (p_retailprice > q3)::INT + (p_retailprice > q4)::INT AS INTEGER) AS bin, md5('42:' || p_partkey) AS key FROM part, q),
+    h AS (SELECT *, (instr('0123456789abcdef', key[1]) - 1) % 4 * 16 + instr('0123456789abcdef', key[2]) - 1 AS part FROM k)
+    SELECT id, bin, CAST((row_number() OVER (PARTITION BY bin, part ORDER BY key, id) + part) % 5 AS INTEGER) AS fold FROM h"""
+)
 def stratified_folds(spark, d):
     p = t(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_retailprice")
-    return mo.stratified_folds(p, "p_retailprice", 5).groupBy("fold", "bin").agg(F.count("*").alias("n"))
+    return mo.stratified_folds(p, "p_retailprice", 5).select("id", "bin", "fold")
 
 
 @query(f"WITH {_CELLS}, m AS (SELECT idx, avg(value) AS m, stddev_pop(value) AS s FROM full_cells GROUP BY idx) SELECT id, idx, {rs('(value - m) / CASE WHEN s > 0 THEN s ELSE 1 END', 'value')} FROM full_cells JOIN m USING (idx)")
@@ -994,12 +1082,12 @@ def standardize(spark, d):
 
 
 @query(
-    f"""WITH {_CELLS}, folds AS (SELECT id, idx, value, CAST(id % 5 AS INTEGER) AS fold FROM cells WHERE idx < 8), o AS (SELECT unnest([0, 1, 2, 3, 4]) AS outer_fold),
+    f"""WITH {_CELLS}, folds AS (SELECT id, idx, value, CAST(id % 5 AS INTEGER) AS fold FROM cells), o AS (SELECT unnest([0, 1, 2, 3, 4]) AS outer_fold),
     e AS (SELECT f.*, o.outer_fold, fold <> outer_fold AS train FROM folds f, o), m AS (SELECT outer_fold, idx, quantile_cont(value, 0.5) AS m FROM e WHERE train GROUP BY ALL)
     SELECT e.id, e.outer_fold AS "outer", e.idx, {rs("coalesce(e.value, m.m, 0)", "value", 6)}, e.train FROM e LEFT JOIN m USING (outer_fold, idx)"""
 )
 def fold_median_fill(spark, d):
-    cells = sc.exploded(vectors(spark, d)).where("idx < 8").withColumn("fold", (F.col("id") % 5).cast("int"))
+    cells = sc.exploded(vectors(spark, d)).withColumn("fold", (F.col("id") % 5).cast("int"))
     return rounded(mo.fold_median_fill(cells, 5), "value", n=6)
 
 
@@ -1041,9 +1129,12 @@ _FOLDS = """fold_rows AS (SELECT CAST(l_linenumber % 5 AS INTEGER) AS fold, l_re
     fold_long AS (SELECT fold, model, unnest(['RMSE', 'R2']) AS metric, unnest([RMSE, R2]) AS value FROM fold_rows)"""
 
 
-@query(f"WITH {_FOLDS} SELECT model, metric, {rs('avg(value)', 'mean', 6)}, {rs('CASE WHEN count(value) = 1 THEN 0.0 ELSE stddev_samp(value) END', 'std', 6)} FROM fold_long GROUP BY model, metric")
+@query(
+    f"""WITH {_FOLDS}, m AS (SELECT model, metric, avg(value) AS mean, CASE WHEN count(value) = 1 THEN 0.0 ELSE stddev_samp(value) END AS std FROM fold_long GROUP BY model, metric)
+    SELECT model, metric, {rs("mean", n=6)}, {rs("std", n=6)}, printf('%.4f ± %.4f', mean, std) AS text FROM m"""
+)
 def results_summary(spark, d):
-    return rounded(me.summary(me.melted(_fold_values(spark, d), ["fold", "model"], ("RMSE", "R2"))).drop("text"), "mean", "std", n=6)
+    return rounded(me.summary(me.melted(_fold_values(spark, d), ["fold", "model"], ("RMSE", "R2"))), "mean", "std", n=6)
 
 
 @query(
@@ -1078,9 +1169,9 @@ def top_importance(spark, d):
     return rounded(me.top(df, "importance", "idx", 15), "importance", n=6)
 
 
-@query("SELECT p_type AS feature, count(DISTINCT p_size % 5) AS n_folds FROM part WHERE p_retailprice > 950 GROUP BY p_type")
+@query("SELECT p_type AS feature, count(DISTINCT p_size % 5) AS n_folds FROM part GROUP BY p_type")
 def feature_stability(spark, d):
-    return t(spark, d, "part").where("p_retailprice > 950").groupBy(F.col("p_type").alias("feature")).agg(F.count_distinct(F.col("p_size") % 5).alias("n_folds"))
+    return t(spark, d, "part").groupBy(F.col("p_type").alias("feature")).agg(F.count_distinct(F.col("p_size") % 5).alias("n_folds"))
 
 
 # ------------------------------------------------------------------ sweeps
