@@ -102,9 +102,9 @@ def test_moments_and_selection(spark):
     assert set(np.argsort(-vip)[:2]) == {0, 1}
     mi = {r["idx"]: r["mi"] for r in screening.mutual_informations(df).collect()}
     assert mi[0] > mi[3] and mi[5] == 0.0
-    oof = modeling.nested_cv(df, {"ElasticNet": [{"alpha": 0.001, "l1_ratio": 0.5}], "Ridge": [{"alpha": 0.1}]}, outer=4, inner=3, repeats=1, stacking=True)
+    oof = modeling.nested_cv(df, {"ElasticNet": [{"alpha": 0.001, "l1_ratio": 0.5}], "Ridge": [{"alpha": 0.1}]}, outer=4, inner=3, repeats=1, stacking=True, stack={"bases": {"RandomForest": {"n_estimators": 15, "max_depth": 5}, "LightGBM": {"n_estimators": 10, "max_depth": 4, "learning_rate": 0.2, "subsample": 1.0}}, "splits": 2})
     r2 = {r["model"]: r["value"] for r in modeling.score(oof).where("metric = 'R2' and fold = 0").collect()}
-    assert set(r2) == {"ElasticNet", "Ridge", "Ensemble", "Stacking"} and min(r2.values()) > 0.95
+    assert set(r2) == {"ElasticNet", "Ridge", "Ensemble", "Stacking"} and r2["Stacking"] > 0.7 and min(v for m, v in r2.items() if m != "Stacking") > 0.95
 
 
 def test_imputation_drops_empty_features(spark):
@@ -123,6 +123,154 @@ def test_digamma_and_mutual_information():
     assert abs(screening.mutual_information(x, (x + e) / math.sqrt(2)) - want) < 0.08
 
 
+def feature_table(spark, x, y, extra=()):
+    rows = [(i, row.tolist(), float(v), *e) for i, (row, v, *e) in enumerate(zip(x, y, *extra, strict=True))]
+    return spark.createDataFrame(rows, "id long, features array<double>, y double" + "".join(f", g{k} int" for k in range(len(extra))))
+
+
+def test_moments_of_many_parts(spark):
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(300, 5)) * 10 + 500, rng.normal(size=300)
+    n, mean, cov = screening.moments(feature_table(spark, x, y).repartition(40))
+    both = np.column_stack([x, y])
+    assert n == 300 and np.allclose(mean, both.mean(axis=0)) and np.allclose(cov, np.cov(both.T, ddof=0))
+    assert screening.moments(feature_table(spark, x, y).limit(0))[0] == 0
+
+
+def test_ridge_by_leave_one_out(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 2))
+    x[:, 1] = x[:, 0] + 0.1 * x[:, 1]
+    y = 2 * x[:, 0] + rng.normal(size=40)
+    df = spark.createDataFrame([(float(a), float(b), float(c)) for (a, b), c in zip(x, y, strict=True)], "a double, b double, y double")
+    alphas = (0.01, 1.0, 100.0)
+
+    def fit(x, y, alpha):
+        c = x - x.mean(axis=0)
+        w = np.linalg.solve(c.T @ c + alpha * np.eye(2), c.T @ (y - y.mean()))
+        return w, y.mean() - x.mean(axis=0) @ w
+
+    def error(alpha):
+        out = []
+        for i in range(40):
+            k = np.arange(40) != i
+            w, b = fit(x[k], y[k], alpha)
+            out.append((y[i] - x[i] @ w - b) ** 2)
+        return np.mean(out)
+
+    best = min(alphas, key=error)
+    w, b = modeling.ridge_loo(df, ["a", "b"], "y", alphas)
+    assert np.allclose(w, fit(x, y, best)[0]) and math.isclose(b, fit(x, y, best)[1])
+
+
+def test_stack_learns_and_does_not_leak(spark):
+    """On a target of pure noise nothing can be predicted: a stack that had seen test targets would look good there."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(150, 4))
+    bases = {"RandomForest": {"n_estimators": 10, "max_depth": 6}, "LightGBM": {"n_estimators": 8, "max_depth": 4, "learning_rate": 0.3, "subsample": 1.0}}
+
+    def r2(y):
+        df = feature_table(spark, x, y)
+        got = modeling.stacked(df.where("id % 3 > 0"), df.where("id % 3 = 0"), list(range(4)), bases, splits=3)
+        pred = {r["id"]: r["y_pred"] for r in got.collect()}
+        assert sorted(pred) == list(range(0, 150, 3))
+        t, p = y[::3], np.array([pred[i] for i in range(0, 150, 3)])
+        return 1 - ((t - p) ** 2).sum() / ((t - t.mean()) ** 2).sum()
+
+    assert r2(5 * x[:, 0] + rng.normal(size=150) * 0.1) > 0.6
+    assert r2(rng.normal(size=150)) < 0.15
+
+
+def test_repeated_search_uses_every_repeat(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    df = feature_table(spark, rng.normal(size=(60, 2)), rng.normal(size=60))
+    fitted = []
+    real = modeling.estimator
+    monkeypatch.setattr(modeling, "estimator", lambda m, p, s: fitted.append(p["max_depth"]) or real(m, p, s))
+    points = [{"n_estimators": 2, "max_depth": 1}, {"n_estimators": 2, "max_depth": 2}]
+    got = modeling.tree_predictions(df, df, [0, 1], "RandomForest", points, splits=2, repeats=3, seed=1)
+    assert got.count() == 60 and len(fitted) == 2 * 2 * 3 + 1
+
+
+def test_elimination_with_cross_validation(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(200, 8))
+    df = feature_table(spark, x, 4 * x[:, 2] - 3 * x[:, 5] + 0.1 * rng.normal(size=200), [rng.integers(0, 12, 200).tolist()])
+    chosen, errors = screening.rfe_cv(df, list(range(8)), "RandomForest", least=2, step=2, folds=3, trees=10, depth=5, groups="g0")
+    assert set(errors) == {8, 6, 4, 2} and len(chosen) == min(errors, key=lambda n: (errors[n], n))
+    assert {2, 5} <= set(chosen)
+    folds = screening.with_fold(df, 3, "g0").groupBy("g0").agg(F.count_distinct("_fold").alias("n")).collect()
+    assert all(r["n"] == 1 for r in folds)
+
+
+def test_boruta_tells_signal_from_noise(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(250, 6))
+    df = feature_table(spark, x, 3 * x[:, 1] + 3 * x[:, 4] + 0.2 * rng.normal(size=250))
+    got = screening.boruta(df, rounds=12, alpha=0.1, trees=15, depth=5)
+    assert {1, 4} <= set(got["confirmed"]) and {0, 2, 3, 5} <= set(got["rejected"]) | set(got["tentative"])
+
+
+def test_shadows_are_permuted_one_by_one(spark):
+    x = np.tile(np.arange(400.0)[:, None], (1, 3))
+    rows = screening.with_shadows(feature_table(spark, x, x[:, 0]), 1, 3).collect()
+    both = np.array([r["features"] for r in rows])
+    assert all(sorted(both[:, i]) == x[:, 0].tolist() for i in range(6))
+    r = np.corrcoef(both.T)
+    assert np.abs(r[3:, 3:][~np.eye(3, dtype=bool)]).max() < 0.25 and np.abs(r[:3, 3:]).max() < 0.25
+
+
+def test_feature_grid_against_brute_force(spark):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(180, 10)) * 3 + 7
+    y = x[:, 0] - 2 * x[:, 3] + x[:, 7] + rng.normal(size=180)
+    df = feature_table(spark, x, y, [rng.integers(0, 20, 180).tolist()])
+    best = screening.mrmr_best(df, [1, 3, 6, 10], folds=4, groups="g0", ridge=2.0)
+    fold = {r["id"]: r["_fold"] for r in screening.with_fold(df, 4, "g0").collect()}
+    fold = np.array([fold[i] for i in range(180)])
+    for k in (1, 3, 6, 10):
+        errors = []
+        for f in range(4):
+            tr, va = screening.scaled(x[fold != f][:, best["ranking"][:k]], x[fold == f][:, best["ranking"][:k]])
+            my = y[fold != f].mean()
+            w = np.linalg.solve(tr.T @ tr + 2.0 * np.eye(k), tr.T @ (y[fold != f] - my))
+            errors.append(np.sqrt(((y[fold == f] - va @ w - my) ** 2).mean()))
+        assert math.isclose(best["grid"][k][0], np.mean(errors), rel_tol=1e-9) and math.isclose(best["grid"][k][1], np.std(errors), rel_tol=1e-6)
+    assert best["k"] == min(best["grid"], key=lambda k: best["grid"][k][0]) and best["features"] == best["ranking"][: best["k"]]
+    forest = screening.mrmr_best(df, [1, 3], folds=2, model="RandomForest", trees=5, depth=4)
+    assert forest["k"] == 3
+
+
+def test_selection_pipeline_finds_the_signal(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(160, 7))
+    x[:, 6] = x[:, 0] * 1.001
+    df = feature_table(spark, x, 3 * x[:, 0] - 2 * x[:, 2] + 0.1 * rng.normal(size=160))
+    config = {
+        "unsupervised": {"least_variance": 1e-6, "above": 0.9},
+        "supervised": {"corr_percentile": 85, "mi_percentile": 80},
+        "method": "mrmr",
+        "options": {"k": 4},
+        "rfe": {"models": ["RandomForest", "XGBoost"], "keep": 2, "step": 1, "folds": 2, "trees": 5, "depth": 4, "rule": "all"},
+    }
+    got = screening.selection_pipeline(df, config)
+    assert 2 in got and {0, 6} & set(got) and not {0, 6} <= set(got)
+    assert screening.selection_pipeline(df, {"method": "mrmr", "options": {"ks": [1, 2, 3]}})
+
+
+def test_nested_cv_of_trees(spark):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(120, 3))
+    df = feature_table(spark, x, 2 * x[:, 1] + 0.1 * rng.normal(size=120))
+    models = {"RandomForest": [{"n_estimators": 8, "max_depth": 2}, {"n_estimators": 8, "max_depth": 6}], "ElasticNet": [{"alpha": 0.01, "l1_ratio": 0.5}]}
+    oof = modeling.nested_cv(df, models, outer=3, inner=2, repeats=1).collect()
+    assert {m: sorted(r["id"] for r in oof if r["model"] == m) for m in ("RandomForest", "ElasticNet", "Ensemble")} == dict.fromkeys(("RandomForest", "ElasticNet", "Ensemble"), list(range(120)))
+    by = {(r["model"], r["id"]): r["y_pred"] for r in oof}
+    assert all(math.isclose(by["Ensemble", i], (by["RandomForest", i] + by["ElasticNet", i]) / 2) for i in range(120))
+    y = {r["id"]: r["y_true"] for r in oof}
+    assert np.corrcoef([by["RandomForest", i] for i in range(120)], [y[i] for i in range(120)])[0, 1] > 0.8
+
+
 def test_stratified_folds_are_balanced(spark):
     df = spark.range(1000).withColumn("y", F.rand(3))
     n = [r["count"] for r in modeling.stratified_folds(df, "y", 5).groupBy("fold").count().collect()]

@@ -6,7 +6,6 @@ from tests.helpers import duck_rows, spark_rows
 from tidespan.plans import catalogue
 
 ORACLES = catalogue.oracle_sql()
-SLOW = {"boruta", "rfe", "nested_cv_small", "selection_pipeline"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -14,7 +13,7 @@ def test_oracle(spark, sf, duck, name):
     assert spark_rows(catalogue.queries()[name](spark, sf)) == duck_rows(duck.sql(ORACLES[name]))
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(ORACLES)))
 def test_rows_only(spark, sf, name):
     df = catalogue.queries()[name](spark, sf)
     assert df.columns and df.count() > 0

@@ -69,6 +69,59 @@ def test_fit_recovers_seasons():
     assert np.percentile(errors, 95) < 6
 
 
+def test_fits_are_as_good_as_many_random_starts():
+    """Noisy seasons of several shapes: the fit's R2 against the best of 40 starts anywhere in the box."""
+    rng = np.random.default_rng(5)
+    seasons = []
+    for i in range(24):
+        t = np.arange(1.0, 31.0) if i % 2 else np.arange(1.0, 366.0, 5.0)
+        span = t[-1] - t[0]
+        p = np.array([0.3, rng.uniform(0.5, 4), t[0] + span * rng.uniform(0.1, 0.5), span * rng.uniform(0.02, 0.1), t[0] + span * rng.uniform(0.55, 0.9), span * rng.uniform(0.02, 0.1), 0.0])
+        seasons.append((t, peaks._curves(t[None], p[None])[0][0] + rng.normal(0, 0.2, len(t))))
+    got = peaks.fit_seasons(seasons)
+    starts = peaks._starts
+    best = np.full(len(seasons), -np.inf)
+    try:
+        for _ in range(40):
+            peaks._starts = lambda t, y, here, lo, hi: rng.uniform(lo, hi)
+            best = np.maximum(best, [g[1] for g in peaks.fit_seasons(seasons)])
+    finally:
+        peaks._starts = starts
+    short = [b - g[1] for g, b in zip(got, best, strict=True)]
+    assert np.median(short) < 1e-3 and np.mean(np.array(short) < 0.02) > 0.85
+
+
+def test_detected_peaks_agree_with_their_curves(spark):
+    """Whole driver: the peak is the fitted curve's first maximum over 1000 points; entities without a curve fall back."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for e in range(12):
+        for i in range(0, 120, 1 + e % 3):
+            value = 1.0 if e == 11 else 0.3 + 3 / (1 + np.exp((40 - i) / 6)) - 3 / (1 + np.exp((80 - i) / 7)) + float(rng.normal(0, 0.05))
+            rows.append((e, dt.date(2025, 1, 1) + dt.timedelta(i), float(value)))
+    found, params = peaks.detect_peaks(spark.createDataFrame(rows, "entity int, date date, value double"), "entity", "2025-01-01", "2025-04-30", months=(1, 5), resample_days=1)
+    got, fits = {r["entity"]: r for r in found.collect()}, {r["entity"]: r for r in params.collect()}
+    assert set(got) == set(range(12)) == set(fits)
+    assert got[11]["fit_method"] == "fallback" and got[11]["fit_r2"] is None and fits[11]["m1"] is None
+    for e in range(11):
+        m = np.array([fits[e][f"m{i}"] for i in range(1, 8)])
+        t = np.linspace(1, 120, 1000)
+        curve = peaks._curves(t[None], m[None])[0][0]
+        r = got[e]
+        assert r["fit_method"] == "double_logistic" and r["fit_r2"] > 0.98 and r["amplitude"] == m[1]
+        assert abs(r["peak_doy"] - t[np.argmax(curve)]) < 1.5 and abs(r["peak_gcvi"] - curve.max()) < 1e-3 and 50 < r["peak_doy"] < 72
+        assert r["peak_date"] == dt.date(2025, 1, 1) + dt.timedelta(int(np.floor(r["peak_doy"])) - 1)
+
+
+def test_curve_bundle_has_raw_smoothed_and_fitted_points(spark):
+    rows = [("a", dt.date(2025, 1, 1) + dt.timedelta(i), float(1 + 2 * np.exp(-(((i - 30) / 10) ** 2)))) for i in range(60)]
+    got = peaks.curve_bundle(spark.createDataFrame(rows, "entity string, date date, value double"), "entity", "a", "2025-01-01", "2025-03-01", points=50).collect()
+    kinds = {k: [r for r in got if r["kind"] == k] for k in ("raw", "smoothed", "fitted")}
+    assert len(kinds["raw"]) == 60 and len(kinds["fitted"]) == 50 and kinds["smoothed"]
+    assert min(r["t"] for r in kinds["fitted"]) == min(r["t"] for r in kinds["smoothed"])
+    assert abs(max(r["value"] for r in kinds["fitted"]) - 3.0) < 0.2
+
+
 def test_jacobian():
     t, p = np.linspace(1, 200, 20), np.array([0.3, 3.0, 70, 9, 150, 11, 0.003])
     value, jac = (a[0] for a in peaks._curves(t[None], p[None]))

@@ -8,6 +8,7 @@ two-decimal numbers often lie on a rounding tie; `+ 0.0` turns a negative zero i
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,8 +25,8 @@ from ..operators import screening as sc
 from ..operators import series as se
 from ..operators import statics as st
 from ..operators import sweep as sw
-from ..sources import rasters
-from ..sources.session import importable
+from ..sources import rasters, tables
+from ..sources.session import importable, shared_dir
 from ..streaming import daily as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -740,8 +741,41 @@ def meteo_soil(spark, d):
     return rounded(ft.static_pairs(long, _soil(spark, d), ["precip", "t2m_max"], ["soil_top_clay", "soil_top_om"], _KEYS, "entity"), "value")
 
 
-@query()
+_TRAITS = """SELECT entity, unnest(['pheno_baseline', 'pheno_amplitude', 'pheno_greenup_steepness', 'pheno_senescence_steepness', 'pheno_greenup_inflection', 'pheno_senescence_inflection',
+      'pheno_season_length', 'pheno_trend', 'pheno_greenup_senescence_ratio']) AS feature, unnest([0.3, 1.0 + c, 8.0, 11.0, 60.0 + c, 150.0 + c / 2, 150.0 + c / 2 - (60.0 + c), 0.002, 8.0 / (11.0 + 1e-6)]) AS value
+    FROM (SELECT c_custkey AS entity, CAST(c_nationkey AS DOUBLE) AS c FROM customer)"""
+
+
+def _met_sql(a: str, b: str, source: str, how: str = "x") -> str:
+    value = "a.value * b.value" if how == "x" else "greatest(-100.0, least(100.0, a.value / (abs(b.value) + 1e-6)))"
+    return f"SELECT a.entity, a.ord, a.period, '{a}_{how}_{b}' AS feature, {value} AS value FROM {source} a JOIN {source} b USING (entity, ord) WHERE a.feature = '{a}' AND b.feature = '{b}' AND a.stat = 'mean' AND b.stat = 'mean'"
+
+
+@query(
+    f"""WITH {_NAMED}, {_SOIL}, crit AS (SELECT * FROM named WHERE period IN ('w2', 'w3', 'w4')),
+    mv AS (SELECT entity, feature, ord, period, value, lag(value) OVER x AS v1, lag(ord) OVER x AS o1 FROM named WHERE stat = 'mean' WINDOW x AS (PARTITION BY entity, feature ORDER BY ord)),
+    moved AS (SELECT * FROM mv WHERE o1 = ord - 1 AND v1 IS NOT NULL),
+    seen AS (SELECT DISTINCT feature, ord FROM named WHERE stat = 'mean'), place AS (SELECT feature, ord, row_number() OVER (PARTITION BY feature ORDER BY ord) - 1 AS i FROM seen),
+    agro AS (SELECT entity, ord, period, max(CASE WHEN feature = 'precip' AND stat = 'sum' THEN value END) AS p, max(CASE WHEN feature = 'pet' AND stat = 'sum' THEN value END) AS e,
+      max(CASE WHEN feature = 't2m_max' AND stat = 'mean' THEN value END) AS x FROM named GROUP BY ALL),
+    season AS (SELECT entity, feature, stddev_samp(value) / (abs(avg(value)) + 1e-6) AS cv, max(value) - min(value) AS width, CASE WHEN count(value) >= 2 THEN regr_slope(value, i) END AS slope
+      FROM named JOIN place USING (feature, ord) WHERE stat = 'mean' AND feature IN ('NDVI', 'B8') GROUP BY entity, feature),
+    u AS (SELECT entity, ord, period, feature || '_change' AS feature, value - v1 AS value FROM moved
+      UNION ALL SELECT entity, ord, period, feature || '_ratio', {_CLIP10.format("value / (abs(v1) + 1e-6)")} FROM moved
+      UNION ALL SELECT entity, ord, period, feature || '_roc', {_CLIP10.format("(value - v1) / (abs(v1) + 1e-6)")} FROM moved
+      UNION ALL {_met_sql("B8", "NDVI", "named", "div")} UNION ALL {_met_sql("NDVI", "t2m_max", "named")}
+      UNION ALL SELECT entity, ord, period, 'aridity', p / (abs(e) + 1e-6) FROM agro WHERE p IS NOT NULL AND e IS NOT NULL
+      UNION ALL SELECT entity, ord, period, 'water_deficit', e - p FROM agro WHERE p IS NOT NULL AND e IS NOT NULL
+      UNION ALL SELECT entity, ord, period, 'heat_stress', greatest(x - 30.0, 0.0) FROM agro WHERE x IS NOT NULL
+      UNION ALL SELECT n.entity, ord, period, 'NDVI_x_soil_top_clay', value * soil_top_clay FROM crit n JOIN soil USING (entity) WHERE feature = 'NDVI' AND stat = 'mean' AND soil_top_clay IS NOT NULL
+      UNION ALL {_met_sql("NDVI", "precip", "crit")} UNION ALL {_met_sql("NDVI", "t2m_max", "crit")}
+      UNION ALL SELECT entity, NULL, NULL, feature, value FROM ({_TRAITS})
+      UNION ALL SELECT entity, NULL, NULL, feature || '_seasonal_cv', cv FROM season UNION ALL SELECT entity, NULL, NULL, feature || '_seasonal_range', width FROM season
+      UNION ALL SELECT entity, NULL, NULL, feature || '_seasonal_slope', slope FROM season)
+    SELECT entity, ord, period, feature, {rs("value")} FROM u"""
+)
 def engineer_all(spark, d):
+    """Every part of the dispatcher: series, pairs, agronomy, static and weather products, curve traits, seasonal."""
     config = {
         "derivatives": True,
         "ratios": [("B8", "NDVI")],
@@ -751,7 +785,29 @@ def engineer_all(spark, d):
         "weather": {"left": ["NDVI"], "vars": ["precip", "t2m_max"]},
         "seasonal": ["NDVI", "B8"],
     }
-    return rounded(ft.engineer_all(named_periods(spark, d), config, "entity", [p for p, _, _ in _WEEKS], _soil(spark, d)), "value")
+    return rounded(ft.engineer_all(named_periods(spark, d), config, "entity", [p for p, _, _ in _WEEKS], _soil(spark, d), _traits(spark, d)), "value")
+
+
+def _traits(spark, d):
+    """Curve parameters of every entity."""
+    c = F.col("c_nationkey").cast("double")
+    m = {"m1": F.lit(0.3), "m2": c + 1.0, "m3": c + 60.0, "m4": F.lit(8.0), "m5": c / 2 + 150.0, "m6": F.lit(11.0), "m7": F.lit(0.002)}
+    return t(spark, d, "customer").select(F.col("c_custkey").alias("entity"), *[v.alias(k) for k, v in m.items()])
+
+
+@query(f"WITH {_NAMED}, {_SOIL} SELECT n.entity, n.ord, n.feature, n.stat, {rs('value')}, {rs('soil_top_clay')}, soil_top_om FROM named n LEFT JOIN soil USING (entity)")
+def aggregates_with_static(spark, d):
+    """Period statistics with their entity's static attributes."""
+    joined = st.left_without_clashes(named_periods(spark, d).drop("period"), _soil(spark, d), "entity")
+    return rounded(joined.select("entity", "ord", "feature", "stat", "value", "soil_top_clay", "soil_top_om"), "value", "soil_top_clay")
+
+
+@query(f"WITH {_PEAKS} SELECT id, array_to_string(reasons, ';') AS anomaly_reason, o_custkey, o_orderstatus FROM flags JOIN orders ON o_orderkey = id WHERE len(reasons) > 0")
+def anomalies_with_static(spark, d):
+    """Anomalous peaks with the attributes of their entity."""
+    static = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", "o_orderstatus")
+    bad = _peaks(spark, d).where("peak_anomalous").select("id", F.array_join("anomaly_reasons", ";").alias("anomaly_reason"))
+    return st.with_target(bad, static, "id").select("id", "anomaly_reason", "o_custkey", "o_orderstatus")
 
 
 _MODES = [(m, i, w[0]) for m in (*pe.RELATIVE_MODES, *pe.DATE_MODES) for i, w in enumerate(pe.window_rows(m))]
@@ -828,10 +884,47 @@ def key_intersection(spark, d):
     return st.common_keys(t(spark, d, "customer").select(F.col("c_custkey").alias("key")), t(spark, d, "orders").select(F.col("o_custkey").alias("key")), "key")
 
 
-@query("SELECT event_type, count(*) AS n FROM (SELECT event_type FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_type FROM events WHERE event_id % 2 = 1) GROUP BY event_type")
+def _written(spark: SparkSession, tables_: dict[str, DataFrame]) -> str:
+    """A folder below the shared one with each table as CSV."""
+    folder = f"{shared_dir(spark)}/tidespan_csv_{uuid.uuid4().hex}"
+    for name, df in tables_.items():
+        tables.write_csv(df, f"{folder}/{name}")
+    return folder
+
+
+@query(
+    """SELECT CAST(user_id AS VARCHAR) AS field_key, CAST(ts AS DATE) AS date, CASE WHEN event_id % 2 = 0 THEN value END AS precip, CASE WHEN event_id % 7 > 0 THEN value / 10 END AS t2m_mean FROM events"""
+)
 def union_files(spark, d):
+    """Daily files of two headers, one of them without a column and with values that aren't finite, as one table."""
     e = t(spark, d, "events")
-    return e.where("event_id % 2 = 0").unionByName(e.where("event_id % 2 = 1")).groupBy("event_type").agg(F.count("*").alias("n"))
+    key, day = F.col("user_id").cast("string").alias("field_key"), F.to_date("ts").alias("date")
+    mean = F.when(F.col("event_id") % 7 > 0, F.col("value") / 10).otherwise(F.lit(float("nan"))).alias("t2m_mean")
+    folder = _written(spark, {"a_daily_meteo_1.csv": e.where("event_id % 2 = 0").select(key, day, F.col("value").alias("precip"), mean), "b_daily_meteo_2.csv": e.where("event_id % 2 = 1").select(day, mean, key)})
+    return tables.read_weather(spark, folder).select("field_key", "date", "precip", "t2m_mean")
+
+
+@query("SELECT c_custkey AS field_key, c_acctbal AS soil_top_clay, c_mktsegment AS county, CAST(c_nationkey AS DOUBLE) AS protein_pct FROM customer WHERE c_custkey % 5 > 0")
+def static_csv(spark, d):
+    """Static attributes and target of one file: wanted columns once, absent ones skipped, null targets dropped."""
+    c = t(spark, d, "customer")
+    target = F.when(F.col("c_custkey") % 5 > 0, F.col("c_nationkey")).alias("protein_pct")
+    folder = _written(spark, {"static.csv": c.select(F.col("c_custkey").alias("field_key"), F.col("c_acctbal").alias("soil_top_clay"), F.col("c_mktsegment").alias("county"), target, "c_name")})
+    static, y = tables.read_static(spark, f"{folder}/static.csv", ["soil_top_clay", "county", "soil_top_clay", "absent"])
+    return st.with_target(static, y, "field_key").select(F.col("field_key").cast("long").alias("field_key"), "soil_top_clay", "county", "protein_pct")
+
+
+@query("SELECT n_nationkey AS field_key, n_nationkey * 2.5 AS elevation, n_regionkey * 1.0 AS slope, s_acctbal AS sample_elevation FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey")
+def terrain_csv(spark, d):
+    """Terrain file under its raw names, with the samples of each field."""
+    n, s = t(spark, d, "nation"), t(spark, d, "supplier")
+    key = F.col("n_nationkey").alias("field_key")
+    folder = _written(
+        spark,
+        {"terrain.csv": n.select(key, (key * 2.5).alias("elev_mean"), (F.col("n_regionkey") * 1.0).alias("slope_mean"), F.col("n_name").alias("junk")), "samples.csv": s.select(F.col("s_nationkey").alias("field_key"), F.col("s_acctbal").alias("elevation"))},
+    )
+    got = tables.read_terrain(spark, f"{folder}/terrain.csv", f"{folder}/samples.csv")
+    return got.select(F.col("field_key").cast("int").alias("field_key"), "elevation", "slope", "sample_elevation")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
@@ -1175,57 +1268,81 @@ def feature_stability(spark, d):
 
 
 # ------------------------------------------------------------------ sweeps
-_MONTHS = pe.window_rows("calendar_monthly")
-_RUNS = f"""m(ord, period) AS (VALUES {", ".join(f"({i}, '{p}')" for i, (p, _, _) in enumerate(_MONTHS))}),
-    runs AS (SELECT a.ord AS start_ord, a.period AS start_period, b.ord AS end_ord, b.period AS end_period, CAST(b.ord - a.ord + 1 AS INTEGER) AS n_periods FROM m a JOIN m b ON a.ord <= b.ord),
-    results AS (SELECT runs.*, model, ((start_ord * 7 + end_ord * 3 + k * 5) % 11) / 10.0 AS value FROM runs, (VALUES ('ElasticNet', 0), ('RandomForest', 1), ('XGBoost', 2)) x(model, k))"""
+_PERIOD_NAMES = [p for p, _, _ in _WEEKS]
+_RUNS = f"""{_EVENTS}, {_WEEK_W}, runs AS (SELECT a.ord AS start_ord, a.period AS start_period, b.ord AS end_ord, b.period AS end_period, CAST(b.ord - a.ord + 1 AS INTEGER) AS n_periods FROM w a JOIN w b ON a.ord <= b.ord),
+    results AS (SELECT runs.*, feature AS model, avg(value) AS value FROM runs JOIN w a ON a.ord = start_ord JOIN w b ON b.ord = end_ord JOIN events_d ON date BETWEEN a.lo AND b.hi GROUP BY ALL)"""
+
+
+def _run_windows(spark):
+    """Contiguous runs with their first and last day."""
+    w = weeks(spark)
+    first, last = w.select(F.col("ord").alias("start_ord"), "lo"), w.select(F.col("ord").alias("end_ord"), "hi")
+    return sw.runs(w.select("ord", "period")).join(F.broadcast(first), "start_ord").join(F.broadcast(last), "end_ord")
+
+
+def _results(spark, d):
+    """A value of every run and channel: the mean over the run's days, all runs in one pass over the events."""
+    runs = F.broadcast(_run_windows(spark))
+    hit = events(spark, d).join(runs, F.col("date").between(F.col("lo"), F.col("hi")))
+    return hit.groupBy("start_ord", "start_period", "end_ord", "end_period", "n_periods", F.col("feature").alias("model")).agg(F.avg("value").alias("value"))
+
+
+@query(f"WITH {_RUNS} SELECT start_period, end_period, n_periods, model, {rs('value', n=6)} FROM results")
+def sweep_run(spark, d):
+    """The resumable sweep itself: half of the runs are done, then the rest."""
+    path = f"{shared_dir(spark)}/tidespan_sweep_{uuid.uuid4().hex}"
+    rows = events(spark, d)
 
+    def one(run: dict) -> DataFrame:
+        inside = rows.where(F.col("date").between(F.lit(run["lo"]), F.lit(run["hi"])))
+        return inside.groupBy(F.col("feature").alias("model")).agg(F.avg("value").alias("value")).withColumn("n_periods", F.lit(run["n_periods"]))
 
-def _results(spark):
-    runs = sw.runs(spark.createDataFrame([(i, p) for i, (p, _, _) in enumerate(_MONTHS)], "ord int, period string"))
-    models = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(k).alias("k")) for k, m in enumerate(("ElasticNet", "RandomForest", "XGBoost"))])
-    return runs.select("*", F.inline(models)).withColumn("value", ((F.col("start_ord") * 7 + F.col("end_ord") * 3 + F.col("k") * 5) % 11) / 10.0).drop("k")
+    todo = _run_windows(spark)
+    sw.sweep(todo.where("n_periods <= 2"), path, one)
+    return rounded(sw.sweep(todo, path, one).select("start_period", "end_period", "n_periods", "model", "value"), "value", n=6)
 
 
 @query(f"WITH {_RUNS} SELECT * FROM runs")
 def contiguous_runs(spark, d):
-    return sw.runs(spark.createDataFrame([(i, p) for i, (p, _, _) in enumerate(_MONTHS)], "ord int, period string")).select("start_ord", "start_period", "end_ord", "end_period", "n_periods")
+    return sw.runs(weeks(spark).select("ord", "period")).select("start_ord", "start_period", "end_ord", "end_period", "n_periods")
 
 
-@query(f"WITH {_RUNS} SELECT start_period, {', '.join(rs(f'''avg(CASE WHEN end_period = '{p}' THEN value END)''', f'{p}', 6) for p, _, _ in _MONTHS)} FROM results GROUP BY start_period")
+@query(f"WITH {_RUNS} SELECT start_period, {', '.join(rs(f'''avg(CASE WHEN end_period = '{p}' THEN value END)''', f'{p}', 6) for p in _PERIOD_NAMES)} FROM results GROUP BY start_period")
 def sweep_pivot(spark, d):
-    return rounded(sw.pivoted(_results(spark), [p for p, _, _ in _MONTHS], "value"), *[p for p, _, _ in _MONTHS], n=6)
+    return rounded(sw.pivoted(_results(spark, d), _PERIOD_NAMES, "value"), *_PERIOD_NAMES, n=6)
 
 
 @query(
     f"""WITH {_RUNS}, n AS (SELECT *, row_number() OVER (PARTITION BY start_period, end_period ORDER BY value DESC, model) AS k FROM results)
-    SELECT start_period, end_period, model AS best_model, value AS best_value FROM n WHERE k = 1"""
+    SELECT start_period, end_period, model AS best_model, {rs("value", "best_value", 6)} FROM n WHERE k = 1"""
 )
 def best_per_run(spark, d):
-    return sw.best_per_run(_results(spark))
+    return rounded(sw.best_per_run(_results(spark, d)), "best_value", n=6)
 
 
 @query(f"WITH {_RUNS} SELECT n_periods, {rs('avg(value)', 'mean', 6)}, {rs('stddev_pop(value)', 'std', 6)} FROM results GROUP BY n_periods")
 def sweep_by_length(spark, d):
-    return rounded(sw.by_length(_results(spark)), "mean", "std", n=6)
+    return rounded(sw.by_length(_results(spark, d)), "mean", "std", n=6)
 
 
 @query(f"WITH {_RUNS} SELECT start_period, {rs('avg(value)', 'mean', 6)} FROM results GROUP BY start_period")
 def sweep_by_start(spark, d):
-    return rounded(sw.by_start(_results(spark)), "mean", n=6)
+    return rounded(sw.by_start(_results(spark, d)), "mean", n=6)
 
 
 # ------------------------------------------------------------------ models
 @query()
 def nested_cv_small(spark, d):
-    models = {"ElasticNet": mo.candidates("ElasticNet", {"alpha": [0.01, 0.1], "l1_ratio": [0.25, 0.75]}), "RandomForest": [{"n_estimators": 10, "max_depth": 5}]}
-    return mo.score(mo.nested_cv(vectors(spark, d), models, outer=3, inner=3, repeats=1, stacking=True))
+    models = {"ElasticNet": mo.candidates("ElasticNet", {"alpha": [0.01, 0.1], "l1_ratio": [0.25, 0.75]}), "RandomForest": [{"n_estimators": 10, "max_depth": 5}, {"n_estimators": 10, "max_depth": 3}]}
+    return mo.score(mo.nested_cv(vectors(spark, d), models, outer=3, inner=2, repeats=2))
 
 
 @query()
 def stacking_small(spark, d):
-    models = {"ElasticNet": [{"alpha": 0.05, "l1_ratio": 0.5}], "Ridge": [{"alpha": 1.0}]}
-    return mo.nested_cv(vectors(spark, d), models, outer=5, inner=3, repeats=1, stacking=True).where("model = 'Stacking'")
+    """The stack of a forest and boosted trees (smaller ones than the defaults)."""
+    bases = {"RandomForest": {"n_estimators": 20, "max_depth": 5}, "LightGBM": {"n_estimators": 10, "max_depth": 3, "learning_rate": 0.1, "subsample": 1.0}}
+    models = {"Ridge": [{"alpha": 1.0}]}
+    return mo.nested_cv(vectors(spark, d), models, outer=3, inner=3, repeats=1, stacking=True, stack={"bases": bases, "splits": 3}).where("model = 'Stacking'")
 
 
 @query(f"WITH {_EVENTS} SELECT feature, {rs('coalesce(corr(value, dayofmonth(date)), 0)', 'r', 6)} FROM events_d GROUP BY feature")

@@ -1,8 +1,9 @@
-"""What Python workers need from the session."""
+"""What workers need from the session: the package, and a folder that all of them share."""
 
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -18,3 +19,16 @@ def importable(spark: SparkSession) -> None:
     have = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in have:
         env["PYTHONPATH"] = os.pathsep.join([root, *have])
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir.  Where that is unset, a temporary one, in local mode only: executors on
+    other machines couldn't read it."""
+    sc = spark.sparkContext
+    where = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidespan-"))
+        where = sc.getCheckpointDir()
+    return where.rstrip("/")

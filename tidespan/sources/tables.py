@@ -37,25 +37,48 @@ SPECTRAL_SCHEMA = daily_schema([*INDEX_NAMES, *BANDS])
 WEATHER_SCHEMA = daily_schema(WEATHER)
 
 
-def _found(spark: SparkSession, path: str) -> list[str]:
-    """Files that a path or pattern stands for, by Spark's own file systems."""
+def _found(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(file, its first line) of all files that a path or pattern stands for (those inside, for a folder), by Spark's own
+    file systems."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    got = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
-    return sorted(s.getPath().toString() for s in (got or []))
+    system = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    todo, files = list(system.globStatus(p) or []), []
+    while todo:
+        s = todo.pop()
+        if s.isDirectory():
+            todo += [x for x in system.listStatus(s.getPath()) if not x.getPath().getName().startswith(("_", "."))]
+        else:
+            files.append(s.getPath())
+    out = []
+    for f in files:
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(system.open(f), "UTF-8"))
+        try:
+            out.append((f.toString(), reader.readLine() or ""))
+        finally:
+            reader.close()
+    return sorted(out)
 
 
 def read_daily_csv(spark: SparkSession, pattern: str, schema: T.StructType) -> DataFrame:
     """All files of a pattern as one table: columns by header name, those a file lacks are null, values that aren't
-    finite are null.  No file is an error."""
+    finite are null.  No file is an error.
+
+    Files may order their columns differently; those of one header are one scan, however many they are."""
     files = _found(spark, pattern)
     if not files:
         raise FileNotFoundError(pattern)
-    # by name: files may order their columns differently, so each header is matched on its own
+    headers: dict[str, list[str]] = {}
+    for name, header in files:
+        headers.setdefault(header, []).append(name)
     raw = None
-    for f in files:
-        part = spark.read.option("header", True).csv(f)
-        part = part.select(*[(F.col(f"`{c.name}`") if c.name in part.columns else F.lit(None)).cast(c.dataType).alias(c.name) for c in schema.fields])
+    for header, names in headers.items():
+        columns = [c.strip().strip('"') for c in header.lstrip("\ufeff").split(",")]
+        if len(set(columns)) < len(columns):
+            raise ValueError(f"columns of the same name in {names[0]}")
+        text = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+        part = spark.read.option("header", True).schema(text).csv(names)
+        part = part.select(*[(F.col(f"`{c.name}`") if c.name in columns else F.lit(None)).cast(c.dataType).alias(c.name) for c in schema.fields])
         raw = part if raw is None else raw.unionByName(part)
     return finite_columns(raw)
 
