@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidespan.functions import agronomy, scalars
-from tidespan.operators import features, metrics, modeling, periods, screening, statics, sweep
+from tidespan.operators import features, metrics, modeling, peaks, periods, screening, statics, sweep
 from tidespan.sources import rasters, tables
 
 
@@ -102,7 +102,7 @@ def test_moments_and_selection(spark):
     assert set(np.argsort(-vip)[:2]) == {0, 1}
     mi = {r["idx"]: r["mi"] for r in screening.mutual_informations(df).collect()}
     assert mi[0] > mi[3] and mi[5] == 0.0
-    oof = modeling.nested_cv(df, {"ElasticNet": [{"alpha": 0.001, "l1_ratio": 0.5}], "Ridge": [{"alpha": 0.1}]}, outer=4, inner=3, repeats=1, stacking=True, stack={"bases": {"RandomForest": {"n_estimators": 15, "max_depth": 5}, "LightGBM": {"n_estimators": 10, "max_depth": 4, "learning_rate": 0.2, "subsample": 1.0}}, "splits": 2})
+    oof = modeling.nested_cv(df, {"ElasticNet": [{"alpha": 0.001, "l1_ratio": 0.5}], "Ridge": [{"alpha": 0.1}]}, outer=2, inner=3, repeats=1, stacking=True, stack={"bases": {"RandomForest": {"n_estimators": 15, "max_depth": 5}, "LightGBM": {"n_estimators": 10, "max_depth": 4, "learning_rate": 0.2, "subsample": 1.0}}, "splits": 2})
     r2 = {r["model"]: r["value"] for r in modeling.score(oof).where("metric = 'R2' and fold = 0").collect()}
     assert set(r2) == {"ElasticNet", "Ridge", "Ensemble", "Stacking"} and r2["Stacking"] > 0.7 and min(v for m, v in r2.items() if m != "Stacking") > 0.95
 
@@ -137,6 +137,76 @@ def test_moments_of_many_parts(spark):
     assert screening.moments(feature_table(spark, x, y).limit(0))[0] == 0
 
 
+@pytest.mark.parametrize("gathered", [10, 10**6])
+def test_exact_quantiles(spark, gathered, monkeypatch):
+    """Narrowed by histograms and gathered, both equal NumPy's; groups with ties, one value, none."""
+    from tidespan.functions import quantiles as qs
+
+    monkeypatch.setattr(qs, "SORTED", 20)
+    rng = np.random.default_rng(3)
+    groups = {0: rng.normal(size=900), 1: rng.integers(0, 3, 500).astype(float), 2: np.array([7.0]), 3: np.array([]), 4: np.full(300, 2.5), 5: rng.exponential(size=801) ** 4}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [(3, None), (0, None)]
+    df = spark.createDataFrame(rows, "g int, v double").repartition(3)
+    shares = [0.0, 0.15, 0.5, 0.9, 1.0]
+    got = {r["g"]: r for r in qs.quantiles(df, ["g"], "v", shares, gathered).collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        for i, p in enumerate(shares):
+            assert got[g][f"q{i}"] is None if not len(vs) else math.isclose(got[g][f"q{i}"], np.quantile(vs, p), rel_tol=1e-12, abs_tol=1e-12)
+    whole = qs.quantiles(df, [], "v", [0.5], gathered).first()["q0"]
+    assert math.isclose(whole, np.quantile(np.concatenate(list(groups.values())), 0.5))
+
+
+def test_neighbour_distances_against_brute_force():
+    rng = np.random.default_rng(4)
+    for n, k in ((5, 3), (40, 3), (700, 3), (700, 1)):
+        for x, y in ((rng.normal(size=n), rng.normal(size=n)), (rng.normal(size=n), rng.integers(0, 3, n) + 1e-9 * rng.normal(size=n)), (np.round(rng.normal(size=n), 1), rng.normal(size=n))):
+            d = np.maximum(np.abs(x[:, None] - x), np.abs(y[:, None] - y))
+            assert np.allclose(screening.kth_radius(x, y, k), np.sort(d, axis=1)[:, k], rtol=0, atol=0)
+
+
+def nipals(x, y, components):
+    """Plain NIPALS on rows: coefficients by number of components, and VIP."""
+    e, f = x - x.mean(axis=0), y - y.mean()
+    w_, p_, q_, t_ = [], [], [], []
+    for _ in range(components):
+        w = e.T @ f / np.linalg.norm(e.T @ f)
+        t = e @ w
+        p, q = e.T @ t / (t @ t), f @ t / (t @ t)
+        e, f = e - np.outer(t, p), f - q * t
+        w_.append(w), p_.append(p), q_.append(q), t_.append(t @ t)
+    w, p, q, tt = (np.array(v) for v in (w_, p_, q_, t_))
+    coefficients = [w[:c].T @ np.linalg.solve(p[:c] @ w[:c].T, q[:c]) for c in range(1, components + 1)]
+    ss = tt * q**2
+    return coefficients, np.sqrt(x.shape[1] * (w.T**2 @ ss) / ss.sum())
+
+
+def test_projection_importances_against_rows(spark):
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(90, 6)) * [1, 5, 2, 1, 3, 1] + 10
+    y = x[:, 0] - x[:, 1] + 0.5 * rng.normal(size=90)
+    df = feature_table(spark, x, y)
+    chosen, vip, best = screening.pls_vip(df, most=4, folds=3, threshold=1.0, fallback=1)
+    fold = {r["id"]: r["_fold"] for r in screening.with_fold(df, 3).collect()}
+    fold = np.array([fold[i] for i in range(90)])
+    errors = np.zeros((3, 4))
+    for f in range(3):
+        tr, va = screening.scaled(x[fold != f], x[fold == f])
+        b, _ = nipals(tr, y[fold != f], 4)
+        errors[f] = [np.sqrt(((y[fold == f] - y[fold != f].mean() - (va - tr.mean(axis=0)) @ c) ** 2).mean()) for c in b]
+    assert best == int(np.argmin(errors.mean(axis=0))) + 1
+    want = nipals(screening.scaled(x)[0], y, best)[1]
+    assert np.allclose(vip, want) and chosen == [i for i in np.argsort(-want) if want[i] >= 1.0]
+
+
+def test_empty_fit_window_is_an_error(spark):
+    df = spark.createDataFrame([(1, dt.date(2025, 1, 1), 1.0)], "entity int, date date, value double")
+    with pytest.raises(ValueError, match="no rows"):
+        peaks.fit_window(df, "2024-01-01", "2024-02-01")
+    flagged = df.withColumn("peak_anomalous", F.lit(True))
+    assert peaks.without_anomalies(flagged).count() == 0 and peaks.without_anomalies(flagged, exclude=False).count() == 1
+
+
 def test_ridge_by_leave_one_out(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(40, 2))

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import quantiles
 from .metrics import agreement, ensemble, melted
 from .screening import group_folds, imputed, matrix, rmse, scaled, select_features, unsupervised_prescreen
 
@@ -87,8 +88,8 @@ def fit_closed(model: str, params: dict, x: np.ndarray, y: np.ndarray) -> tuple[
 
 def quantile_edges(df: DataFrame, column: str, bins: int) -> list[float]:
     """Distinct exact quantile edges."""
-    got = df.agg(F.percentile(column, F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias("e")).first()["e"] or []
-    return sorted(set(got))
+    got = quantiles(df, [], column, [i / bins for i in range(bins + 1)]).first()
+    return sorted({e for e in (got or ()) if e is not None})
 
 
 def quantile_bin(edges: list[float], column: Column | str) -> Column:

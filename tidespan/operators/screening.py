@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import quantiles
+
 MATRIX_BYTES = 256 << 20
 #: Parts of cross products that one task merges.
 FAN_IN = 16
@@ -32,7 +34,7 @@ def exploded(df: DataFrame, features: str = "features") -> DataFrame:
 
 def medians(df: DataFrame) -> DataFrame:
     """idx, median (exact) of each feature; null if it has no value."""
-    return exploded(df).groupBy("idx").agg(F.percentile("value", F.lit(0.5)).alias("median"))
+    return quantiles(exploded(df), ["idx"], "value", [0.5]).select("idx", F.col("q0").alias("median"))
 
 
 def imputed(df: DataFrame, fill: dict[int, float | None] | None = None) -> tuple[DataFrame, list[int]]:
@@ -83,7 +85,7 @@ def moments(df: DataFrame, target: str | None = "y") -> tuple[float, np.ndarray,
     parts = parts.mapInArrow(each, schema)
     while width > 1:
         width = -(-width // FAN_IN)
-        parts = parts.coalesce(width).mapInArrow(both, schema) if width > 1 else parts.repartition(1).mapInArrow(both, schema)
+        parts = parts.repartition(width).mapInArrow(both, schema)  # not coalesce: the reading tasks stay as they are
     r = parts.first()
     if r is None:
         return 0, np.zeros(0), np.zeros((0, 0))
@@ -169,6 +171,33 @@ def digamma(x: np.ndarray) -> np.ndarray:
     return out + np.log(x) - 0.5 / x - inv * (1 / 12 - inv * (1 / 120 - inv / 252))
 
 
+def kth_radius(x: np.ndarray, y: np.ndarray, k: int, block: int = 2048) -> np.ndarray:
+    """Distance of every point to its k-th neighbour, the greater of both coordinates' distances counting.
+
+    Points are taken in order of x.  Neighbours are looked for within `reach` places on either side; a point is done
+    when all points beyond these are further off in x alone than what was found, the others look twice as far."""
+    n = len(x)
+    order = np.argsort(x, kind="stable")
+    xs, ys = x[order], y[order]
+    out, todo, reach = np.empty(n), np.arange(n), max(32, 2 * k)
+    while len(todo):
+        left = []
+        for lo in range(0, len(todo), block):
+            at = todo[lo : lo + block]
+            near = at[:, None] + np.arange(-reach, reach + 1)
+            inside = (near >= 0) & (near < n)
+            near = np.clip(near, 0, n - 1)
+            d = np.where(inside, np.maximum(np.abs(xs[near] - xs[at, None]), np.abs(ys[near] - ys[at, None])), np.inf)
+            r = np.partition(d, k, axis=1)[:, k]
+            edge = np.minimum(np.where(at - reach > 0, xs[at] - xs[np.maximum(at - reach, 0)], np.inf), np.where(at + reach < n - 1, xs[np.minimum(at + reach, n - 1)] - xs[at], np.inf))
+            out[at] = r
+            left.append(at[r > edge])
+        todo, reach, block = np.concatenate(left), 2 * reach, max(1, block // 2)
+    back = np.empty(n)
+    back[order] = out
+    return back
+
+
 def mutual_information(x: np.ndarray, y: np.ndarray, k: int = 3, seed: int = 0) -> float:
     """Nearest-neighbour estimate (Kraskov, first kind) of two continuous variables, not below 0."""
     n = len(x)
@@ -176,28 +205,25 @@ def mutual_information(x: np.ndarray, y: np.ndarray, k: int = 3, seed: int = 0)
         return 0.0
     rng = np.random.default_rng(seed)
     x, y = (v / v.std() + 1e-10 * max(1.0, np.abs(v / v.std()).mean()) * rng.standard_normal(n) for v in (x, y))
-    radius = np.empty(n)
-    for lo in range(0, n, 512):
-        d = np.maximum(np.abs(x[lo : lo + 512, None] - x), np.abs(y[lo : lo + 512, None] - y))
-        radius[lo : lo + 512] = np.partition(d, k, axis=1)[:, k]
-    radius = np.nextafter(radius, 0)
+    radius = np.nextafter(kth_radius(x, y, k), 0)
     near = lambda v: np.searchsorted(np.sort(v), v + radius, "right") - np.searchsorted(np.sort(v), v - radius, "left")
     est = digamma(np.array([n]))[0] + digamma(np.array([k]))[0] - digamma(near(x)).mean() - digamma(near(y)).mean()
     return max(0.0, float(est))
 
 
 def mutual_informations(df: DataFrame, k: int = 3) -> DataFrame:
-    """idx, mi of every feature with the target; bounded.  One task row per feature, estimated in parallel."""
-    _, x, y = matrix(df)
-    spark = df.sparkSession
-    data = spark.sparkContext.broadcast((x, y))
+    """idx, mi of every feature with the target.  Each feature is estimated by a task of its own, from its column and
+    the target's alone; one of over MATRIX_BYTES is refused (16 million rows)."""
+    n = df.count()
+    if n * 16 > MATRIX_BYTES:
+        raise ValueError(f"{n} rows are over the bound of {MATRIX_BYTES} bytes for a feature")
+    cells = df.where("y is not null").select("id", F.col("y").cast("double").alias("y"), F.posexplode("features").alias("idx", "x")).select("id", "y", "idx", F.col("x").cast("double").alias("x"))
 
-    def run(batches):
-        for b in batches:
-            xs, ys = data.value
-            yield pd.DataFrame({"idx": b["idx"], "mi": [mutual_information(xs[:, i], ys, k) for i in b["idx"]]})
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("id", kind="stable")
+        return pd.DataFrame({"idx": [part["idx"].iloc[0]], "mi": [mutual_information(part["x"].to_numpy(), part["y"].to_numpy(), k)]})
 
-    return spark.range(x.shape[1]).select(F.col("id").cast("int").alias("idx")).repartition(8).mapInPandas(run, "idx int, mi double")
+    return cells.groupBy("idx").applyInPandas(one, "idx int, mi double")
 
 
 def prescreen(df: DataFrame, corr_percentile: float = 85, mi_percentile: float = 80, above: float = 0.9, k: int = 3) -> list[int]:
@@ -244,41 +270,70 @@ def group_folds(n: int, k: int, groups: np.ndarray | None = None, seed: int = 42
 
 
 class Pls:
-    """Partial least squares for one target (NIPALS), inputs centred."""
+    """Partial least squares for one target from cross products: the deflation of NIPALS, applied to these instead of
+    to the rows.  xx, xy: centred sums of products of the inputs, and with the target."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, components: int):
-        self.mx, self.my = x.mean(axis=0), y.mean()
-        e, f = x - self.mx, y - self.my
+    def __init__(self, xx: np.ndarray, xy: np.ndarray, components: int):
+        self.size = len(xy)
+        xx, xy = xx.copy(), xy.copy()
         w_, p_, q_, t_ = [], [], [], []
         for _ in range(components):
-            w = e.T @ f
-            norm = np.linalg.norm(w)
+            norm = np.linalg.norm(xy)
             if norm < 1e-12:
                 break
-            w /= norm
-            t = e @ w
-            tt = t @ t
-            p, q = e.T @ t / tt, f @ t / tt
-            e, f = e - np.outer(t, p), f - q * t
-            w_.append(w), p_.append(p), q_.append(q), t_.append(t)
-        self.w, self.p, self.q, self.t = (np.array(v) for v in (w_, p_, q_, t_))
+            w = xy / norm
+            tt = w @ xx @ w
+            if tt <= 1e-12:
+                break
+            p, q = xx @ w / tt, xy @ w / tt
+            xx -= tt * np.outer(p, p)
+            xy -= tt * q * p
+            w_.append(w), p_.append(p), q_.append(q), t_.append(tt)
+        self.w, self.p, self.q, self.tt = (np.array(v) for v in (w_, p_, q_, t_))
 
     def coefficients(self, components: int) -> np.ndarray:
         c = min(components, len(self.w))
         if not c:
-            return np.zeros(len(self.mx))
+            return np.zeros(self.size)
         w, p, q = self.w[:c].T, self.p[:c].T, self.q[:c]
         return w @ np.linalg.solve(p.T @ w, q)
 
-    def predict(self, x: np.ndarray, components: int) -> np.ndarray:
-        return (x - self.mx) @ self.coefficients(components) + self.my
-
     def vip(self) -> np.ndarray:
         """Importance of each input in the projection; ones if nothing is explained."""
         if not len(self.w):
-            return np.ones(len(self.mx))
-        ss = (self.t**2).sum(axis=1) * self.q**2
-        return np.ones(len(self.mx)) if ss.sum() == 0 else np.sqrt(len(self.mx) * (self.w.T**2 @ ss) / ss.sum())
+            return np.ones(self.size)
+        ss = self.tt * self.q**2
+        return np.ones(self.size) if ss.sum() == 0 else np.sqrt(self.size * (self.w.T**2 @ ss) / ss.sum())
+
+
+def _standardised(part: tuple[float, np.ndarray, np.ndarray], cols: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(columns, deviations, cross products of standardised columns, the same with the target) from moments()."""
+    n, _, cov = part
+    cols = np.arange(len(cov) - 1) if cols is None else np.array(cols)
+    std = np.sqrt(np.clip(np.diag(cov)[cols], 0, None))
+    std[std == 0] = 1
+    return cols, std, n * cov[np.ix_(cols, cols)] / np.outer(std, std), n * cov[cols, -1] / std
+
+
+def held_out_error(train, held, cols: np.ndarray, w: np.ndarray) -> float:
+    """RMSE on the held-out part of a linear model (weights w of raw columns, through the training means)."""
+    _, mean, _ = train
+    _, mean_v, cov_v = held
+    off = (mean_v[-1] - mean[-1]) - w @ (mean_v[cols] - mean[cols])  # mean residual
+    var = cov_v[-1, -1] - 2 * w @ cov_v[cols, -1] + w @ cov_v[np.ix_(cols, cols)] @ w
+    return float(np.sqrt(max(off**2 + var, 0.0)))
+
+
+def fold_moments(df: DataFrame, folds: int, groups: str | None = None, seed: int = 42) -> list[tuple[tuple, tuple]]:
+    """(moments of the other folds, moments of the fold) of every fold that has samples on both sides."""
+    data = with_fold(df.where("y is not null"), folds, groups, seed)
+    parts = [moments(data.where(F.col("_fold") == f)) for f in range(folds)]
+    out = []
+    for f, held in enumerate(parts):
+        rest = [p for g, p in enumerate(parts) if g != f and p[0]]
+        if held[0] and rest:
+            out.append((_merged(rest), held))
+    return out
 
 
 def scaled(train: np.ndarray, *more: np.ndarray) -> list[np.ndarray]:
@@ -290,18 +345,17 @@ def scaled(train: np.ndarray, *more: np.ndarray) -> list[np.ndarray]:
 
 def pls_vip(df: DataFrame, most: int = 20, threshold: float = 1.8, folds: int = 5, fallback: int = 10, groups: str | None = None) -> tuple[list[int], np.ndarray, int]:
     """(selected, VIP of all features, components): components by cross-validated RMSE, features of VIP >= threshold
-    in falling order, the top `fallback` if there are fewer; bounded."""
-    _, x, y = matrix(df)
-    g = None if groups is None else np.array([r[0] for r in df.orderBy("id").select(groups).collect()])
-    fold = group_folds(len(y), folds, g)
-    most = min(most, x.shape[1], len(y) - 1)
-    errors = np.zeros((folds, most))
-    for k in range(folds):
-        tr, va = scaled(x[fold != k], x[fold == k])
-        model = Pls(tr, y[fold != k], most)
-        errors[k] = [np.sqrt(((y[fold == k] - model.predict(va, c)) ** 2).mean()) for c in range(1, most + 1)]
+    in falling order, the top `fallback` if there are fewer.  Only the cross products of each fold leave the tasks."""
+    sides = fold_moments(df, folds, groups)
+    whole = _merged([sides[0][0], sides[0][1]])
+    most = min(most, len(whole[1]) - 1, int(whole[0]) - 1)
+    errors = np.zeros((len(sides), most))
+    for k, (train, held) in enumerate(sides):
+        cols, std, xx, xy = _standardised(train)
+        model = Pls(xx, xy, most)
+        errors[k] = [held_out_error(train, held, cols, model.coefficients(c) / std) for c in range(1, most + 1)]
     best = int(np.argmin(errors.mean(axis=0))) + 1
-    vip = Pls(scaled(x)[0], y, best).vip()
+    vip = Pls(*_standardised(whole)[2:], best).vip()
     order = np.argsort(-vip, kind="stable")
     chosen = [int(i) for i in order if vip[i] >= threshold]
     return chosen if len(chosen) >= fallback else order[:fallback].tolist(), vip, best
@@ -497,17 +551,14 @@ def mrmr_grid(
     """
     n, mean, cov = moments(df)
     order = mrmr(n, cov, max(ks))
-    data = with_fold(df.where("y is not null"), folds, groups, seed)
     rows: list[tuple[int, float]] = []
     if model == "Ridge":
-        parts = [moments(data.where(F.col("_fold") == f)) for f in range(folds)]
-        for f, held in enumerate(parts):
-            rest = [p for g, p in enumerate(parts) if g != f and p[0]]
-            if held[0] and rest:
-                total = _merged(rest)
-                rows += [(k, _ridge_error(total, held, order[:k], ridge)) for k in ks]
+        for train, held in fold_moments(df, folds, groups, seed):
+            for k in ks:
+                cols, std, xx, xy = _standardised(train, order[:k])
+                rows.append((k, held_out_error(train, held, cols, np.linalg.solve(xx + ridge * np.eye(len(cols)), xy) / std)))
     else:
-        data = data.persist()
+        data = with_fold(df.where("y is not null"), folds, groups, seed).persist()
 
         def one(task: tuple[int, int]) -> tuple[int, float | None]:
             k, f = task
@@ -536,16 +587,3 @@ def _merged(parts: list[tuple[float, np.ndarray, np.ndarray]]) -> tuple[float, n
     for p in sums[1:]:
         total = _merge(total, p)
     return total[0], total[1], total[2] / total[0]
-
-
-def _ridge_error(train, held, cols: list[int], ridge: float) -> float:
-    """RMSE on the held-out part of a ridge on standardised features, from the moments (target last) of both."""
-    n, mean, cov = train
-    cols = np.array(cols)
-    std = np.sqrt(np.clip(np.diag(cov)[cols], 0, None))
-    std[std == 0] = 1
-    w = np.linalg.solve(n * cov[np.ix_(cols, cols)] / np.outer(std, std) + ridge * np.eye(len(cols)), n * cov[cols, -1] / std) / std
-    m, mean_v, cov_v = held
-    off = (mean_v[-1] - mean[-1]) - w @ (mean_v[cols] - mean[cols])  # mean residual
-    var = cov_v[-1, -1] - 2 * w @ cov_v[cols, -1] + w @ cov_v[np.ix_(cols, cols)] @ w
-    return float(np.sqrt(max(off**2 + var, 0.0)))

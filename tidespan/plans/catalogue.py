@@ -301,7 +301,24 @@ def peak_status(spark, d):
 
 @query(f"WITH {_PEAKS} SELECT id, {rs('peak_gcvi')} FROM flags WHERE len(reasons) = 0")
 def exclude_anomalous(spark, d):
-    return rounded(_peaks(spark, d).where("not peak_anomalous").select("id", "peak_gcvi"), "peak_gcvi")
+    return rounded(pk.without_anomalies(_peaks(spark, d)).select("id", "peak_gcvi"), "peak_gcvi")
+
+
+@query(f"WITH {_PEAKS} SELECT id, peak_doy, {rs('peak_gcvi')}, {rs('fit_r2')}, CASE WHEN len(reasons) > 0 THEN 'anomalous' ELSE 'normal' END AS status, array_to_string(reasons, ';') AS reason FROM flags")
+def peak_scatter(spark, d):
+    return rounded(pk.plot_points(_peaks(spark, d), "id"), "peak_gcvi", "fit_r2")
+
+
+@query("SELECT user_id AS entity, count(*) AS n FROM events GROUP BY user_id")
+def rows_per_entity(spark, d):
+    return events(spark, d).groupBy("entity").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT s_nationkey, {rs('avg(s_acctbal)', 'elevation')} FROM supplier GROUP BY s_nationkey")
+def sample_terrain(spark, d):
+    """The mean over a field's samples, the field's elevation."""
+    got = rasters.terrain_statistics(t(spark, d, "supplier").select("s_nationkey", F.col("s_acctbal").alias("elev")), "s_nationkey", ["elev"])
+    return rounded(got.select("s_nationkey", F.col("elev_mean").alias("elevation")), "elevation")
 
 
 @query(f"WITH {_PEAKS} SELECT CAST(least(floor((peak_doy - 1.0) / ((366.0 - 1.0) / 30)) + 1, 30) AS INTEGER) AS bin, count(*) AS n FROM flags WHERE peak_doy BETWEEN 1 AND 366 GROUP BY 1")
@@ -338,7 +355,7 @@ def relative_day(spark, d):
 
 @query("SELECT CAST(ts AS DATE) AS date, count(*) AS n FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' GROUP BY 1")
 def fit_window_filter(spark, d):
-    return events(spark, d).where(F.col("date").between("2024-01-05", "2024-01-20")).groupBy("date").agg(F.count("*").alias("n"))
+    return pk.fit_window(events(spark, d), "2024-01-05", "2024-01-20").groupBy("date").agg(F.count("*").alias("n"))
 
 
 def _register_windows() -> None:
