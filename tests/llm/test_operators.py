@@ -570,6 +570,17 @@ def test_quality_ablations(documents):
         assert got[name]["n_docs"] == len(bits)
 
 
+def test_policies_read_the_ledger_alone(documents, texts):
+    """A policy's verdict follows from the stored bits, and a policy of fewer rules keeps no fewer documents."""
+    book = quality.ledger(documents).select("doc_id", "n_words", "fail_bits").cache()
+    kept = {p: {r["doc_id"] for r in quality.apply_policy(book, p).where("kept").collect()} for p in quality.POLICIES}
+    bits = {r["doc_id"]: r["fail_bits"] for r in book.collect()}
+    for p, ids in kept.items():
+        assert ids == {d for d, b in bits.items() if not b & quality.mask(p)}
+    assert kept["v1"] <= kept["v2"] <= kept["base"] and kept["v1"] < kept["base"]
+    assert {r["rule"] for r in quality.ablations(book, "v2").collect()} == set(quality.POLICIES["v2"])
+
+
 def test_quality_is_native(documents):
     plan = quality.ledger(documents)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan

@@ -30,7 +30,8 @@ RULES: list[tuple[str, Column | str]] = [
 #: Versioned policies: the names of the rules that reject a document.
 POLICIES: dict[str, tuple[str, ...]] = {
     "base": ("few_words", "repeated_windows"),
-    "v1": tuple(name for name, _ in RULES),
+    "v1": ("few_words", "repeated_windows", "symbols", "word_length", "duplicate_lines", "capitals", "exclamations"),
+    "v2": ("few_words", "repeated_windows", "symbols", "word_length", "duplicate_lines"),  # tolerates emphasis
 }
 
 

@@ -7,6 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import contamination, importance, language, licenses, near_dups, oracles, packing, phrases, quality, secrets, tokens
+from .common import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,7 +27,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.summarize(secrets.find(table(spark, sf_dir, "documents")), shared_owners=3)
+    return secrets.summarize(secrets.find(spread(table(spark, sf_dir, "documents"))), shared_owners=3)
 
 
 def op5_language_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def op5_language_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")), "v1")
+    book = quality.apply_policy(quality.ledger(spread(table(spark, sf_dir, "documents"))), "v1")
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
@@ -49,7 +50,7 @@ def op8_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_containment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.8, k=5)
+    return contamination.find_contaminated(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), threshold=0.8, k=5)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
