@@ -9,15 +9,16 @@ What is still too large after the deepest level is dealt into blocks that also h
 all its blocks: that joins most of a mass of near copies.  What that leaves apart is then compared with everything in
 the node, block by block, so no pair of a node is lost to its size.
 
-The work has two rounds.  The first takes one tree and finds most links; the second takes the other trees and what was
-left of large nodes, and looks only at documents that are not in one component yet.  A comparison first looks at one
-bit of each coordinate, then at the full sets of what is likely to be similar.  A block gives the links that span its
-components; pairs within a component are neither compared nor written out.
+A comparison first looks at one bit of each coordinate, then at the full sets of what is likely to be similar.  Most
+documents with a likely partner have the same ones in every tree: of blocks that come down to the same documents only
+one is compared, so a set seldom moves more than once.  A block gives the links that span its components; pairs within
+a component are neither compared nor written out.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -61,14 +62,14 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return (least & np.uint32(0xFFFF)).astype("<u2")  # the upper bits of a least value are nearly all 0
 
 
-def paths(sigs: np.ndarray, trees: int, depth: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, tree, node numbers by level) of every way that the sketched documents take down the trees.
+def paths(sigs: np.ndarray, trees: int, depth: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(document, node numbers by level) of every way that the sketched documents take down the trees.
 
     At each node the path itself chooses the coordinates: one, and a second one so often that 1 / similarity are
     chosen on average, which keeps the expected number of shared nodes of a pair at that similarity at one."""
     second = np.uint64(int((1 / similarity - 1) * 2**32))
     n = len(sigs)
-    doc, tree = np.tile(np.arange(n), trees), np.repeat(np.arange(trees), n)
+    doc = np.tile(np.arange(n), trees)
     at = np.repeat(mix(np.arange(1, trees + 1, dtype=np.uint64)), n)
     levels: list[np.ndarray] = []
     for level in range(depth):
@@ -79,11 +80,11 @@ def paths(sigs: np.ndarray, trees: int, depth: int, similarity: float) -> tuple[
         both = np.flatnonzero((r1 >> np.uint64(32)) < second)
         pick = np.r_[np.arange(len(doc)), both]
         c = np.r_[c1, c2[both]]
-        doc, tree = doc[pick], tree[pick]
+        doc = doc[pick]
         node = mix(at[pick] ^ (c.astype(np.uint64) << np.uint64(33)) ^ (sigs[doc, c].astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)))
         levels = [x[pick] for x in levels] + [node]
         at = node
-    return doc, tree, np.stack(levels, axis=1)
+    return doc, np.stack(levels, axis=1)
 
 
 def sketched(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
@@ -111,18 +112,18 @@ def sketched(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
 
 
 def nodes(reps: DataFrame, trees: int, depth: int, similarity: float) -> DataFrame:
-    """rid, n (shingles), tree and path (node numbers by level) for every way down every tree."""
+    """rid, n (shingles) and path (node numbers by level) for every way down every tree."""
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 2048):
                 part = batch.slice(lo, 2048)
                 sig = np.frombuffer(b"".join(part.column(2).to_pylist()), "<u2").reshape(-1, COORDINATES)
-                doc, tree, way = paths(sig, trees, depth, similarity)
+                doc, way = paths(sig, trees, depth, similarity)
                 own = [part.column(i).take(pa.array(doc)) for i in range(2)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(tree), *[pa.array(way[:, i].view(np.int64)) for i in range(depth)]], ["rid", "n", "tree", *[f"n{i}" for i in range(depth)]])
+                yield pa.RecordBatch.from_arrays([*own, *[pa.array(way[:, i].view(np.int64)) for i in range(depth)]], ["rid", "n", *[f"n{i}" for i in range(depth)]])
 
-    return map_arrow(reps.select("rid", "n", "sig"), run, "rid long, n long, tree long, " + ", ".join(f"n{i} long" for i in range(depth)))
+    return map_arrow(reps.select("rid", "n", "sig"), run, "rid long, n long, " + ", ".join(f"n{i} long" for i in range(depth)))
 
 
 def _pieces(size: Column, weight: Column, leaf: int, leaf_shingles: int) -> Column:
@@ -130,29 +131,31 @@ def _pieces(size: Column, weight: Column, leaf: int, leaf_shingles: int) -> Colu
 
 
 def grouped_nodes(ways: DataFrame, depth: int, leaf: int, leaf_shingles: int, pivots: int) -> tuple[DataFrame, DataFrame]:
-    """(node, block, rid, tree) to compare, and (node, rid, n) of the nodes that are too large at the deepest level.
-    Nodes of one document vanish; those of up to leaf documents and leaf_shingles shingles are a block; larger ones
-    branch on, and at the last level are dealt into blocks that all hold the node's pivots."""
-    out, going = None, ways
+    """(node, block, rid) to compare, and (node, rid, n) of the nodes that are too large at the deepest level; both
+    stored.  Nodes of one document vanish; those of up to leaf documents and leaf_shingles shingles are a block; larger
+    ones branch on, and at the last level are dealt into blocks that all hold the node's pivots."""
+    parts, temporary, going = [], [], ways
     fits = (F.col("size") <= leaf) & (F.col("weight") <= leaf_shingles) | (F.col("size") == 2)
     for level in range(depth):
-        members = going.select(F.col(f"n{level}").alias("node"), "rid", "n", "tree").distinct()
-        sizes = members.groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).where("size > 1")
-        sized = members.join(sizes, "node")
-        small = sized.where(fits).select("node", F.lit(0).cast("long").alias("block"), "rid", "tree")
-        out = small if out is None else out.unionByName(small)
+        members = going.select(F.col(f"n{level}").alias("node"), "rid", "n").distinct()
+        sizes = stored(members.groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).where("size > 1"), "node_sizes")
+        parts.append(members.join(sizes.where(fits), "node").select("node", F.lit(0).cast("long").alias("block"), "rid"))
         large = sizes.where(~fits)
+        temporary.append(sizes)
         if level + 1 < depth:
-            going = going.join(large.select(F.col("node").alias(f"n{level}")), f"n{level}", "left_semi")
+            going = stored(going.join(large.select(F.col("node").alias(f"n{level}")), f"n{level}", "left_semi"), "going_on")
+            temporary.append(going)
             continue
+        rest = stored(members.join(large, "node"), "large_members")
+        temporary.append(rest)
         blocks = _pieces(F.col("size"), F.col("weight"), leaf, leaf_shingles)
-        dealt = sized.where(~fits).select("node", F.pmod(F.xxhash64("node", "rid"), blocks).alias("block"), "rid", "tree")
-        rest = members.join(large, "node")
+        parts.append(rest.select("node", F.pmod(F.xxhash64("node", "rid"), blocks).alias("block"), "rid"))
         first = rest.groupBy("node").agg(*[F.min(F.xxhash64(F.lit(p), "rid", "node")).alias(f"h{p}") for p in range(pivots)])
         chosen = rest.join(first, "node").where(" or ".join(f"xxhash64({p}, rid, node) = h{p}" for p in range(pivots)))
-        chosen = chosen.select("node", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), "rid", "tree")
-        out = out.unionByName(dealt).unionByName(chosen)
-    return out.distinct(), rest.select("node", "rid", "n").distinct()
+        parts.append(chosen.select("node", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), "rid"))
+    out = stored(reduce(DataFrame.unionByName, parts).distinct(), "nodes"), stored(rest.select("node", "rid", "n"), "large_nodes")
+    discard(*temporary)
+    return out
 
 
 def left_apart(large: DataFrame, leaf: int, leaf_shingles: int) -> DataFrame:
@@ -217,8 +220,9 @@ def _bits(t: pa.Table) -> np.ndarray:
 
 
 def likely_members(blocks: DataFrame, least: float) -> DataFrame:
-    """(node, block, rid, comp, bits): the documents of blocks that have a likely partner of another component in
-    their block.  blocks: node, block, rid, comp (the rid itself where nothing is known), bits."""
+    """(node, block, rid, comp, bits, same): the documents of blocks that have a likely partner of another component in
+    their block; same is a hash of them all.  blocks: node, block, rid, comp (the rid itself where nothing is known),
+    bits."""
 
     def each(t: pa.Table) -> pa.Table | None:
         bits, comp = _bits(t), t.column("comp").to_numpy()
@@ -227,9 +231,14 @@ def likely_members(blocks: DataFrame, least: float) -> DataFrame:
         has = np.zeros(len(bits), bool)
         for lo in range(0, len(bits), 256):
             has[lo : lo + 256] = (similar_bits(bits[lo : lo + 256], bits, least) & (comp[lo : lo + 256, None] != comp)).any(axis=1)
-        return t.filter(pa.array(has)).select(["node", "block", "rid", "comp", "bits"]) if has.any() else None
+        if not has.any():
+            return None
+        t = t.filter(pa.array(has)).select(["node", "block", "rid", "comp", "bits"])
+        rid, comp = (t.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("rid", "comp"))
+        same = mix(mix(rid) + comp).sum().astype(np.uint64).view(np.int64)
+        return t.append_column("same", pa.array(np.full(len(t), same)))
 
-    return by_block(blocks, each, "node long, block long, rid long, comp long, bits binary")
+    return by_block(blocks, each, "node long, block long, rid long, comp long, bits binary, same long")
 
 
 def linked(members: DataFrame, percent: int, least: float) -> DataFrame:
@@ -305,7 +314,7 @@ def near_duplicates(
     k: int = 5,
     trees: int = 6,
     depth: int = 2,
-    leaf: int = 512,
+    leaf: int = 1024,
     leaf_shingles: int = 1 << 21,
     pivots: int = 4,
     errors: float = 4.0,
@@ -345,33 +354,32 @@ def near_duplicates(
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in bits], pa.binary())], ["rid", "bits"])
 
     ways = stored(nodes(reps, trees, depth, percent / 100), "ways")
-    first, rest = grouped_nodes(ways, depth, leaf, leaf_shingles, pivots)
-    members, large = stored(first, "nodes"), stored(rest, "large_nodes")
+    members, large = grouped_nodes(ways, depth, leaf, leaf_shingles, pivots)
+    discard(ways)
     bits = stored(map_arrow(reps.select("rid", "sig"), one_bit, "rid long, bits binary"), "bits")
     texts = docs.select(F.col(id_col).cast("long").alias("rid"), F.col(text_col).alias("text"))
 
     def compared(blocks: DataFrame, name: str) -> DataFrame:
         chosen = stored(likely_members(blocks.join(bits, "rid").select("node", "block", "rid", "comp", "bits"), least), f"likely{name}")
+        once = chosen.groupBy("same").agg(F.min(F.struct("node", "block")).alias("m")).select("m.*", "same")
         sets = full_sets(texts, chosen.select("rid").distinct(), k)
-        links = stored(linked(chosen.join(sets, "rid"), percent, least), f"links{name}")
+        links = stored(linked(chosen.join(once, ["node", "block", "same"], "left_semi").join(sets, "rid"), percent, least), f"links{name}")
         discard(chosen)
         return links
 
-    links = compared(members.where("tree = 0").withColumn("comp", F.col("rid")), "_first")
+    links = compared(members.withColumn("comp", F.col("rid")), "")
     comp = components(links)
-    have = comp.withColumnRenamed("id", "rid").withColumnRenamed("component", "comp")
-
-    def told(df: DataFrame) -> DataFrame:
-        return df.join(have, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
-
-    second = told(members.where("tree > 0").drop("tree"))
     if not large.isEmpty():
-        apart = left_apart(told(large), leaf, leaf_shingles)
-        second = second.unionByName(apart.withColumn("block", -1 - F.col("block")))  # block numbers of their own
-    more = compared(second.select("node", "block", "rid", "comp"), "_second")
-    if not more.isEmpty():
-        comp = components(comp.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more))
-    discard(ways, members, large, bits, reps, links, more)
+        have = comp.withColumnRenamed("id", "rid").withColumnRenamed("component", "comp")
+        known = large.join(have, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
+        apart = stored(left_apart(known, leaf, leaf_shingles), "left_apart")
+        if not apart.isEmpty():
+            more = compared(apart, "_apart")
+            if not more.isEmpty():
+                comp = components(comp.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more))
+            discard(more)
+        discard(apart)
+    discard(members, large, bits, reps, links)
     labels = classes.join(comp.withColumnRenamed("id", "rid"), "rid", "left").select("k1", "k2", F.coalesce("component", "rid").alias("_c"))
     empty = base.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     other = base.where("n_shingles > 0").select("doc_id", "n_shingles", "k1", "k2").join(labels, ["k1", "k2"]).select("doc_id", "n_shingles", F.col("_c").alias("component_id"))
