@@ -22,6 +22,8 @@ from ..sources.session import importable, shared_dir
 
 #: Texts are handled in slices of at most this many bytes (a longer single text is one slice).
 SLICE_BYTES = 1 << 20
+#: Bytes of an Arrow batch between Spark and a Python worker (Spark's own default is 64 MB; texts are long rows).
+BATCH_BYTES = 4 << 20
 
 
 #: A table whose plan reads fewer bytes per core than this is dealt out anew before costly work on its texts.
@@ -90,7 +92,11 @@ def without(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFram
 
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     """df.mapInArrow(run, schema); when a task ends, its worker gives freed memory back to the system, because workers
-    live on and share an executor's memory with what comes next."""
+    live on and share an executor's memory with what comes next.  Where the session has the default, batches are limited
+    to BATCH_BYTES (spark.sql.execution.arrow.maxBytesPerBatch)."""
+    conf, limit = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(limit, None) == f"{64 << 20}b":
+        conf.set(limit, f"{BATCH_BYTES}b")
 
     def tidy(batches):
         yield from run(batches)
@@ -149,15 +155,16 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
-    """Yield (lo, hi, bytes, offsets): rows lo..hi of the batch as one byte array; null counts as empty."""
+    """Yield (lo, hi, bytes, offsets): rows lo..hi of the batch as one byte array; null counts as empty.  The bytes are
+    those of the batch, not copies of them."""
     col = batch.column(batch.schema.get_field_index(column))
-    col = col.cast(pa.large_string()).fill_null("")
-    if isinstance(col, pa.ChunkedArray):
-        col = col.combine_chunks()
+    if col.null_count:
+        col = col.fill_null("")
     n = len(col)
     if not n:
         return
-    off = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + n + 1]
+    kind = np.int64 if pa.types.is_large_string(col.type) else np.int32
+    off = np.frombuffer(col.buffers()[1], kind)[col.offset : col.offset + n + 1].astype(np.int64)
     raw = col.buffers()[2]
     data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
     lo = 0

@@ -24,7 +24,7 @@ from .common import map_arrow, spread, text_slices
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 LONGEST = 4
 #: Scores of this many distinct space-separated chunks are kept by a Python worker before it starts afresh.
-CACHE_CHUNKS = 200_000
+CACHE_CHUNKS = 100_000
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -121,10 +121,10 @@ class Scorer:
 def _judged(scorer: Scorer, batch: pa.RecordBatch):
     """(best language, posterior, share of letters in words that this language knows, letters) of every row; -1 is the
     best language of a text without letters, and of any text where the model has none."""
-    texts = batch.column(batch.schema.get_field_index("text")).cast(pa.large_string()).fill_null("")
+    texts = batch.column(batch.schema.get_field_index("text"))
     parts = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0), np.zeros(0))]
     for lo, hi, _, _ in text_slices(batch, "text"):
-        letters, known, score = scorer.texts(texts.slice(lo, hi - lo))
+        letters, known, score = scorer.texts(texts.slice(lo, hi - lo).cast(pa.large_string()).fill_null(""))
         if not score.shape[1]:
             parts.append((np.full(hi - lo, -1), np.zeros(hi - lo), np.zeros(hi - lo), letters))
             continue
@@ -152,8 +152,9 @@ def fit(docs: DataFrame, learn: Column, per_language: int = 3000, words: int = 1
     def count(batches):
         seen: Counter = Counter()
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen.update((lang, word) for word in _WORD.findall(text.lower()))
+            for lang, text in zip(*batch.columns, strict=True):
+                lang = lang.as_py()
+                seen.update((lang, word) for word in _WORD.findall(text.as_py().lower()))
                 if len(seen) > 100_000:
                     yield _counted(seen)
                     seen.clear()
