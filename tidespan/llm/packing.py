@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from .common import map_arrow, spread, stored, text_slices, word_hashes
 
-#: Distinct words whose ids a Python worker keeps (some 40 bytes each) before it starts afresh.
+#: Distinct words whose ids a Python worker keeps by default before it starts afresh.
 CACHE_WORDS = 1_000_000
 #: Bytes of text that are split and encoded together.
 ENCODED_TOGETHER = 1 << 21
@@ -189,8 +189,8 @@ class WordEncoder:
     one by one.
     """
 
-    def __init__(self, path: str, end_id: int):
-        self.end_id = end_id
+    def __init__(self, path: str, end_id: int, cache_words: int = CACHE_WORDS):
+        self.end_id, self.cache_words = end_id, cache_words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -210,7 +210,7 @@ class WordEncoder:
 
     def one_by_one(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All words' ids in a row, and each word's number of them."""
-        got = [e.ids for e in self.tok.encode_batch_fast(new, add_special_tokens=False)]
+        got = [e.ids for lo in range(0, len(new), 1000) for e in self.tok.encode_batch_fast(new[lo : lo + 1000], add_special_tokens=False)]
         return np.array([i for ids in got for i in ids], np.uint32), np.fromiter(map(len, got), np.int64, len(got))
 
     def joined(self, new: list[str], parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -262,7 +262,7 @@ class WordEncoder:
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in one array, the end id after each, and each text's number of ids."""
-        if len(self.words.keys) > CACHE_WORDS:
+        if len(self.words.keys) > self.cache_words:
             self.clear()
         data = np.where(data == 10, np.uint8(32), data)
         texts = pa.Array.from_buffers(pa.large_string(), len(offs) - 1, [None, pa.py_buffer(np.ascontiguousarray(offs)), pa.py_buffer(data)])
@@ -281,17 +281,22 @@ class WordEncoder:
         return ids, np.diff(ends[split.offsets.to_numpy()[1:] + np.arange(len(offs) - 1)], prepend=0)
 
 
-_encoders: dict[tuple[str, int], WordEncoder] = {}
+_encoders: dict[tuple[str, int, int], WordEncoder] = {}
 
 
-def tokenized_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenized_pieces(
+    docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS, resident: bool = True, together: int = ENCODED_TOGETHER
+) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece: a document's ids and end_id, cut at capacity."""
 
     def run(batches):
-        enc = _encoders.get((path, end_id)) or _encoders.setdefault((path, end_id), WordEncoder(path, end_id))
+        key = (path, end_id, cache_words)
+        enc = _encoders.get(key) or WordEncoder(*key)
+        if resident:
+            _encoders[key] = enc
         for batch in batches:
             out = []
-            for lo, _, data, offs in text_slices(batch, "text", ENCODED_TOGETHER):
+            for lo, _, data, offs in text_slices(batch, "text", together):
                 ids, per = enc.encode(data, offs)
                 ends = np.cumsum(per)
                 pieces = -(-per // capacity)
@@ -346,14 +351,19 @@ def assign(pieces: DataFrame, rows: np.ndarray, counts: dict[int, int]) -> DataF
     return map_arrow(ranked, run, schema)
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(
+    docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS, resident: bool = True, together: int = ENCODED_TOGETHER
+) -> DataFrame:
     """Pack all documents into sequences of at most capacity tokens.
 
     One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.  A null or empty text is the
     single id end_id; a document over capacity is cut into full pieces and a rest; a null id stays null; repeated
     rows are packed as documents of their own; an empty table gives no rows; other columns are not read.  path: a
     tokenizers JSON file whose pre-tokens never span white space, present on every executor.
+
+    cache_words: distinct words whose ids a worker keeps, some 60 bytes each, for speed; resident: whether it keeps them
+    when a task has ended, for the next one; together: bytes of text encoded at a time.
     """
-    pieces = stored(tokenized_pieces(docs, path, capacity, end_id, id_col, text_col), "pieces")
+    pieces = stored(tokenized_pieces(docs, path, capacity, end_id, id_col, text_col, cache_words, resident, together), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # <= capacity rows
     return assign(pieces, plan(counts, capacity), counts)
