@@ -38,8 +38,9 @@ def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the documents into sequences of 4096 tokens."""
-    return packing.pack(docs, str(public_tokenizers.path("word_bpe_49k.json")), capacity=4096, end_id=1)
+    """Pack the documents into sequences of 4096 tokens.  Executors have grown by now, so workers take little memory."""
+    small = {"cache_words": 150_000, "resident": False, "together": 1 << 19}
+    return packing.pack(docs, str(public_tokenizers.path("word_bpe_49k.json")), capacity=4096, end_id=1, **small)
 
 
 STAGES = [
