@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..sources.session import importable, shared_dir
 
 #: Texts are handled in slices of at most this many bytes (a longer single text is one slice).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Bytes of an Arrow batch between Spark and a Python worker (Spark's own default is 64 MB; texts are long rows).
 BATCH_BYTES = 4 << 20
 

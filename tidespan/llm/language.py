@@ -24,7 +24,7 @@ from .common import map_arrow, spread, text_slices
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 LONGEST = 4
 #: Scores of this many distinct space-separated chunks are kept by a Python worker before it starts afresh.
-CACHE_CHUNKS = 100_000
+CACHE_CHUNKS = 30_000
 
 
 def grams(word: str, n: int) -> list[str]:
