@@ -10,33 +10,51 @@ in the first stage.  Columns beyond those of documents pass through, whatever th
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidespan.llm import contamination, language, near_dups, packing, secrets
-from tidespan.llm.common import discard, kept_alone
+from tidespan.llm.common import discard, give_back_heap, kept_alone
+
+
+def in_small_heaps(stage):
+    """The stage, begun once the executors have given back the heap that the stages before it needed."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        give_back_heap(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
+@in_small_heaps
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose language can't be told."""
     return language.reject_unknown(docs)
 
 
+@in_small_heaps
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates."""
     return near_dups.keep_one(docs, percent=80)
 
 
+@in_small_heaps
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
     return contamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), threshold=0.8)
 
 
+@in_small_heaps
 def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mask credentials that look live."""
     return secrets.redact(docs, shared_owners=3)
 
 
+@in_small_heaps
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the documents into sequences of 4096 tokens.  Executors have grown by now, so workers take little memory."""
     small = {"cache_words": 150_000, "resident": False, "together": 1 << 19}

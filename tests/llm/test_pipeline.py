@@ -110,3 +110,23 @@ def test_pipeline_moves_no_texts_to_drop_a_few(spark, sf):
     for name in ("near_dedup", "decontamination"):
         plan = dict(corpus_pipeline.STAGES)[name](spark, docs, sf)._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def full_collections(spark):
+    """Full collections of the JVM so far (in local mode the driver's is the executor's)."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+
+def test_pipeline_stages_begin_with_heap_given_back(spark, sf, empty):
+    docs = empty.withColumn("n_chars", F.lit(None).cast("long"))
+    for name, stage in corpus_pipeline.STAGES:
+        before = full_collections(spark)
+        stage(spark, docs, sf)
+        assert full_collections(spark) > before, name
+
+
+def test_packing_takes_no_second_kind_of_python_workers(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    plan = dict(corpus_pipeline.STAGES)["best_fit_packing"](spark, docs, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan

@@ -83,6 +83,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(sc.defaultParallelism) if size < sc.defaultParallelism * SPREAD_BYTES else df
 
 
+def give_back_heap(spark: SparkSession) -> None:
+    """A full collection on every executor, after which the JVM returns heap that it doesn't need to the system.  Without
+    one, an executor keeps the largest heap it ever had, next to its Python workers.  One short task for each executor;
+    those of executors that are busy may go to others."""
+    sc = spark.sparkContext
+    n = max(1, len(sc._jsc.sc().statusTracker().getExecutorInfos()) - 1)  # the driver is one of them
+    collected = F.expr("java_method('java.lang.System', 'gc')").alias("collected")  # not deterministic, so no constant
+    spark.range(0, n, 1, n).select(collected).write.format("noop").mode("overwrite").save()
+
+
 def without(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
     """docs without the rows whose id is in ids (distinct, not null, a column of the same name).  Few ids are
     broadcast, so that no text moves; more than BROADCAST_ROWS are joined by shuffle."""

@@ -327,7 +327,8 @@ def assign(pieces: DataFrame, rows: np.ndarray, counts: dict[int, int]) -> DataF
     """Add sequence_id and offset: rank each piece within its length, then look the rank up in the plan.  A length with
     many pieces is ranked in groups, and a group's ranks follow those of the groups before it."""
     hot = [(size, min(math.ceil(n / RANKED_TOGETHER), MOST_GROUPS)) for size, n in counts.items() if n > RANKED_TOGETHER]
-    groups = F.broadcast(pieces.sparkSession.createDataFrame(hot, "length long, _groups long"))  # at most capacity rows
+    table = pa.table({"length": pa.array([h[0] for h in hot], pa.int64()), "_groups": pa.array([h[1] for h in hot], pa.int64())})
+    groups = F.broadcast(pieces.sparkSession.createDataFrame(table))  # at most capacity rows; of a list, it would take Python workers of their own
     salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "start"), F.coalesce("_groups", F.lit(1)))
     salted = pieces.join(groups, "length", "left").select(*pieces.columns, salt.alias("_salt"))
     sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
